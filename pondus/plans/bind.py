@@ -63,6 +63,10 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d100("l_tax") - 1).alias("V10_M"),
         (d100("l_discount") - 1).alias("V11_M"),
         (F.col("l_linenumber") - 2).alias("V12_M"),
+        # generation-1 ICT use (1 yes, 2 no)
+        F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("IP_III_04"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("IP_III_05"),
+        F.when(F.col("l_discount") == 0, 2).otherwise(1).alias("IP_III_06"),
     )
     return p
 
@@ -80,6 +84,10 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(9).alias("V10"),
         # internet at home: 1 no for urgent/high priority, else 2 yes
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(2).alias("V11"),
+        # generation-1 ICT access (1 yes, 2 no, 9 no answer)
+        F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2)
+         .otherwise(9).alias("IH_II_03"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 2).otherwise(1).alias("IH_II_04"),
     )
 
 
@@ -120,7 +128,10 @@ PERSONS_SQL = """
            l_extendedprice AS IPCF,
            CAST(round(l_tax * 100) AS INTEGER) - 1 AS V10_M,
            CAST(round(l_discount * 100) AS INTEGER) - 1 AS V11_M,
-           l_linenumber - 2 AS V12_M
+           l_linenumber - 2 AS V12_M,
+           CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS IP_III_04,
+           CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS IP_III_05,
+           CASE WHEN l_discount = 0 THEN 2 ELSE 1 END AS IP_III_06
     FROM lineitem JOIN territory ON l_orderkey = o_orderkey)"""
 
 HOUSEHOLDS_SQL = """
@@ -128,5 +139,7 @@ HOUSEHOLDS_SQL = """
     SELECT o.o_orderkey AS CODUSU, 1 AS NRO_HOGAR, anio, 4 AS trimestre, AGLOMERADO, REGION,
            o_totalprice AS ITF, CAST(NULL AS INTEGER) AS DECIFR,
            CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 9 END AS V10,
-           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 2 END AS V11
+           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 2 END AS V11,
+           CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 2 ELSE 9 END AS IH_II_03,
+           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 ELSE 1 END AS IH_II_04
     FROM orders o JOIN territory t ON o.o_orderkey = t.o_orderkey)"""

@@ -345,3 +345,6 @@ SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(l_extendedprice) AS BIGINT) AS
 FROM lineitem""")
 def q_summary_unweighted(spark, sf):
     return G.summary(lineitem(spark, sf), "l_extendedprice", None, weighted=False)
+
+
+from . import testbed2  # noqa: E402,F401  (registers the remaining queries)
