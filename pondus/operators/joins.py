@@ -46,8 +46,10 @@ def household_join(household: DataFrame, person: DataFrame, keys: Sequence[str]
         require_keys(household, keys, "household")
         require_keys(person, keys, "person")
     new_cols = [c for c in household.columns if c not in person.columns]
-    h = household.select(*keys, *new_cols)
-    h = keep_first(h, keys, list(order) if order else [F.lit(1)]) if validate else h
+    order = [c for c in (order or []) if isinstance(c, str) and c in household.columns]
+    extra = [c for c in order if c not in new_cols and c not in keys]
+    h = household.select(*keys, *new_cols, *extra)
+    h = keep_first(h, keys, order or [F.lit(1)]).drop(*extra) if validate else h.drop(*extra)
     return person.join(h.withColumn("_hh", F.lit(1)), keys, "left")
 
 

@@ -18,6 +18,7 @@ from ..functions import coding as C
 from ..functions.expr import row_mean
 from . import ordered
 from .ordered import _as_list
+from ..session import cut_lineage
 
 
 def lever_baselines(df: DataFrame, by=None, weight: str = "PONDERA") -> DataFrame:
@@ -97,4 +98,7 @@ def apply_scenario(df: DataFrame, targets: DataFrame, key: Sequence[str], by=Non
         t = targets.select(*by, F.col(lever).alias("target")).where(F.col("target").isNotNull())
         d = flip_to_target(d, mask, col, t, key, by, good_value=good, bad_value=bad, method=method) \
             .drop("_flipped")
+        # each lever reads the previous one's output: a reliable checkpoint keeps the
+        # plan flat and survives executor loss (never a local checkpoint)
+        d = cut_lineage(d)
     return recompute_derived(d, thr)
