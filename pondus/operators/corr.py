@@ -45,6 +45,14 @@ def pearson_long(df: DataFrame, columns: Sequence[str], *, diagonal: bool = True
     return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
+def rank_table(df: DataFrame, column: str, out: str, *, method: str = "bucketed") -> DataFrame:
+    """(value ``_rv``, average rank ``out``) for every distinct non-null value."""
+    red = (df.where(F.col(column).isNotNull())
+             .groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    red = ordered.running_weight(red, ["_v"], "_w", method=method, total=None)
+    return red.select(F.col("_v").alias("_rv"), (F.col("_excl") + (F.col("_w") + 1) / 2).alias(out))
+
+
 def average_ranks(df: DataFrame, column: str, out: str, *, method: str = "bucketed") -> DataFrame:
     """Average rank (ties share the mean position) via the ordered kernel over distinct
     values: rank = rows before + (rows in the tie block + 1)/2; joined back by value."""
@@ -60,9 +68,12 @@ def spearman_long(df: DataFrame, columns: Sequence[str], *, listwise: bool = Tru
                   method: str = "bucketed") -> DataFrame:
     """R2 on the listwise-complete frame: Pearson of average ranks."""
     cols = list(columns)
-    d = df.select(*cols).dropna() if listwise else df.select(*cols)
+    base = df.select(*cols).dropna() if listwise else df.select(*cols)
+    d = base
     for c in cols:
-        d = average_ranks(d, c, f"_rk_{c}", method=method)
+        # each rank table is computed from the base rows (not from the previous joins)
+        d = d.join(rank_table(base, c, f"_rk_{c}", method=method), F.col(c).cast("double") == F.col("_rv"),
+                   "left").drop("_rv")
     r = pearson_long(d.select(*[F.col(f"_rk_{c}").alias(c) for c in cols]), cols,
                      diagonal=False, both_triangles=False)
     return r

@@ -43,10 +43,14 @@ def _default_buckets(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def _split_points(df: DataFrame, c: str, buckets: int, rel_err: float) -> list[float]:
+def _raw_quantiles(df: DataFrame, c: str, buckets: int, rel_err: float) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     pts = df.approxQuantile(c, probs, rel_err) if probs else []
-    return sorted({float(p) for p in pts if p is not None})
+    return [float(p) for p in pts if p is not None]
+
+
+def _split_points(df: DataFrame, c: str, buckets: int, rel_err: float) -> list[float]:
+    return sorted(set(_raw_quantiles(df, c, buckets, rel_err)))
 
 
 def _bucketize(df: DataFrame, c: str, splits: list[float], out: str) -> DataFrame:
@@ -80,13 +84,16 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
 
     nb = buckets or _default_buckets(df)
     lead = order[0]
-    splits = _split_points(df, lead, nb, rel_err)
+    raw = _raw_quantiles(df, lead, nb, rel_err)
+    splits = sorted(set(raw))
     staged = _bucketize(df, lead, splits, _B)
     sub = F.lit(0)
     if len(order) > 1:
         # Hot tie blocks of the leading column are split by ranges of the next column.
+        # A value holding more than ~2/nb of the rows shows up as a repeated split point
+        # of the same quantile sketch, so no extra pass is needed to find hot values.
         nxt = order[1]
-        hot = _hot_values(df, lead, nb, hot_factor)
+        hot = sorted({v for v in raw if raw.count(v) >= max(2, int(hot_factor))})
         if hot:
             cases = None
             for v, pts in _hot_splits(df, lead, nxt, hot, nb, rel_err).items():
@@ -118,15 +125,6 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
     return out.drop("_pd_local", "_pd_off", _B, _S)
 
 
-def _hot_values(df: DataFrame, c: str, nb: int, hot_factor: float) -> list:
-    """Values of ``c`` holding more than ``hot_factor/nb`` of the rows (at most nb/hot_factor)."""
-    counts = df.groupBy(c).count()
-    n_total = df.count()
-    cap = max(1, int(hot_factor * n_total / nb))
-    rows = counts.where(F.col("count") > cap).select(c).limit(int(nb / hot_factor) + 1).collect()
-    return [r[0] for r in rows]
-
-
 def _hot_splits(df: DataFrame, lead: str, nxt: str, hot: list, nb: int, rel_err: float) -> dict:
     probs = [i / nb for i in range(1, nb)]
     acc = int(1 / rel_err)

@@ -84,7 +84,9 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
                              for c in ("idx_acceso", "idx_uso", "idx_exclusion_digital")})
 
     nivel, ch12 = _maybe(df, "NIVEL_ED"), _maybe(df, "CH12")
-    use_nivel = df.agg(F.count(nivel) > F.count(F.lit(1)) * 0.5).scalar()
+    # P10's 50 % rule reads person columns only; the left join keeps one row per person,
+    # so the person side gives the same counts without the household join
+    use_nivel = i.agg(F.count(_maybe(i, "NIVEL_ED")) > F.count(F.lit(1)) * 0.5).scalar()
     sec, sup = C.education_proxies(nivel, ch12, use_nivel)
     estado, cat, pp07h, dec = (_maybe(df, c) for c in ("ESTADO", "CAT_OCUP", "PP07H", "DECIFR"))
     df = df.withColumns({
