@@ -348,3 +348,4 @@ def q_summary_unweighted(spark, sf):
 
 
 from . import testbed2  # noqa: E402,F401  (registers the remaining queries)
+from . import testbed3  # noqa: E402,F401

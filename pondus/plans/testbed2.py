@@ -16,6 +16,7 @@ from ..operators import schema as S
 from ..operators import scenario as L
 from ..operators import weighted as G
 from . import bind
+from .clean import income_quintile_label
 from .sql import with_base, with_frame
 from .testbed import KEY, KEY_SQL, REGISTRY, frame, lineitem, register, territory_dim
 
@@ -274,17 +275,6 @@ def q_clean_flags(spark, sf):
 _QLAB = "['Q1 (más bajo)', 'Q2', 'Q3', 'Q4', 'Q5 (más alto)']"
 
 
-def income_quintile_label(df: DataFrame, col: str = "IPCF") -> DataFrame:
-    """Unweighted interpolated quintile edges of positive incomes (one exact
-    percentile aggregate, a scalar subquery) → right-closed labels, lowest included."""
-    pos = F.when(num(col) > 0, num(col))
-    edges = df.agg(F.array(F.min(pos), F.percentile(pos, [0.2, 0.4, 0.6, 0.8]).getItem(0),
-                           F.percentile(pos, [0.2, 0.4, 0.6, 0.8]).getItem(1),
-                           F.percentile(pos, [0.2, 0.4, 0.6, 0.8]).getItem(2),
-                           F.percentile(pos, [0.2, 0.4, 0.6, 0.8]).getItem(3), F.max(pos))).scalar()
-    return df.withColumn("QUINTIL_IPCF", C.edges_label(pos, edges, C.INCOME_QUINTILE_LABELS))
-
-
 @register("income_quintile_label", with_base("""
 , e AS (SELECT min(IPCF) AS e0, quantile_cont(IPCF, 0.2) AS e1, quantile_cont(IPCF, 0.4) AS e2,
               quantile_cont(IPCF, 0.6) AS e3, quantile_cont(IPCF, 0.8) AS e4, max(IPCF) AS e5
