@@ -102,7 +102,9 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
                 cases = (F.when(F.col(lead) == F.lit(v), idx) if cases is None
                          else cases.when(F.col(lead) == F.lit(v), idx))
             if cases is not None:
-                sub = cases.otherwise(F.lit(0))
+                # a hot value is a split point, i.e. the left edge of its bucket: every
+                # other value of that bucket is larger and must follow all its sub-ranges
+                sub = cases.otherwise(F.lit(1 << 30))
     staged = staged.withColumn(_S, sub)
 
     part = by + [_B, _S]
