@@ -566,6 +566,39 @@ REGISTRY["lever_flip"] = (q_lever_flip, _fix_with(REGISTRY["lever_flip"][1]).rep
                           .replace("\n, m AS", ",\n  m AS"))
 
 
+RATE_TARGET = 40.0
+_KEYS_M = ", ".join("m." + k for k in KEY)
+
+
+@register("lever_rate", with_frame(f"""
+SELECT p.area AS AGLOMERADO, CAST(count(c.w1) FILTER (WHERE c.before < c.extra AND c.extra > 0) AS BIGINT) AS flipped,
+       coalesce(sum(c.w1) FILTER (WHERE c.before < c.extra AND c.extra > 0), 0.0) AS flipped_w,
+       100 * (p.swg + coalesce(sum(c.w1) FILTER (WHERE c.before < c.extra AND c.extra > 0), 0.0)) / p.sw AS pct_after
+FROM p LEFT JOIN c USING (area) GROUP BY p.area, p.swg, p.sw""",
+    "m AS (SELECT *, CAST(AGLOMERADO AS INTEGER) AS area, coalesce(PONDERA, 1.0) AS w1 FROM frame "
+    "WHERE superior IS NOT NULL)",
+    "t AS (SELECT area, sum(w1) AS sw, coalesce(sum(CASE WHEN superior = 1.0 THEN w1 END), 0.0) AS swg "
+    "FROM m GROUP BY area)",
+    f"p AS (SELECT area, CASE WHEN {RATE_TARGET} > 100 * swg / sw + 0.05 "
+    f"THEN greatest(0.0, {RATE_TARGET} / 100 * sw - swg) ELSE 0.0 END AS extra, sw, swg FROM t)",
+    f"c AS (SELECT m.area, m.w1, p.extra, coalesce(sum(m.w1) OVER (PARTITION BY m.area ORDER BY m.w1 DESC, "
+    f"{_KEYS_M} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before "
+    f"FROM m JOIN p USING (area) WHERE m.superior = 0.0)"))
+def q_lever_rate(spark, sf):
+    """L3: raise the weighted rate of ``superior`` (0 → 1), heaviest rows first, to the
+    target in every area at once."""
+    f = frame(spark, sf).withColumn("AGLOMERADO", F.col("AGLOMERADO").cast("int"))
+    targets = f.select("AGLOMERADO").distinct().withColumn("target", F.lit(RATE_TARGET))
+    out = L.flip_to_target(f, F.lit(True), "superior", targets, KEY, by="AGLOMERADO",
+                           good_value=1.0, bad_value=0.0)
+    m = out.where(F.col("superior").isNotNull())
+    w1 = F.coalesce(F.col("PONDERA"), F.lit(1.0))
+    return m.groupBy("AGLOMERADO").agg(
+        F.count(F.when(F.col("_flipped"), 1)).alias("flipped"),
+        F.coalesce(F.sum(F.when(F.col("_flipped"), w1)), F.lit(0.0)).alias("flipped_w"),
+        (100 * F.sum(F.when(F.col("superior") == 1.0, w1)) / F.sum(w1)).alias("pct_after"))
+
+
 @register("scenario_compare", None)
 def q_scenario(spark, sf):
     """All three levers for every area in one job, KPIs before/after, long compare."""

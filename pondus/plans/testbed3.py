@@ -86,3 +86,20 @@ def q_index_reading(spark, sf):
 @register("dataset_listing", None)
 def q_listing(spark, sf):
     return dataset_listing(spark, f"{sf}/lineitem.parquet")
+
+
+SHAP_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("tree_shap", None)
+def q_tree_shap(spark, sf):
+    """Fit the gini tree on a target with structure (high unit price and a
+    discount) and explain every line exactly; mean |φ| per feature."""
+    from ..operators import explain as X
+    from .bind import PERSON_KEY
+    li = lineitem(spark, sf)
+    d = li.select(*PERSON_KEY, *SHAP_FEATS,
+                  ((F.col("l_extendedprice") / F.col("l_quantity") >= 1500)
+                   & (F.col("l_discount") >= 0.03)).cast("double").alias("y"))
+    explained, _ = X.explain_tree_model(d, SHAP_FEATS, "y", PERSON_KEY, max_depth=5, min_leaf=50)
+    return X.shap_importance(X.shap_long(explained, SHAP_FEATS, PERSON_KEY))
