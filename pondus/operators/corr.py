@@ -6,6 +6,7 @@ ordered kernel; p-values are driver-side scalars (one per pair, a bounded list).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -180,47 +181,80 @@ def _dc(x, y, w) -> float:
     return cross + _dc(x[:cut], ly, lw) + _dc(x[cut:], ry, rw)
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, *, buckets: int = 16) -> DataFrame:
-    """τ-b on the pairwise-complete rows, exact, without emitting pairs.
+KENDALL_GROUP = 1_000_000  # distinct points one pandas group may hold
 
-    Points are reduced to distinct (x, y) with multiplicities.  x and y are cut into
-    value buckets (ties never straddle).  S = S_cross + S_xb + S_yb − S_cell where S_cross
-    (different x- and y-bucket) comes from the bucket grid of counts, and the rest are
-    exact divide-and-conquer sums inside each x-bucket, y-bucket and grid cell, each
-    computed in one pandas group (Spark partitions the buckets)."""
+
+def _edges(d: DataFrame, c: str, nb: int) -> tuple[list[float], set[int]]:
+    """Split points of ``c`` (≈ equal point counts per bucket) and the indices of the
+    buckets that hold a single hot value: a value repeated in the quantile sketch gets
+    the bucket [v, next float after v), so its tie block never shares a group."""
+    raw = ordered._raw_quantiles(d, c, nb, min(1e-3, 0.25 / nb))
+    hot = {v for v in raw if raw.count(v) > 1}
+    splits = sorted(set(raw) | {float(np.nextafter(v, np.inf)) for v in hot})
+    edges = [float("-inf")] + splits
+    single = {i for i, e in enumerate(edges) if e in hot}
+    return splits, single
+
+
+def _group_sums(d: DataFrame, keys: list[str]) -> float:
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = _pair_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
+        return pd.DataFrame({"s": [s]})
+    return d.groupBy(*keys).applyInPandas(fn, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+
+def kendall_s(d: DataFrame, *, min_buckets: int = 16, group_limit: int = KENDALL_GROUP,
+              n: int | None = None) -> float:
+    """S = Σ_{i<j} w_i w_j sgn(x_i − x_j) sgn(y_i − y_j) over weighted distinct points
+    ``d(x, y, w)``, exact, without emitting pairs.
+
+    x and y are cut into G value buckets (G grows with the data so that a bucket holds
+    about ``group_limit`` points).  Pairs in different x- and different y-buckets take
+    their signs from the bucket indices, so their sum is the same statistic over the
+    bucket grid (cells weighted by Σw) — computed recursively, the grid being smaller.
+    The rest, S_x + S_y − S_cell, is summed exactly inside each x-bucket, y-bucket and
+    cell by divide and conquer, one bounded pandas group each.  Buckets of a single
+    (hot) value contribute nothing (all their pairs are tied) and are never loaded."""
+    n = d.count() if n is None else n
+    if n < 2:
+        return 0.0
+    if n <= group_limit:
+        return _group_sums(d.withColumn("_one", F.lit(0)), ["_one"])
+    g = max(min_buckets, min(math.ceil(2 * n / group_limit), math.isqrt(n // 2)))
+    sx, single_x = _edges(d, "x", g)
+    sy, single_y = _edges(d, "y", g)
+    b = ordered._bucketize(ordered._bucketize(d, "x", sx, "bx"), "y", sy, "by")
+    b = b.withColumns({"bx": F.col("bx").cast("int"), "by": F.col("by").cast("int")}).cache()
+    try:
+        keep_x = ~F.col("bx").isin(list(single_x)) if single_x else F.lit(True)
+        keep_y = ~F.col("by").isin(list(single_y)) if single_y else F.lit(True)
+        s_x = _group_sums(b.where(keep_x), ["bx"])
+        s_y = _group_sums(b.where(keep_y), ["by"])
+        s_c = _group_sums(b.where(keep_x & keep_y), ["bx", "by"])
+        grid = b.groupBy(F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")) \
+                .agg(F.sum("w").alias("w"))
+        s_cross = kendall_s(grid, min_buckets=min_buckets, group_limit=group_limit)
+    finally:
+        b.unpersist()
+    return s_cross + s_x + s_y - s_c
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, *, buckets: int = 16,
+                  group_limit: int = KENDALL_GROUP) -> DataFrame:
+    """τ-b on the pairwise-complete rows, exact (see :func:`kendall_s`), with the
+    tie terms Σ t(t−1)/2 per distinct x and per distinct y from two aggregates."""
+    # distinct (x, y) cells: read by several small jobs below, so kept once
     d = (df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-           .dropna().groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    sx = ordered._split_points(d, "x", buckets, 1e-3)
-    sy = ordered._split_points(d, "y", buckets, 1e-3)
-    d = ordered._bucketize(d, "x", sx, "bx")
-    d = ordered._bucketize(d, "y", sy, "by")
-
-    def part_sum(keys):
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = _pair_sum(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-            return pd.DataFrame({"s": [s]})
-        return d.groupBy(*keys).applyInPandas(fn, "s double").agg(F.sum("s").alias("s"))
-
-    s_x = part_sum(["bx"]).select("s").first()[0] or 0.0
-    s_y = part_sum(["by"]).select("s").first()[0] or 0.0
-    s_c = part_sum(["bx", "by"]).select("s").first()[0] or 0.0
-    grid = d.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()  # ≤ buckets² cells
-    nb = len(sx) + 1
-    gmat = np.zeros((nb, nb))
-    for r in grid:
-        gmat[int(r["bx"]), int(r["by"])] = r["w"]
-    # cross pairs: bucket a < bucket c in x; sign from the y-bucket order
-    cum = np.cumsum(gmat, axis=0)  # cum[a, b] = weight with x-bucket <= a, y-bucket b
-    s_cross = 0.0
-    for c in range(1, nb):
-        prev = cum[c - 1]
-        below = np.concatenate([[0.0], np.cumsum(prev)[:-1]])
-        above = prev.sum() - np.cumsum(prev)
-        s_cross += float((gmat[c] * (below - above)).sum())
-    s = s_cross + s_x + s_y - s_c
-    ties = d.groupBy().agg(F.sum("w").alias("n")).first()[0] or 0.0
-    tx = d.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-    ty = d.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
+           .dropna().groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))).persist()
+    try:
+        cells, ties = d.agg(F.count(F.lit(1)), F.sum("w")).first()
+        ties = ties or 0.0
+        s = kendall_s(d, min_buckets=buckets, group_limit=group_limit, n=cells)
+        pairs_t = F.sum(F.col("t") * (F.col("t") - 1) / 2)
+        tx = d.groupBy("x").agg(F.sum("w").alias("t")).agg(pairs_t).first()[0]
+        ty = d.groupBy("y").agg(F.sum("w").alias("t")).agg(pairs_t).first()[0]
+    finally:
+        d.unpersist()
     n0 = ties * (ties - 1) / 2
     denom = np.sqrt((n0 - (tx or 0.0)) * (n0 - (ty or 0.0)))
     tau = float(s / denom) if denom > 0 else None

@@ -96,7 +96,7 @@ def summary(df: DataFrame, column: str, weight: str | None = None,
 
     Weighted (survey-statistics convention, Σw acts as the sample size): mean Σwx/Σw,
     variance Σw(x−mean)²/(Σw−1), se = sd/√Σw, t-interval on Σw−1 degrees of freedom
-    (bounds added by :func:`add_t_interval` on the driver-side scalar t quantile).
+    (bounds added by :func:`add_t_interval`: Student-t quantile per distinct d.f.).
     Unweighted: sample sd, mean ± 1.96·sd/√n, interpolated quantiles.
     The variance is computed as Σw(x−c)² − (Σw(x−c))²/Σw around a per-group shift
     ``c`` (the group minimum) to avoid cancellation.
@@ -152,22 +152,34 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn(k, F.lit(1)).join(F.broadcast(b.withColumn(k, F.lit(1))), k).drop(k)
 
 
-def add_t_interval(summary_df: DataFrame, level: float = 0.95, weighted: bool = True) -> DataFrame:
-    """Confidence bounds.  The t quantile for each distinct degrees-of-freedom value is a
-    driver-side scalar (one per group, a bounded list)."""
+def _t_quantile_udf(q: float):
+    """Arrow-batched Student-t quantile: one scalar evaluation per distinct d.f. in the
+    batch (a small per-value helper, no driver round trip, no cap on groups)."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
     from ..functions.dist import t_ppf
+
+    def tq(dof):
+        vals = {v: t_ppf(q, float(v)) for v in dof.dropna().unique() if v > 0}
+        return dof.map(vals).astype("float64")
+
+    tq.__annotations__ = {"dof": pd.Series, "return": pd.Series}  # real types (module uses PEP 563)
+    return pandas_udf(tq, "double")
+
+
+def add_t_interval(summary_df: DataFrame, level: float = 0.95, weighted: bool = True) -> DataFrame:
+    """Confidence bounds mean ± t·se with t on ``dof`` degrees of freedom (weighted), or
+    ± 1.96·se (unweighted)."""
     if not weighted:
         z = 1.96
         return summary_df.withColumns({"ci_low": F.col("mean") - z * F.col("se"),
                                        "ci_high": F.col("mean") + z * F.col("se")})
-    dofs = [r[0] for r in summary_df.select("dof").distinct().limit(10000).collect()]
-    pairs = []
-    for v in dofs:
-        if v is not None and v > 0:
-            pairs += [F.lit(float(v)), F.lit(t_ppf(0.5 + level / 2, float(v)))]
-    t = F.create_map(*pairs)[F.col("dof")] if pairs else F.lit(None).cast("double")
-    return summary_df.withColumns({"ci_low": F.col("mean") - t * F.col("se"),
-                                   "ci_high": F.col("mean") + t * F.col("se")})
+    t = _t_quantile_udf(0.5 + level / 2)(F.col("dof"))
+    return (summary_df.withColumn("_tq", t)
+            .withColumns({"ci_low": F.col("mean") - F.col("_tq") * F.col("se"),
+                          "ci_high": F.col("mean") + F.col("_tq") * F.col("se")})
+            .drop("_tq"))
 
 
 def summary_all(df: DataFrame, columns: Sequence[str], weight: str | None = None,

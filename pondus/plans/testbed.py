@@ -347,5 +347,34 @@ def q_summary_unweighted(spark, sf):
     return G.summary(lineitem(spark, sf), "l_extendedprice", None, weighted=False)
 
 
+SUMMARY_COLS = ["l_extendedprice", "l_discount", "l_tax"]
+_LONG_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, {c} AS x, coalesce(l_quantity, 0.0) AS w FROM lineitem" for c in SUMMARY_COLS)
+
+
+@register("summary_all_numeric", f"""
+WITH d AS ({_LONG_SQL}),
+c AS (SELECT *, min(x) OVER (PARTITION BY variable) AS c0 FROM d),
+a AS (SELECT variable, CAST(count(*) AS BIGINT) AS n, CAST(count(x) AS BIGINT) AS n_validos,
+             min(x) AS min, max(x) AS max, sum(CASE WHEN x IS NOT NULL THEN w END) AS sw,
+             sum(w * x) AS swx, sum(w * (x - c0)) AS s1, sum(w * (x - c0) * (x - c0)) AS s2
+      FROM c GROUP BY variable),
+q AS ({_wq_sql("(SELECT variable, x AS v, w FROM d WHERE x IS NOT NULL)", [0.25, 0.5, 0.75], by="variable")})
+SELECT a.variable, n, n_validos, n - n_validos AS missing, swx / sw AS mean,
+       sqrt((s2 - s1 * s1 / sw) / (sw - 1)) AS sd, sqrt((s2 - s1 * s1 / sw) / (sw - 1)) / sqrt(sw) AS se,
+       sw - 1 AS dof, min, max, q25, q50 AS median, q75
+FROM a JOIN q USING (variable)""")
+def q_summary_all(spark, sf):
+    """The weighted summary of several numeric columns as one grouped job."""
+    return G.summary_all(lineitem(spark, sf), SUMMARY_COLS, "l_quantity")
+
+
+@register("summary_weighted_ci", None)
+def q_summary_ci(spark, sf):
+    """G3 with the Student-t interval (the t quantile has no SQL oracle; se and d.f. are
+    checked by ``summary_weighted``, the bounds by a test)."""
+    return G.add_t_interval(G.summary(lineitem(spark, sf), "l_extendedprice", "l_quantity"))
+
+
 from . import testbed2  # noqa: E402,F401  (registers the remaining queries)
 from . import testbed3  # noqa: E402,F401

@@ -123,6 +123,49 @@ def q_kendall(spark, sf):
     return R.kendall_tau_b(lineitem(spark, sf), "l_quantity", "l_discount").drop("p")
 
 
+CORR_LONG_COLS = ["idx_exclusion_digital", "score_movilidad_proxy", "vulnerabilidad_social",
+                  "decil_ingreso"]
+
+
+def _kendall_select(src: str, a: str, b: str) -> str:
+    """τ-b of one pair in SQL: contingency self-join of distinct (x, y) cells."""
+    return f"""(WITH d AS (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM {src}
+                WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+     c AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS w FROM d GROUP BY x, y),
+     s AS (SELECT coalesce(sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2, 0) AS s
+           FROM c a JOIN c b ON a.x <> b.x AND a.y <> b.y),
+     t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+     tx AS (SELECT coalesce(sum(t * (t - 1) / 2), 0) AS tx FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM d GROUP BY x)),
+     ty AS (SELECT coalesce(sum(t * (t - 1) / 2), 0) AS ty FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM d GROUP BY y))
+     SELECT CASE WHEN (n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty) > 0
+                 THEN s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)) END AS tau FROM s, t, tx, ty)"""
+
+
+def _corr_long_sql(cols) -> str:
+    pear = []
+    for a, b in _pairs(cols):
+        r = "CASE WHEN count({a}) > 1 THEN 1.0 END".format(a=a) if a == b else f"corr({a}, {b})"
+        pear.append(f"SELECT '{a}' AS var1, '{b}' AS var2, {r} AS pearson FROM frame")
+    kend = []
+    for i, a in enumerate(cols):
+        kend.append(f"SELECT '{a}' AS var1, '{a}' AS var2, 1.0 AS kendall")
+        for b in cols[i + 1:]:
+            q = _kendall_select("frame", a, b)
+            kend.append(f"SELECT '{a}' AS var1, '{b}' AS var2, (SELECT tau FROM {q}) AS kendall")
+            kend.append(f"SELECT '{b}' AS var1, '{a}' AS var2, (SELECT tau FROM {q}) AS kendall")
+    return with_frame("SELECT p.var1, p.var2, p.pearson, k.kendall FROM p JOIN k USING (var1, var2)",
+                      "p AS (" + "\nUNION ALL ".join(pear) + ")",
+                      "k AS (" + "\nUNION ALL ".join(kend) + ")")
+
+
+@register("corr_long", _corr_long_sql(CORR_LONG_COLS))
+def q_corr_long(spark, sf):
+    """R5 + J11: Pearson and Kendall τ-b for every ordered pair and the diagonal of the
+    panel indices, joined on (var1, var2)."""
+    from . import jobs
+    return jobs.panel_correlations(frame(spark, sf), CORR_LONG_COLS)
+
+
 @register("gated_corr", """
 SELECT CAST(count(CASE WHEN idx_exclusion_digital IS NOT NULL AND score_movilidad_proxy IS NOT NULL THEN 1 END) AS BIGINT) AS n,
        CASE WHEN count(CASE WHEN idx_exclusion_digital IS NOT NULL AND score_movilidad_proxy IS NOT NULL THEN 1 END) > 10

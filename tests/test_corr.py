@@ -32,6 +32,23 @@ def test_kendall_grid_equals_brute_force(spark):
     assert r["tau_b"] == pytest.approx(tau, rel=1e-12)
 
 
+@pytest.mark.parametrize("limit", [40, 150])
+def test_kendall_recursive_grid_with_hot_values(spark, limit):
+    """Forces the bucketed recursion (tiny group limit): continuous values plus a hot x
+    value (a third of the rows) and a hot y value, against brute force."""
+    rng = np.random.default_rng(17)
+    n = 900
+    x = np.round(rng.normal(size=n), 2)
+    y = np.round(x * 0.5 + rng.normal(size=n), 2)
+    x[:300] = 0.5   # hot x
+    y[300:420] = -1.0  # hot y
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    r = R.kendall_tau_b(df, "x", "y", buckets=4, group_limit=limit).first()
+    tau, s = brute_tau_b(x, y)
+    assert r["s"] == pytest.approx(s, abs=1e-6)
+    assert r["tau_b"] == pytest.approx(tau, rel=1e-12)
+
+
 def test_pair_sum_kernel_large_continuous():
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=1500), rng.normal(size=1500)
