@@ -506,7 +506,17 @@ def _catalog(spark, sf):
     return K.catalog(frame(spark, sf), territory_dim(spark, sf))
 
 
-@register("topk_areas", None)
+from .testbed import _CATALOG_SQL  # noqa: E402
+
+_CAT = f"({_CATALOG_SQL}) cat"
+MELT_IND = ["pct_secundario_completo", "pct_superior", "pct_ocupado", "score_movilidad_proxy",
+            "vulnerabilidad_social", "idx_exclusion_digital"]
+
+
+@register("topk_areas", f"""
+SELECT territorio_id, territorio_nombre, pct_ocupado FROM {_CAT}
+WHERE tipo = 'aglomerado' AND pct_ocupado IS NOT NULL
+ORDER BY pct_ocupado DESC, territorio_id LIMIT 5""")
 def q_topk(spark, sf):
     """The five areas with the highest employment share (the limit is the feature)."""
     c = _catalog(spark, sf).where(F.col("tipo") == "aglomerado").dropna(subset=["pct_ocupado"])
@@ -514,21 +524,25 @@ def q_topk(spark, sf):
             .select("territorio_id", "territorio_nombre", "pct_ocupado")
 
 
-@register("ranking", None)
+@register("ranking", f"""
+SELECT territorio_id, vulnerabilidad_social,
+       CAST(rank() OVER (ORDER BY vulnerabilidad_social DESC) AS INTEGER) AS rank
+FROM {_CAT} WHERE tipo = 'aglomerado' AND vulnerabilidad_social IS NOT NULL""")
 def q_ranking(spark, sf):
-    """O3: territory ranking by a KPI, nulls dropped, with a rank column."""
+    """O3: territory ranking by a KPI, nulls dropped, with a rank column.  The catalogue
+    has one row per territory (a bounded table), so one ordered window is fine here."""
     c = _catalog(spark, sf).where(F.col("tipo") == "aglomerado").dropna(subset=["vulnerabilidad_social"])
     return c.select("territorio_id", "vulnerabilidad_social",
                     F.rank().over(Window.orderBy(F.desc("vulnerabilidad_social"))).alias("rank"))
 
 
-@register("melt_compare", None)
+@register("melt_compare", "\nUNION ALL\n".join(
+    f"SELECT territorio_id, '{c}' AS indicador, CAST({c} AS DOUBLE) AS valor FROM {_CAT}" for c in MELT_IND))
 def q_melt(spark, sf):
     """Catalogue KPIs to long form (territory, indicator, value)."""
     c = _catalog(spark, sf)
-    ind = ["pct_secundario_completo", "pct_superior", "pct_ocupado", "score_movilidad_proxy",
-           "vulnerabilidad_social", "idx_exclusion_digital"]
-    return c.select("territorio_id", *ind).unpivot(["territorio_id"], ind, "indicador", "valor")
+    return c.select("territorio_id", *[F.col(x).cast("double") for x in MELT_IND]) \
+            .unpivot(["territorio_id"], MELT_IND, "indicador", "valor")
 
 
 @register("transpose_profile", """
