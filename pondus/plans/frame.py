@@ -86,8 +86,9 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
     nivel, ch12 = _maybe(df, "NIVEL_ED"), _maybe(df, "CH12")
     # P10's 50 % rule reads person columns only; the left join keeps one row per person,
     # so the person side gives the same counts without the household join
-    use_nivel = i.agg(F.count(_maybe(i, "NIVEL_ED")) > F.count(F.lit(1)) * 0.5).scalar()
-    sec, sup = C.education_proxies(nivel, ch12, use_nivel)
+    # a scalar subquery runs once per reference: bind it to a column once and read that
+    df = df.withColumn("_use_nivel", i.agg(F.count(_maybe(i, "NIVEL_ED")) > F.count(F.lit(1)) * 0.5).scalar())
+    sec, sup = C.education_proxies(nivel, ch12, F.col("_use_nivel"))
     estado, cat, pp07h, dec = (_maybe(df, c) for c in ("ESTADO", "CAT_OCUP", "PP07H", "DECIFR"))
     df = df.withColumns({
         "secundario_completo": sec, "superior": sup,
@@ -101,13 +102,18 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
         "secundario_completo", "superior", "ocupado", "informal_proxy", "quintil_alto"))
     df = df.withColumn("vulnerabilidad_social", C.vulnerability_score(
         "secundario_completo", "desocupado", "quintil_bajo", "idx_exclusion_digital"))
+    # both whole-frame medians in one scalar subquery (one aggregate job, reused)
+    df = df.drop("_use_nivel")
+    df = df.withColumn("_meds", df.agg(F.struct(
+        F.median("idx_exclusion_digital").alias("idx"),
+        F.median("vulnerabilidad_social").alias("vul"))).scalar())
     if include_ict:
-        m_idx = df.agg(F.median("idx_exclusion_digital")).scalar()
-        df = df.withColumn("exclusion_digital_alta", C.at_least("idx_exclusion_digital", m_idx))
+        df = df.withColumn("exclusion_digital_alta",
+                           C.at_least("idx_exclusion_digital", F.col("_meds.idx")))
     else:
         df = df.withColumn("exclusion_digital_alta", F.lit(None).cast("int"))
-    m_vul = df.agg(F.median("vulnerabilidad_social")).scalar()
-    df = df.withColumn("vulnerabilidad_alta", C.at_least("vulnerabilidad_social", m_vul))
+    df = df.withColumn("vulnerabilidad_alta", C.at_least("vulnerabilidad_social", F.col("_meds.vul")))
+    df = df.drop("_meds")
     df = df.withColumns({"sexo_mujer": flag(_maybe(df, "CH04") == 2), "edad": F.col("CH06")})
     if "REGION" in df.columns:
         rname = _name_lookup(df, "REGION", region_names, "region_nombre")
