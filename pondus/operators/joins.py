@@ -91,3 +91,10 @@ def compare_indicators(before: DataFrame, after: DataFrame, id_cols: Sequence[st
     b, a = long(before, "base"), long(after, "escenario")
     out = b.join(a, list(id_cols) + ["indicador"], "full")
     return out.withColumn("delta", F.col("escenario") - F.col("base"))
+
+
+def person_only_stats(person: DataFrame, keys: Sequence[str] = HOUSEHOLD_KEY) -> DataFrame:
+    """No household table — the person table passes through; distinct households
+    (by key) and persons from one aggregate."""
+    return person.agg(F.count_distinct(*[F.col(k) for k in keys]).alias("hogares"),
+                      F.count(F.lit(1)).alias("personas"))

@@ -84,3 +84,53 @@ def binary_target(df: DataFrame, column: str, threshold: float | None = None,
     if threshold is None:
         raise ValueError("binary target needs a threshold or positive values")
     return df.withColumn(out, F.coalesce((c.cast("double") >= threshold).cast("int"), F.lit(0)))
+
+
+def seeded_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42,
+                  portable: bool = False) -> DataFrame:
+    """Exactly ``n`` rows without replacement, deterministic for a seed: the n
+    smallest hashes of (key, seed) — a bounded top-n heap per task
+    (TakeOrderedAndProject), so no full sort and no driver collect.  ``portable`` uses
+    md5 of the ``|``-joined key text (reproducible in any SQL engine) instead of xxhash64."""
+    if portable:
+        h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    else:
+        h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    return df.orderBy(h, *key).limit(n)
+
+
+# Default predictors of the two modelling modes of the reference.
+GUIDED_FEATURES = ["CH06", "CH04", "NIVEL_ED", "REGION", "IPCF", "IX_TOT", "ITF"]
+EXPERT_FEATURES = ["CH06", "CH04", "NIVEL_ED", "REGION", "IPCF", "IX_TOT"]
+GUIDED_TARGET = "INDICE_EXCLUSION"
+
+
+def model_target(df: DataFrame, mode: str = "guiado", column: str | None = None,
+                 threshold: float | None = None, positive_values: Sequence | None = None,
+                 out: str = "target") -> tuple[DataFrame, list[str], str]:
+    """Target and default predictors.  Guided: the exclusion index ≥ 0.5.  Expert:
+    the chosen column as is when it has two distinct values, else ``>=`` a threshold
+    (default: its unweighted median, a lazy scalar subquery) for numeric columns, or
+    membership in chosen values.  Returns (frame with ``out``, features, target label)."""
+    if mode == "guiado":
+        if GUIDED_TARGET not in df.columns:
+            raise ValueError("guided mode needs the exclusion index")
+        feats = [c for c in GUIDED_FEATURES if c in df.columns]
+        return (binary_target(df, GUIDED_TARGET, threshold=0.5, out=out), feats,
+                f"{GUIDED_TARGET} >= 0.5")
+    if column is None:
+        raise ValueError("expert mode needs a target column")
+    feats = [c for c in EXPERT_FEATURES if c in df.columns and c != column]
+    c = F.col(column)
+    two = df.select(F.count_distinct(c)).first()[0] == 2
+    numeric = dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint", "float", "double") \
+        or dict(df.dtypes)[column].startswith("decimal")
+    if not two and numeric and positive_values is None:
+        thr = F.lit(threshold) if threshold is not None else df.select(F.median(c)).scalar()
+        t = df.withColumn(out, F.coalesce((c.cast("double") >= thr).cast("int"), F.lit(0)))
+        return t, feats, column
+    if two and positive_values is None and threshold is None:
+        t = binary_target(df, column, out=out)
+    else:
+        t = binary_target(df, column, threshold=threshold, positive_values=positive_values, out=out)
+    return t, feats, column

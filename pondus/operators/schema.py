@@ -57,11 +57,13 @@ def mixed_type_repair(df: DataFrame, columns: Sequence[str] | None = None,
     blank = {c: F.when(F.trim(F.col(c)) != "", F.col(c)) for c in cols}
     stats = df.select(*[blank[c].alias(c) for c in cols]).agg(
         *[(F.count(num(F.trim(F.col(c)))) >= threshold * F.count(F.col(c))).alias(c) for c in cols])
-    out = df
+    # one scalar subquery for every decision, bound to a column once (a subquery runs
+    # once per reference)
+    out = df.withColumn("_s7", stats.select(F.struct(*cols)).scalar())
     for c in cols:
-        is_num = stats.select(F.col(c) & (F.lit(True))).scalar()
+        is_num = F.col(f"_s7.{c}")
         out = out.withColumn(c, F.when(is_num, num(F.trim(blank[c])).cast("string")).otherwise(blank[c]))
-    return out
+    return out.drop("_s7")
 
 
 def mixed_type_decisions(df: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -145,3 +147,19 @@ def detect_file_types(columns_long: DataFrame, fingerprints: DataFrame) -> DataF
              .when(F.col("best_score") >= 0.5, F.col("best"))
              .otherwise("desconocido"))
     return per_file.select("file", tipo.alias("tipo"), F.col("best_score").alias("score"))
+
+
+def describe_column(variables: DataFrame, column: str) -> DataFrame:
+    """S3: section and metadata of one column from the ``variables`` dimension of a code
+    book (lookup on the upper-cased name)."""
+    return variables.where(F.upper(F.col("variable")) == column.strip().upper())
+
+
+def candidate_columns(profile: DataFrame, max_distinct: int | None = 30,
+                      numeric_only: bool = False) -> DataFrame:
+    """Selector candidates from the S6 profile — categorical (≤ ``max_distinct``
+    distinct values) or numeric with more than one distinct value."""
+    numeric = F.col("tipo").rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
+    if numeric_only:
+        return profile.where(numeric & (F.col("distintos") > 1))
+    return profile.where(F.col("distintos") <= max_distinct)

@@ -251,3 +251,13 @@ def null_counts(df: DataFrame, top: int | None = 5) -> DataFrame:
 def weighted_mean(df: DataFrame, x: str, w: str, by=None) -> DataFrame:
     """Pairwise-complete weighted mean (null when no complete row)."""
     return df.groupBy(*_as_list(by)).agg(wmean(x, w).alias("wmean"))
+
+
+# The income-weight fallback order of the reference (household-income
+# weight, then person-income weight).
+INCOME_WEIGHTS = ("PONDIH", "PONDII")
+
+
+def income_weight(df: DataFrame, candidates: Sequence[str] = INCOME_WEIGHTS) -> str | None:
+    """The first income weight present in the table, else none (unweighted)."""
+    return next((c for c in candidates if c in df.columns), None)

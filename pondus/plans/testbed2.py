@@ -461,6 +461,38 @@ def q_profile(spark, sf):
     return S.column_profile(o)
 
 
+@register("candidate_columns", """
+WITH p AS (
+SELECT 'o_orderkey' AS columna, 'bigint' AS tipo, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS distintos FROM orders
+UNION ALL SELECT 'o_orderstatus', 'string', CAST(count(DISTINCT o_orderstatus) AS BIGINT) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'string', CAST(count(DISTINCT o_orderpriority) AS BIGINT) FROM orders
+UNION ALL SELECT 'o_custkey', 'bigint', CAST(count(DISTINCT o_custkey) AS BIGINT) FROM orders)
+SELECT columna, tipo, distintos FROM p WHERE distintos <= 30""")
+def q_candidates(spark, sf):
+    """Categorical selector candidates (≤ 30 distinct values) from the S6 profile."""
+    return S.candidate_columns(q_profile(spark, sf), 30).select("columna", "tipo", "distintos")
+
+
+@register("seeded_sample", f"""
+SELECT {KEY_SQL}, l_extendedprice FROM lineitem
+ORDER BY md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in KEY)}, '42')), {KEY_SQL} LIMIT 500""")
+def q_sample(spark, sf):
+    """A 500-row seeded sample without replacement (the sample is the feature)."""
+    li = lineitem(spark, sf).select(*KEY, "l_extendedprice")
+    return MP.seeded_sample(li, KEY, 500, seed=42, portable=True)
+
+
+@register("target_expert", """
+WITH t AS (SELECT CASE WHEN l_extendedprice >= (SELECT median(l_extendedprice) FROM lineitem) THEN 1 ELSE 0 END AS target
+           FROM lineitem)
+SELECT target, CAST(count(*) AS BIGINT) AS n, count(*) / sum(count(*)) OVER () AS share FROM t GROUP BY 1""")
+def q_target_expert(spark, sf):
+    """P27 (expert mode) + G18: a many-valued numeric target binarised at its unweighted
+    median (a lazy scalar subquery), then the class balance."""
+    t, _, _ = MP.model_target(lineitem(spark, sf), "experto", "l_extendedprice")
+    return G.class_balance(t, "target")
+
+
 @register("null_top5", with_frame("""
 SELECT columna, nulos FROM (
   SELECT 'idx_exclusion_digital' AS columna, CAST(count(*) - count(idx_exclusion_digital) AS BIGINT) AS nulos FROM frame
