@@ -64,11 +64,16 @@ def glm_inference(df: DataFrame, features: Sequence[str], label: str,
                                       labelCol=label, maxIter=100, tol=1e-10)
     if weight:
         glr = glr.setWeightCol(weight)
+    schema = ("variable string, coef double, odds_ratio double, or_ci_low double, or_ci_high double, "
+              "p double, se double, pseudo_r2 double, log_lik double, aic double, bic double")
     m = glr.fit(d)
     s = m.summary
     names = list(features) + ["(intercept)"]
     coefs = list(m.coefficients) + [m.intercept]
-    ses = list(s.coefficientStandardErrors)
+    try:
+        ses = list(s.coefficientStandardErrors)
+    except Exception:  # noqa: BLE001 — singular information matrix: empty table, as the reference
+        return df.sparkSession.createDataFrame([], schema)
     n = s.numInstances
     k = len(names)
     llf = -s.deviance / 2

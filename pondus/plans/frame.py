@@ -156,3 +156,10 @@ def validate_microdata(df: DataFrame) -> DataFrame:
     else:
         aggs.append(F.lit(0.0).alias("missing_critico_pct"))
     return df.agg(*aggs)
+
+
+def age_status_subset(df: DataFrame, age: str = "CH06", status: str = "ESTADO",
+                      low: int = 18, high: int = 65, statuses=(1, 2)) -> DataFrame:
+    """persons of working age in the labour force (age band and status set;
+    null-rejecting, as a boolean mask over coerced numbers)."""
+    return df.where(num(age).between(low, high) & isin_safe(num(status), list(statuses)))

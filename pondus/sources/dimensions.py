@@ -72,3 +72,9 @@ def territories(area_dim: DataFrame, code: str = "code", name: str = "name") ->
         F.col(code).cast("int").alias("aglomerado_codigo"),
         F.lit("aglomerado").alias("tipo"))
     return nat.unionByName(per_area)
+
+
+def search_territories(territory_dim: DataFrame, query: str) -> DataFrame:
+    """case-insensitive text search on the territory name."""
+    from pyspark.sql import functions as F
+    return territory_dim.where(F.lower(F.col("territorio_nombre")).contains(query.strip().lower()))
