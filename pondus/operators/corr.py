@@ -46,11 +46,12 @@ def pearson_long(df: DataFrame, columns: Sequence[str], *, diagonal: bool = True
     return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
 
-def rank_table(df: DataFrame, column: str, out: str, *, method: str = "bucketed") -> DataFrame:
+def rank_table(df: DataFrame, column: str, out: str, *, method: str = "bucketed",
+               splits: Sequence[float] | None = None) -> DataFrame:
     """(value ``_rv``, average rank ``out``) for every distinct non-null value."""
     red = (df.where(F.col(column).isNotNull())
              .groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_w")))
-    red = ordered.running_weight(red, ["_v"], "_w", method=method, total=None)
+    red = ordered.running_weight(red, ["_v"], "_w", method=method, total=None, splits=splits)
     return red.select(F.col("_v").alias("_rv"), (F.col("_excl") + (F.col("_w") + 1) / 2).alias(out))
 
 
@@ -71,10 +72,17 @@ def spearman_long(df: DataFrame, columns: Sequence[str], *, listwise: bool = Tru
     cols = list(columns)
     base = df.select(*cols).dropna() if listwise else df.select(*cols)
     d = base
-    for c in cols:
+    splits = [None] * len(cols)
+    if method == "bucketed":
+        # split points of every column from one sketch pass (not one job per column)
+        nb = ordered._default_buckets(base)
+        probs = [i / nb for i in range(1, nb)]
+        splits = base.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
+                     .approxQuantile(cols, probs, 1e-3)
+    for c, sp in zip(cols, splits):
         # each rank table is computed from the base rows (not from the previous joins)
-        d = d.join(rank_table(base, c, f"_rk_{c}", method=method), F.col(c).cast("double") == F.col("_rv"),
-                   "left").drop("_rv")
+        d = d.join(rank_table(base, c, f"_rk_{c}", method=method, splits=sp),
+                   F.col(c).cast("double") == F.col("_rv"), "left").drop("_rv")
     r = pearson_long(d.select(*[F.col(f"_rk_{c}").alias(c) for c in cols]), cols,
                      diagonal=False, both_triangles=False)
     return r

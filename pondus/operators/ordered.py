@@ -64,12 +64,15 @@ def _bucketize(df: DataFrame, c: str, splits: list[float], out: str) -> DataFram
 def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=None, *,
                    excl: str = "_excl", total: str | None = "_tot", method: str = "bucketed",
                    buckets: int | None = None, rel_err: float = 1e-3,
-                   hot_factor: float = 2.0) -> DataFrame:
+                   hot_factor: float = 2.0, splits: Sequence[float] | None = None) -> DataFrame:
     """Add the exclusive running sum of ``weight`` in ``order`` within ``by`` groups.
 
     ``order`` must be a total order for row-level results (append key columns); the
     leading column must be numeric and non-null.  ``total`` adds the group total.
     ``method="window"`` is the single-pass reference path (tests, tiny inputs).
+    ``splits`` may carry precomputed split points of the leading column (any points
+    give the exact result; they only balance the buckets), e.g. from one multi-column
+    ``approxQuantile`` shared by several calls.
     """
     order = _as_list(order)
     by = _as_list(by)
@@ -84,7 +87,7 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
 
     nb = buckets or _default_buckets(df)
     lead = order[0]
-    raw = _raw_quantiles(df, lead, nb, rel_err)
+    raw = [float(x) for x in splits] if splits is not None else _raw_quantiles(df, lead, nb, rel_err)
     splits = sorted(set(raw))
     staged = _bucketize(df, lead, splits, _B)
     sub = F.lit(0)
