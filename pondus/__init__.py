@@ -12,4 +12,12 @@ plans      composed jobs (analysis frame, catalogue, request runs) and table bin
 streaming  incremental wave ingestion with Structured Streaming
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so that Python workers
+# need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
