@@ -71,13 +71,10 @@ def nonresponse_to_null(c, codes: Sequence[int] = NONRESPONSE_CODES) -> Column:
 
 
 def code_key(c) -> Column:
-    """P3 key normalisation: integral numbers lose zeros/decimals ("01"→"1", 4.0→"4");
-    numeric values truncate toward zero; non-numeric text stays trimmed text."""
+    """P3 key normalisation: integer text loses zeros ("01" → "1"), numeric columns truncate
+    toward zero (4.0 → "4"); any other text ("4.7", "1e30", words) stays trimmed text."""
     c = col(c)
-    as_num = c.cast("string").try_cast("double")
-    integral = F.when(as_num.isNotNull() & ~F.isnan(as_num),
-                      as_num.cast("long").cast("string"))
-    return F.coalesce(integral, F.trim(c.cast("string")))
+    return F.coalesce(c.try_cast("bigint").cast("string"), F.trim(c.cast("string")))
 
 
 def age_group(age) -> Column:

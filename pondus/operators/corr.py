@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dist import norm_two_sided_p, t_two_sided_p
 from . import ordered
+from ..session import cut_lineage
 
 
 def pearson_long(df: DataFrame, columns: Sequence[str], *, diagonal: bool = True,
@@ -55,22 +57,14 @@ def rank_table(df: DataFrame, column: str, out: str, *, method: str = "bucketed"
     return red.select(F.col("_v").alias("_rv"), (F.col("_excl") + (F.col("_w") + 1) / 2).alias(out))
 
 
-def average_ranks(df: DataFrame, column: str, out: str, *, method: str = "bucketed") -> DataFrame:
-    """Average rank (ties share the mean position) via the ordered kernel over distinct
-    values: rank = rows before + (rows in the tie block + 1)/2; joined back by value."""
-    red = (df.where(F.col(column).isNotNull())
-             .groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_w")))
-    red = ordered.running_weight(red, ["_v"], "_w", method=method, total=None)
-    ranks = red.select(F.col("_v").alias("_rv"), (F.col("_excl") + (F.col("_w") + 1) / 2).alias(out))
-    return (df.withColumn("_rv", F.col(column).cast("double"))
-              .join(ranks, "_rv", "left").drop("_rv"))
-
-
 def spearman_long(df: DataFrame, columns: Sequence[str], *, listwise: bool = True,
                   method: str = "bucketed") -> DataFrame:
-    """R2 on the listwise-complete frame: Pearson of average ranks."""
+    """R2: Pearson of average ranks, on the listwise-complete frame or, with
+    ``listwise=False``, on each pair's own complete rows."""
     cols = list(columns)
-    base = df.select(*cols).dropna() if listwise else df.select(*cols)
+    if not listwise:
+        return _spearman_pairwise(df, cols)
+    base = df.select(*cols).dropna()
     d = base
     splits = [None] * len(cols)
     if method == "bucketed":
@@ -88,20 +82,77 @@ def spearman_long(df: DataFrame, columns: Sequence[str], *, listwise: bool = Tru
     return r
 
 
+def _spearman_pairwise(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Ranks within each pair's complete rows, every pair as a group of one job: first one
+    row per distinct (pair, x, y), then per distinct value of either side a rank from the
+    grouped kernel, joined back to the distinct points.  A value that many rows share is one
+    point here, so it makes no hot key."""
+    pairs = list(combinations(cols, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double, n long")
+    one = df.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for a, b in pairs])).alias("p")).select("p.*").dropna()
+    key = ["var1", "var2"]
+    points = cut_lineage(one.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    d = points
+    for c in ("x", "y"):
+        red = points.groupBy(*key, F.col(c).alias("_v")).agg(F.sum("w").alias("_w"))
+        red = ordered.running_weight(red, ["_v"], "_w", key, total=None)
+        d = d.join(red.select(*key, F.col("_v").alias(c), (F.col("_excl") + (F.col("_w") + 1) / 2).alias(f"r{c}")), [*key, c])
+    n = F.sum("w")
+    mx, my = F.sum(F.col("w") * F.col("rx")) / n, F.sum(F.col("w") * F.col("ry")) / n
+    sums = d.groupBy(*key).agg(n.alias("n"), mx.alias("mx"), my.alias("my"))
+    d = d.join(F.broadcast(sums), key)  # a row for each pair of columns
+    dx, dy = F.col("rx") - F.col("mx"), F.col("ry") - F.col("my")
+    out = d.groupBy(*key, "n").agg(F.sum(F.col("w") * dx * dy).alias("xy"), F.sum(F.col("w") * dx * dx).alias("xx"), F.sum(F.col("w") * dy * dy).alias("yy"))
+    r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    every = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string")
+    return every.join(F.broadcast(out), key, "left").select(*key, r.alias("r"), F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"))
+
+
+def kendall_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """τ-b, n and the tie-corrected p of every pair, each on its own complete rows."""
+    pairs = [kendall_tau_b(df, a, b) for a, b in combinations(list(columns), 2)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double, n long, p double")
+    return reduce(DataFrame.unionByName, pairs).select("var1", "var2", F.col("tau_b").alias("r"), "n", "p")
+
+
+def matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A pair table as the full square, long form: both triangles and a diagonal of 1."""
+    diagonal = pairs.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "var1 string, var2 string, r double")
+    return (pairs.select("var1", "var2", "r").unionByName(pairs.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r"))
+            .unionByName(diagonal))
+
+
+METHODS = ("pearson", "spearman", "kendall")
+
+
 def corr_pairs(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """Listwise frame, one row per unordered pair (var1, var2, r, n), ordered by |r|."""
+    if method not in METHODS:
+        raise ValueError(f"method {method!r}; one of {', '.join(METHODS)}")
     cols = list(columns)
     d = df.select(*[F.col(c).cast("double") for c in cols]).dropna()
     if method == "spearman":
         out = spearman_long(d, cols)
+    elif method == "kendall":
+        out = kendall_long(d, cols)
     else:
         out = pearson_long(d, cols, diagonal=False, both_triangles=False)
     return out.orderBy(F.abs("r").desc_nulls_last(), "var1", "var2")
 
 
 def with_p_values(pairs: DataFrame, method: str = "pearson") -> DataFrame:
-    """Attach two-sided p and 5 % significance.  The pair table has k(k−1)/2 rows (k is the
+    """Attach two-sided p and 5 % significance: t for Pearson and Spearman; Kendall's pairs
+    bring their tie-corrected p with them.  The pair table has k(k−1)/2 rows (k is the
     number of *columns*), so its p-values are computed as a grouped pandas map."""
+    if method not in METHODS:
+        raise ValueError(f"method {method!r}; one of {', '.join(METHODS)}")
+    if method == "kendall":
+        return pairs.withColumn("significativo", F.col("p") < 0.05)
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         ps = []
         for r, n in zip(pdf["r"], pdf["n"]):
@@ -189,7 +240,7 @@ def _dc(x, y, w) -> float:
     return cross + _dc(x[:cut], ly, lw) + _dc(x[cut:], ry, rw)
 
 
-KENDALL_GROUP = 1_000_000  # distinct points one pandas group may hold
+KENDALL_GROUP = 4096  # distinct points of the last, smallest grid; buckets hold about as many
 
 
 def _edges(d: DataFrame, c: str, nb: int) -> tuple[list[float], set[int]]:
@@ -226,7 +277,7 @@ def kendall_s(d: DataFrame, *, min_buckets: int = 16, group_limit: int = KENDALL
     n = d.count() if n is None else n
     if n < 2:
         return 0.0
-    if n <= group_limit:
+    if n <= group_limit:  # the recursion's end: at most group_limit cells
         return _group_sums(d.withColumn("_one", F.lit(0)), ["_one"])
     g = max(min_buckets, min(math.ceil(2 * n / group_limit), math.isqrt(n // 2)))
     sx, single_x = _edges(d, "x", g)
@@ -258,19 +309,21 @@ def kendall_tau_b(df: DataFrame, x: str, y: str, *, buckets: int = 16,
         cells, ties = d.agg(F.count(F.lit(1)), F.sum("w")).first()
         ties = ties or 0.0
         s = kendall_s(d, min_buckets=buckets, group_limit=group_limit, n=cells)
-        pairs_t = F.sum(F.col("t") * (F.col("t") - 1) / 2)
-        tx = d.groupBy("x").agg(F.sum("w").alias("t")).agg(pairs_t).first()[0]
-        ty = d.groupBy("y").agg(F.sum("w").alias("t")).agg(pairs_t).first()[0]
+        t = F.col("t")
+        moments = [F.coalesce(F.sum(e), F.lit(0.0)) for e in (t * (t - 1) / 2, t * (t - 1) * (t - 2), t * (t - 1) * (2 * t + 5))]
+        tx, ty = (d.groupBy(c).agg(F.sum("w").alias("t")).agg(*moments).first() for c in ("x", "y"))
     finally:
         d.unpersist()
     n0 = ties * (ties - 1) / 2
-    denom = np.sqrt((n0 - (tx or 0.0)) * (n0 - (ty or 0.0)))
+    denom = math.sqrt((n0 - tx[0]) * (n0 - ty[0]))
     tau = float(s / denom) if denom > 0 else None
     p = None
     if tau is not None and ties > 2:
-        # normal approximation without tie correction of the variance
-        z = 3 * tau * np.sqrt(ties * (ties - 1)) / np.sqrt(2 * (2 * ties + 5))
-        p = norm_two_sided_p(float(z))
+        # normal approximation of S, its variance corrected for ties on both sides
+        n1 = ties * (ties - 1)
+        var = ((n1 * (2 * ties + 5) - tx[2] - ty[2]) / 18 + 2 * tx[0] * ty[0] / n1
+               + tx[1] * ty[1] / (9 * n1 * (ties - 2)))
+        p = norm_two_sided_p(float(s / math.sqrt(var))) if var > 0 else None
     spark = df.sparkSession
     return spark.createDataFrame([(x, y, tau, int(ties), float(s), p)],
                                  "var1 string, var2 string, tau_b double, n long, s double, p double")

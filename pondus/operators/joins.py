@@ -23,9 +23,15 @@ def require_keys(df: DataFrame, keys: Sequence[str], what: str) -> None:
         raise KeyError(f"{what}: missing key columns {missing}")
 
 
+def row_hash(df: DataFrame):
+    """A hash of all columns: the last tie-breaker, equal only for equal rows."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """Deterministic keep-first per key (row_number over a total order)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """Deterministic keep-first per key: row_number over ``order``, then a hash of the
+    row, so the result doesn't depend on the input's order."""
+    w = Window.partitionBy(*keys).orderBy(*order, row_hash(df))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -49,7 +55,7 @@ def household_join(household: DataFrame, person: DataFrame, keys: Sequence[str]
     order = [c for c in (order or []) if isinstance(c, str) and c in household.columns]
     extra = [c for c in order if c not in new_cols and c not in keys]
     h = household.select(*keys, *new_cols, *extra)
-    h = keep_first(h, keys, order or [F.lit(1)]).drop(*extra) if validate else h.drop(*extra)
+    h = keep_first(h, keys, order).drop(*extra) if validate else h.drop(*extra)
     return person.join(h.withColumn("_hh", F.lit(1)), keys, "left")
 
 

@@ -10,11 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .ordered import unweighted_quantiles
+
 
 def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 30) -> dict[str, list]:
     """Distinct non-null levels per column, sorted; columns with more than ``max_levels``
-    levels are left out.  One aggregate: a bounded ``collect_set`` per column (the
-    distinct count is checked first so no set grows past the cap)."""
+    levels are left out (:func:`left_out` names them).  One aggregate: a bounded
+    ``collect_set`` per column (the distinct count is checked first so no set grows past
+    the limit)."""
     cols = list(columns)
     counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     small = [c for c in cols if counts[c] <= 2 * max_levels]
@@ -24,6 +27,11 @@ def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 30)
     return {c: row[c] for c in small if 0 < len(row[c]) <= max_levels}
 
 
+def left_out(columns: Sequence[str], levels: dict[str, list]) -> list[str]:
+    """The columns that :func:`category_levels` left out: too many levels, or none."""
+    return [c for c in columns if c not in levels]
+
+
 def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = True) -> DataFrame:
     """One 0/1 column per level (``COL_level``), the alphabetically first level dropped,
     null → all zeros; constant columns (a single kept level that never varies) remain the
@@ -38,13 +46,17 @@ def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = True) ->
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """M1: fill nulls with the exact (interpolated) median — one scalar subquery each,
-    merged by the optimizer into one aggregate."""
-    meds = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in columns])
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), meds.select(c).scalar())
+    """M1: fill nulls with the exact (interpolated) median from the bucketed kernel, one
+    scalar subquery each; a column without values stays null."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), exact_median(df, c).scalar())
                            for c in columns})
 
 
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, one column: the interpolated median of the non-null values."""
+    return unweighted_quantiles(df.select(F.col(column).cast("double").alias("_m")), "_m", [0.5]).select("q50")
+
+
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """M2: (x − mean) / population sd; sd = 0 divides by 1."""
     st = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in columns],
@@ -126,7 +138,7 @@ def model_target(df: DataFrame, mode: str = "guiado", column: str | None = None,
     numeric = dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint", "float", "double") \
         or dict(df.dtypes)[column].startswith("decimal")
     if not two and numeric and positive_values is None:
-        thr = F.lit(threshold) if threshold is not None else df.select(F.median(c)).scalar()
+        thr = F.lit(threshold) if threshold is not None else exact_median(df, column).scalar()
         t = df.withColumn(out, F.coalesce((c.cast("double") >= thr).cast("int"), F.lit(0)))
         return t, feats, column
     if two and positive_values is None and threshold is None:

@@ -22,6 +22,7 @@ first reduce the input to one row per distinct value, which removes hot blocks e
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -49,12 +50,11 @@ def _raw_quantiles(df: DataFrame, c: str, buckets: int, rel_err: float) -> list[
     return [float(p) for p in pts if p is not None]
 
 
-def _split_points(df: DataFrame, c: str, buckets: int, rel_err: float) -> list[float]:
-    return sorted(set(_raw_quantiles(df, c, buckets, rel_err)))
-
-
 def _bucketize(df: DataFrame, c: str, splits: list[float], out: str) -> DataFrame:
-    """Bucket index of ``c`` by binary search over the split points (JVM-side)."""
+    """Bucket index of ``c`` by binary search over the split points (JVM-side); without
+    split points (an empty input) everything is bucket 0."""
+    if not splits:
+        return df.withColumn(out, F.lit(0.0))
     edges = [float("-inf")] + splits + [float("inf")]
     tmp = "_pd_bsrc"
     b = Bucketizer(splits=edges, inputCol=tmp, outputCol=out, handleInvalid="keep")
@@ -96,10 +96,10 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
         # A value holding more than ~2/nb of the rows shows up as a repeated split point
         # of the same quantile sketch, so no extra pass is needed to find hot values.
         nxt = order[1]
-        hot = sorted({v for v in raw if raw.count(v) >= max(2, int(hot_factor))})
+        hot = {v: k for v, k in Counter(raw).items() if k >= max(2, int(hot_factor))}
         if hot:
             cases = None
-            for v, pts in _hot_splits(df, lead, nxt, hot, nb, rel_err).items():
+            for v, pts in _hot_splits(df, lead, nxt, hot, rel_err).items():
                 idx = F.size(F.filter(F.array(*[F.lit(p) for p in pts]),
                                       lambda s: s <= F.col(nxt).cast("double"))) if pts else F.lit(0)
                 cases = (F.when(F.col(lead) == F.lit(v), idx) if cases is None
@@ -123,21 +123,25 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
         offsets = offsets.withColumn(total, F.sum("_pd_bw").over(Window.partitionBy(*by)))
     offsets = offsets.drop("_pd_bw")
     if not by:
-        # at most (buckets x sub-buckets) rows: a proven bound, safe to broadcast
+        # a hot value gets as many sub-ranges as split points it took, so there are at most
+        # two rows per bucket: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
     out = staged.join(offsets, part, "inner")
     out = out.withColumn(excl, F.col("_pd_local") + F.col("_pd_off"))
     return out.drop("_pd_local", "_pd_off", _B, _S)
 
 
-def _hot_splits(df: DataFrame, lead: str, nxt: str, hot: list, nb: int, rel_err: float) -> dict:
-    probs = [i / nb for i in range(1, nb)]
-    acc = int(1 / rel_err)
-    rows = (df.where(F.col(lead).isin(hot))
+def _hot_splits(df: DataFrame, lead: str, nxt: str, hot: dict[float, int], rel_err: float) -> dict:
+    """Split points of the next column for each hot value: one less than the times that the
+    value repeats in the sketch, so all of them together are no more than the buckets."""
+    most = max(hot.values())
+    probs = [i / most for i in range(1, most)]
+    rows = (df.where(F.col(lead).isin(sorted(hot)))
               .groupBy(lead)
-              .agg(F.percentile_approx(F.col(nxt).cast("double"), probs, acc).alias("p"))
+              .agg(F.percentile_approx(F.col(nxt).cast("double"), probs, int(1 / rel_err)).alias("p"))
               .collect())
-    return {r[0]: sorted({float(x) for x in r[1]}) for r in rows}
+    return {r[0]: sorted({float(r[1][i * most // hot[float(r[0])] - 1]) for i in range(1, hot[float(r[0])])})
+            for r in rows if r[1]}
 
 
 # ---------------------------------------------------------------------------
@@ -329,24 +333,32 @@ def quintile_ratio(qtable: DataFrame, by=None) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def unweighted_quantiles(df: DataFrame, value: str, probs: Sequence[float], by=None) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas default)."""
+    """Exact linear-interpolated quantiles (pandas default), through the bucketed kernel:
+    one row per distinct value and its running count, never all values in one task.
+    Without values the quantiles are null (no group: one row)."""
     by = _as_list(by)
     v = F.col(value).try_cast("double")
-    return df.groupBy(*by).agg(*[F.percentile(v, float(p)).alias(_qname(p)) for p in probs])
-
-
-def share_of_total(df: DataFrame, c: str, by=None, out: str = "share") -> DataFrame:
-    """D11 on an *aggregated* table: x / Σx over the partition (×100)."""
-    by = _as_list(by)
-    return df.withColumn(out, 100 * F.col(c) / F.sum(c).over(Window.partitionBy(*by)))
+    red = (df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull())
+             .groupBy(*by, "_v").agg(F.count(F.lit(1)).cast("double").alias("_w")))
+    cd = running_weight(red, ["_v"], "_w", by).withColumn("_cum", F.col("_excl") + F.col("_w"))
+    aggs = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_tot") - 1)
+        aggs += [F.min(F.when(F.col("_cum") > F.floor(at), F.col("_v"))).alias(f"_lo{i}"),
+                 F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(at - F.floor(at)).alias(f"_f{i}")]
+    agg = cd.groupBy(*by).agg(*aggs)
+    out = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(_qname(p))
+           for i, p in enumerate(probs)]
+    return agg.select(*by, *out)
 
 
 def clip_to_percentiles(df: DataFrame, c: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
-    """Clip to the exact 2nd and 98th percentiles (a scalar subquery, no driver loop)."""
-    bounds = df.agg(F.percentile(F.col(c), [lo, hi]).alias("b"))
-    lo_v = bounds.select(F.col("b")[0]).scalar()
-    hi_v = bounds.select(F.col("b")[1]).scalar()
-    return df.withColumn(c, F.least(F.greatest(F.col(c), lo_v), hi_v))
+    """Clip to the exact 2nd and 98th percentiles (a scalar subquery, no driver loop);
+    nulls stay null."""
+    bounds = unweighted_quantiles(df, c, [lo, hi])
+    lo_v, hi_v = (bounds.select(F.col(x)).scalar() for x in (_qname(lo), _qname(hi)))
+    return df.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), lo_v), hi_v)))
 
 
 def greedy_prefix(df: DataFrame, weight: str, key: Sequence[str], extra: Column, by=None, *,

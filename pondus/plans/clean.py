@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import coding as C
 from ..functions.expr import num
+from ..operators.ordered import unweighted_quantiles
 
 
 def normalize_types(df: DataFrame) -> DataFrame:
@@ -73,9 +74,10 @@ def clean_persons(df: DataFrame, labels: DataFrame | None = None, *, nonresponse
 
 
 def income_quintile_label(df: DataFrame, col: str = "IPCF") -> DataFrame:
-    """Unweighted interpolated quintile edges of positive incomes (one exact
-    percentile aggregate, a scalar subquery) → right-closed labels, lowest included."""
+    """Unweighted interpolated quintile edges of positive incomes (exact, from the
+    bucketed kernel, a scalar subquery) → right-closed labels, lowest included."""
     pos = F.when(num(col) > 0, num(col))
-    q = F.percentile(pos, [0.2, 0.4, 0.6, 0.8])
-    edges = df.agg(F.array(F.min(pos), q[0], q[1], q[2], q[3], F.max(pos))).scalar()
+    cuts = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    q = unweighted_quantiles(df.select(pos.alias("_pos")), "_pos", cuts)
+    edges = q.select(F.array(*[F.col(c) for c in q.columns])).scalar()
     return df.withColumn("QUINTIL_IPCF", C.edges_label(pos, edges, C.INCOME_QUINTILE_LABELS))

@@ -8,11 +8,13 @@ Catalyst plans them as separate small aggregate jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import coding as C
 from ..functions.expr import flag, isin_safe, num, row_mean
+from ..operators.joins import keep_first
 
+# The survey's column names that the frame reads.
 PERSON_COLS = ["CODUSU", "AGLOMERADO", "REGION", "CH04", "CH06", "CH12", "NIVEL_ED", "ESTADO",
                "CAT_OCUP", "PP07H", "PONDERA", "ITF", "DECIFR", "IPCF"]
 PERSON_ICT = ["V10_M", "V11_M", "V12_M", "V18_M", "V19_AM"]
@@ -22,12 +24,6 @@ ACCESS_FLAGS = ["excl_sin_pc", "excl_sin_internet_hogar"]
 USE_FLAGS = ["excl_sin_uso_cel", "excl_sin_uso_pc", "excl_sin_uso_internet"]
 
 
-def dedup_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Deterministic keep-first per key (``dropDuplicates`` is not deterministic)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def _maybe(df: DataFrame, c: str):
     return num(c) if c in df.columns else F.lit(None).cast("double")
 
@@ -40,7 +36,8 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
     """Build the person-level analysis frame.
 
     ``household_key`` defaults to the dwelling only (trap T5, reference behaviour);
-    ``wave_order`` decides which household record is "first" (default: year, quarter).
+    ``wave_order`` decides which household record is "first" (default: year, quarter), then
+    the household's number and a hash of the row.
     ``region_names``/``area_names`` are (code, name) dimensions (trap T2: passed in).
     ``keep`` carries extra person columns (e.g. a wider unique key) into the frame.
     """
@@ -49,14 +46,14 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
              + (PERSON_ICT if include_ict else []) if c in individual.columns]
     icols += [c for c in ("anio", "trimestre") if c in individual.columns and c not in icols]
     hcols = [c for c in HOUSEHOLD_COLS if c in hogar.columns]
-    horder = [c for c in (wave_order or ["anio", "trimestre"]) if c in hogar.columns]
+    horder = [c for c in (wave_order or ["anio", "trimestre"]) + ["NRO_HOGAR"] if c in hogar.columns]
 
     i = individual.select(*icols).withColumn("CH06", num("CH06")).where(F.col("CH06") >= min_age)
     h = hogar.select(*hcols, *[c for c in horder if c not in hcols])
     if area is not None:
         i = i.where(num("AGLOMERADO") == area)
         h = h.join(i.select(*hkey).distinct(), hkey, "left_semi")  # J8
-    h = dedup_first(h, hkey, horder or [F.lit(1)]).select(*hcols)
+    h = keep_first(h, hkey, horder).select(*hcols)
     ict_h = [c for c in h.columns if c.startswith("V") and c not in hkey]
     h = h.withColumnsRenamed({c: f"H_{c}" for c in ict_h})
     clash = [c for c in h.columns if c in i.columns and c not in hkey]

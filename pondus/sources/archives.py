@@ -1,91 +1,95 @@
 """Archive members (A6, A7) as a Spark job over many archives.
 
 ``binaryFile`` gives one row per archive (an archive is not splittable, so one task per
-archive is the natural unit); ``mapInPandas`` walks the members with the standard
-``zipfile`` module and streams their lines out in bounded batches.  Choosing the member
-(largest, or name containing "hog"/"ind") is a DataFrame operation.
+archive is the natural unit).  A task picks the archive's member from the directory
+(largest, or name containing "hog"/"ind"), and decompresses only that one, streaming its
+records out in bounded batches: each record is a map from the member's own header to its
+values, so archives with other headers or another column order keep their meaning.
 """
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .readers import sniff_separator
 
 DATA_SUFFIXES = (".txt", ".csv", ".dat")
 BATCH_LINES = 50_000
-MEMBER_SCHEMA = "archive string, member string, size long, line_no long, line string"
+RECORD_SCHEMA = "archive string, member string, size long, record_no long, fields map<string,string>, extra int"
 
 
-def _decode(raw: bytes) -> str:
-    """Try UTF-8, then Latin-1 (A4 for archive members)."""
+def _encoding(zf: zipfile.ZipFile, info: zipfile.ZipInfo) -> str:
+    """UTF-8 if the whole member decodes, else Latin-1 (A4); read in pieces."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        return raw.decode("utf-8")
+        with zf.open(info) as fh:
+            while piece := fh.read(1 << 20):
+                decoder.decode(piece)
+        decoder.decode(b"", True)
+        return "utf-8-sig"
     except UnicodeDecodeError:
-        return raw.decode("latin-1")
-
+        return "latin-1"
 
-def _members(batches):
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                for info in zf.infolist():
-                    if info.is_dir() or not info.filename.lower().endswith(DATA_SUFFIXES):
-                        continue
-                    with zf.open(info) as fh:
-                        text = _decode(fh.read())
-                    lines = text.splitlines()
-                    for start in range(0, len(lines), BATCH_LINES):
-                        chunk = lines[start:start + BATCH_LINES]
-                        yield pd.DataFrame({
-                            "archive": path, "member": info.filename, "size": info.file_size,
-                            "line_no": range(start, start + len(chunk)), "line": chunk})
-
-
-def member_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, size, line_no, line) for every data member of every archive."""
-    bins = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return bins.select("path", "content").mapInPandas(_members, MEMBER_SCHEMA)
 
-
-def pick_members(lines: DataFrame, name_contains: str | None = None) -> DataFrame:
-    """The largest member per archive; A7: the first member (by name) whose name
-    contains ``name_contains`` (case-insensitive)."""
-    members = lines.select("archive", "member", "size").distinct()
+def _choose(zf: zipfile.ZipFile, name_contains: str | None) -> list[zipfile.ZipInfo]:
+    """The largest data member, ties by name; A7: the first by name that contains
+    ``name_contains`` (case-insensitive)."""
+    data = [i for i in zf.infolist() if not i.is_dir() and i.filename.lower().endswith(DATA_SUFFIXES)]
     if name_contains:
-        members = members.where(F.lower("member").contains(name_contains.lower()))
-        order = [F.col("member")]
+        data = sorted((i for i in data if name_contains.lower() in i.filename.lower()), key=lambda i: i.filename)
     else:
-        order = [F.desc("size"), F.col("member")]
-    w = Window.partitionBy("archive").orderBy(*order)
-    chosen = members.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("archive", "member")
-    return lines.join(chosen, ["archive", "member"], "left_semi")
+        data = sorted(data, key=lambda i: (-i.file_size, i.filename))
+    return data[:1]
 
 
-def lines_to_table(lines: DataFrame, sep: str | None = None) -> DataFrame:
-    """Split member lines into columns named by each member's header line.  All chosen
-    members must share the header (one survey file type); the header is one line per
-    member, a bounded collect."""
-    headers = lines.where(F.col("line_no") == 0).select("line").distinct().limit(2).collect()
-    if not headers:
-        return lines.sparkSession.createDataFrame([], "archive string")
-    header = headers[0][0]
-    if sep is None:
-        from .readers import sniff_separator
-        sep = sniff_separator(header) or ","
-    names = [h.strip().strip('"').upper() for h in header.split(sep)]
-    body = lines.where(F.col("line_no") > 0)
-    parts = F.split(F.col("line"), _regex_escape(sep))
-    return body.select("archive", *[F.trim(parts[i]).alias(n) for i, n in enumerate(names)])
+def _records(batches, name_contains: str | None, sep: str | None):
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                for info in _choose(zf, name_contains):
+                    with zf.open(info) as fh, io.TextIOWrapper(fh, _encoding(zf, info), newline="") as text:
+                        first = text.readline().rstrip("\r\n")
+                        own = sep or sniff_separator(first) or ","
+                        names = [h.strip().upper() for h in next(csv.reader([first], delimiter=own), [])]
+                        rows: list[dict] = []
+                        for n, row in enumerate(csv.reader(text, delimiter=own), 1):
+                            if not row:
+                                continue
+                            rows.append({"archive": path, "member": info.filename, "size": info.file_size, "record_no": n,
+                                         "fields": {k: (row[i].strip() if i < len(row) else None) for i, k in enumerate(names)},
+                                         "extra": len(row) - len(names)})
+                            if len(rows) == BATCH_LINES:
+                                yield pd.DataFrame(rows)
+                                rows = []
+                        if rows:
+                            yield pd.DataFrame(rows)
+
+
+def member_records(spark: SparkSession, path: str, name_contains: str | None = None, sep: str | None = None) -> DataFrame:
+    """(archive, member, size, record_no, fields, extra): the records of the chosen member of
+    every archive; ``extra`` is the number of fields beyond (or, below 0, missing from) the
+    member's header."""
+    bins = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return bins.select("path", "content").mapInPandas(lambda it: _records(it, name_contains, sep), RECORD_SCHEMA)
 
 
-def _regex_escape(sep: str) -> str:
-    return "\\" + sep if sep in "|.^$*+?()[]{}\\" else sep
+def records_to_table(records: DataFrame) -> DataFrame:
+    """One column for each name in any header, in the order of the first header that has it
+    (headers are few: one distinct row for each kind of file)."""
+    headers = sorted((r[0] for r in records.select(F.map_keys("fields")).distinct().collect()), key=lambda h: (-len(h), h))
+    names = list(dict.fromkeys(name for h in headers for name in h))
+    return records.select("archive", *[F.col("fields").getItem(n).alias(n) for n in names])
 
 
 def read_archive_table(spark: SparkSession, path: str, name_contains: str | None = None,
                        sep: str | None = None, **_) -> DataFrame:
-    """A6/A7 end to end: archives → chosen member per archive → typed-by-name table."""
-    return lines_to_table(pick_members(member_lines(spark, path), name_contains), sep)
+    """A6/A7 end to end: archives → chosen member per archive → table by name.  Every record
+    is kept; a short one has nulls, surplus fields of a long one are reported by
+    :func:`member_records` (``extra``)."""
+    return records_to_table(member_records(spark, path, name_contains, sep))

@@ -10,8 +10,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.schema import normalize_names
 
@@ -28,10 +28,18 @@ def head_lines(spark: SparkSession, path: str, n: int = 20, encoding: str | None
     return [r[0] for r in reader.text(path).limit(n).collect()]
 
 
-def guess_encoding(spark: SparkSession, path: str, n: int = 200) -> str:
-    """A4: UTF-8 when the head decodes cleanly, else ISO-8859-1 (Latin-1)."""
-    lines = head_lines(spark, path, n)
-    return "ISO-8859-1" if any("�" in ln for ln in lines) else "UTF-8"
+def guess_encoding(spark: SparkSession, path: str) -> str:
+    """A4: UTF-8 when the whole file decodes cleanly, else ISO-8859-1 (Latin-1): one
+    distributed pass that ends at the first line that is not valid UTF-8."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if broken else "UTF-8"
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system, not of the driver's disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def sniff_separator(header: str, candidates: Sequence[str] = SEPARATORS, min_cols: int = 3) -> str | None:
@@ -43,34 +51,48 @@ def sniff_separator(header: str, candidates: Sequence[str] = SEPARATORS, min_col
 
 
 def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None,
-                   encoding: str | None = None, bad_lines: str = "permissive",
-                   decimal_comma: bool = False, nrows: int | None = None) -> DataFrame:
+                   encoding: str | None = None, bad_lines: str = "drop",
+                   decimal_comma: bool = False, nrows: int | None = None,
+                   schema: StructType | None = None) -> DataFrame:
     """A2–A5: delimited text with separator sniffing, encoding guess and tolerant parse.
 
-    ``bad_lines="permissive"`` keeps malformed lines (columns null) and tags them in
-    ``_corrupt``; ``"drop"`` drops them.  With ``decimal_comma`` every column is kept as
-    text so :func:`pondus.functions.expr.num_comma` can parse "12,5"."""
+    Malformed lines (too few or too many fields, or a value that isn't of its column's
+    type) are dropped; with ``bad_lines="permissive"`` they stay, with their text in ``_corrupt``,
+    and :func:`corrupt_lines` counts them.  ``schema`` skips the inference
+    pass.  With ``decimal_comma`` every column is kept as text so
+    :func:`pondus.functions.expr.num_comma` can parse "12,5"."""
     encoding = encoding or guess_encoding(spark, path)
     if sep is None:
         lines = head_lines(spark, path, 1, encoding)
         sep = sniff_separator(lines[0]) if lines else None
         sep = sep or ","
-    r = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-         .option("inferSchema", not decimal_comma))
+    r = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    if schema is None:
+        schema = r.option("inferSchema", not decimal_comma).csv(path).schema
+    tagged = StructType([*schema.fields, StructField("_corrupt", StringType())])
+    df = r.schema(tagged).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     if bad_lines == "drop":
-        r = r.option("mode", "DROPMALFORMED")
-    else:
-        r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    df = normalize_names(r.csv(path))
+        df = df.where(F.col("_corrupt").isNull() & _reads_data(df)).drop("_corrupt")
+    df = normalize_names(df).withColumnRenamed("_CORRUPT", "_corrupt")
     return df.limit(nrows) if nrows else df
 
 
+def corrupt_lines(df: DataFrame) -> DataFrame:
+    """A3 report: lines and malformed lines of a permissive read."""
+    return df.agg(F.count_if(_reads_data(df)).alias("lineas"), F.count("_corrupt").alias("malformadas"))
+
+
+def _reads_data(df: DataFrame) -> Column:
+    """Always true, but reads a data column: Spark refuses plans that read the tag alone."""
+    return F.length(F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit(""))) >= 0
+
+
 def read_any(spark: SparkSession, path: str, *, nrows: int | None = None, **kw) -> DataFrame:
     """A1: dispatch on the file suffix; names trimmed and upper-cased."""
     low = path.lower().rstrip("/")
     if low.endswith(NOT_SUPPORTED):
         raise NotImplementedError(f"{os.path.splitext(low)[1]}: convert to Parquet or CSV upstream")
-    if low.endswith(".parquet") or os.path.isdir(path):
+    if low.endswith(".parquet") or _is_folder(spark, path):
         df = normalize_names(spark.read.parquet(path))
     elif low.endswith(".json"):
         df = normalize_names(spark.read.json(path))
@@ -101,16 +123,15 @@ def panel(waves: Sequence[tuple[int, int, DataFrame]]) -> DataFrame:
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                  partition_by: Sequence[str] = ()) -> DataFrame:
-    """Read-through cache — read the Parquet at ``path`` if it exists, else build,
-    write (partitioned) and read back."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        w = build().write.mode("overwrite")
+    """Read-through cache — read the Parquet at ``path`` if it is there, else build,
+    write (partitioned) and read back.  A folder that exists but can't be read is an error,
+    never overwritten."""
+    if not _is_folder(spark, path):
+        w = build().write
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def dataset_listing(spark: SparkSession, path: str) -> DataFrame:

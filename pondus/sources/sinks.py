@@ -27,8 +27,7 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy",
     out = to_atomic(df) if flatten else df
     w = out.write.mode("overwrite").option("compression", compression)
     if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
 
 
@@ -68,9 +67,18 @@ def readable_headers(df: DataFrame, names: Mapping[str, str], with_code: bool =
 
 
 def flatten_baseline(doc: DataFrame) -> DataFrame:
-    """KPI struct of a baseline document to top-level columns, gap fields as brecha_*."""
-    kpis = doc.select("territorio_id", "kpis.*")
-    return kpis.toDF(*[c if not c.startswith("brecha_") else c for c in kpis.columns])
+    """A baseline document as one flat row: its KPI struct as top-level columns, and each
+    struct within it (the gaps) as ``brecha_<name>_<field>``."""
+    kpis = doc.schema["kpis"].dataType
+    out = []
+    for f in kpis.fields:
+        c = F.col("kpis").getField(f.name)
+        if isinstance(f.dataType, StructType):
+            stem = f.name if f.name.startswith("brecha") else f"brecha_{f.name}"
+            out += [c.getField(g.name).alias(f"{stem}_{g.name}") for g in f.dataType.fields]
+        else:
+            out.append(c.alias(f.name))
+    return doc.select(*[c for c in doc.columns if c != "kpis"], *out)
 
 
 def top_k(df: DataFrame, col: str, k: int = 10, ascending: bool = False, tiebreak: Sequence[str] = ()) -> DataFrame:
