@@ -31,26 +31,33 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint_dir
-
-MAX_SHAP_DEPTH = 16  # node table ≤ 2^17 rows
+from ..session import checkpoint_dir, delete_folder
 
 
 def tree_nodes(spark: SparkSession, model) -> list[dict]:
-    """Node table of a fitted decision-tree classifier (id, children, split, class stats)."""
-    if model.depth > MAX_SHAP_DEPTH:
-        raise ValueError(f"tree depth {model.depth} exceeds {MAX_SHAP_DEPTH}")
+    """Node table of a fitted tree or forest (tree, id, children, split, class stats); as
+    large as the model, which the driver holds anyway.  The saved copy is deleted."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/models/tree-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
-    rows = (spark.read.parquet(f"{path}/data")
-            .select("id", "impurityStats", "leftChild", "rightChild",
-                    F.col("split.featureIndex").alias("feature"),
-                    F.col("split.leftCategoriesOrThreshold").alias("left"),
-                    F.col("split.numCategories").alias("ncat"))
-            .collect())
+    data = spark.read.parquet(f"{path}/data")
+    data = data.select("treeID", "nodeData.*") if "nodeData" in data.columns else data.withColumn("treeID", F.lit(0))
+    rows = data.select("treeID", "id", "impurityStats", "leftChild", "rightChild",
+                       F.col("split.featureIndex").alias("feature"),
+                       F.col("split.leftCategoriesOrThreshold").alias("left"),
+                       F.col("split.numCategories").alias("ncat")).collect()
+    delete_folder(spark, path)
     return [r.asDict() for r in rows]
 
 
+def model_leaves(spark: SparkSession, model, positive: int = 1) -> list:
+    """The leaves of a tree; of a forest, those of all trees, each tree's values divided by
+    their number: Shapley values are linear in the model, and a forest is the mean."""
+    trees: dict[int, list[dict]] = {}
+    for node in tree_nodes(spark, model):
+        trees.setdefault(node["treeID"], []).append(node)
+    return [(v / len(trees), feats) for nodes in trees.values() for v, feats in _leaf_paths(nodes, positive)]
+
+
 def _leaf_paths(nodes: list[dict], positive: int = 1):
     """For every leaf: its class-``positive`` probability and, per distinct feature on the
     path, the list of (test, zero fraction) pairs; ``test`` is (threshold | categories,
@@ -125,13 +132,13 @@ def shap_matrix(x: np.ndarray, leaves) -> tuple[np.ndarray, float]:
 
 def tree_shap(df: DataFrame, model, features: Sequence[str], key: Sequence[str],
               positive: int = 1) -> DataFrame:
-    """One row per input row: key, the feature values, ``phi_<feature>`` for class
+    """M23, for a tree or a forest: one row per input row: key, the feature values, ``phi_<feature>`` for class
     ``positive``, the expected value ``base`` and the explained probability ``fx``
     (Σ φ + base = fx exactly).  Rows with a null feature are dropped (listwise, as the
     model was fitted)."""
     feats = list(features)
     keys = list(key)
-    leaves = _leaf_paths(tree_nodes(df.sparkSession, model), positive)
+    leaves = model_leaves(df.sparkSession, model, positive)
     _, base = shap_matrix(np.zeros((1, len(feats))), leaves)
     d = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=feats)
     key_fields = [f for f in d.schema.fields if f.name in keys]
@@ -180,5 +187,5 @@ def explain_tree_model(df: DataFrame, features: Sequence[str], label: str, key:
     return tree_shap(df, m, features, key), m
 
 
-__all__ = ["tree_nodes", "shap_matrix", "tree_shap", "shap_long", "shap_importance",
+__all__ = ["tree_nodes", "model_leaves", "shap_matrix", "tree_shap", "shap_long", "shap_importance",
            "explain_tree_model"]

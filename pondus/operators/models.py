@@ -115,8 +115,8 @@ def tree(df: DataFrame, features: Sequence[str], label: str, weight: str | None
 
 def forest(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None,
            n_trees: int = 500, max_depth: int = 30, min_leaf: int = 5, seed: int = 42):
-    """M9: random forest, √p features per split (no OOB score in Spark: use k-fold
-    out-of-fold accuracy instead, reported under that name)."""
+    """M9: random forest, √p features per split (Spark has no OOB score; the model job
+    reports the held-out accuracy)."""
     d = design(df, features, label, weight)
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
                                 maxDepth=max_depth, minInstancesPerNode=min_leaf,
@@ -134,11 +134,13 @@ def importances(df: DataFrame, features: Sequence[str], values) -> DataFrame:
              .orderBy(F.desc("importancia"), "variable")
 
 
-def predicted_rate(model, df: DataFrame, features: Sequence[str], weight: str = "PONDERA") -> DataFrame:
-    """Weighted mean predicted probability (%) of class 1 on another frame."""
-    d = design(df, features, None, weight)
+def predicted_rate(model, df: DataFrame, features: Sequence[str], weight: str = "PONDERA", by=()) -> DataFrame:
+    """Weighted mean predicted probability (%) of class 1 on another frame, by group."""
+    d = df.select(*by, *[F.col(c).cast("double").alias(c) for c in features],
+                  F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_pw")).dropna(subset=list(features))
+    d = VectorAssembler(inputCols=list(features), outputCol="features").transform(d)
     p = model.transform(d).withColumn("_p1", vector_to_array("probability")[1])
-    return p.agg((100 * F.sum(F.col("_p1") * F.col(weight)) / F.sum(weight)).alias("pct_predicho"))
+    return p.groupBy(*by).agg((100 * F.sum(F.col("_p1") * F.col("_pw")) / F.sum("_pw")).alias("pct_predicho"))
 
 
 def kmeans_select(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max: int = 8,
@@ -164,6 +166,14 @@ def kmeans_select(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max:
     return out, models
 
 
+def kmeans_best(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max: int = 8,
+                starts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their cluster, the table by k, the k with the best silhouette)."""
+    table, models = kmeans_select(df, features, k_min, k_max, starts, seed)
+    best = table.orderBy(F.desc("silhouette_sq_euclidean"), "k").first()["k"]
+    return models[best].transform(design(df, features, scale=True)), table, best
+
+
 def cluster_profile(assigned: DataFrame, features: Sequence[str], cluster: str = "prediction") -> DataFrame:
     """Per cluster n, % of rows and the mean of every feature."""
     agg = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"),

@@ -90,7 +90,7 @@ def apply_scenario(df: DataFrame, targets: DataFrame, key: Sequence[str], by=Non
     by = _as_list(by)
     thr = exclusion_threshold if exclusion_threshold is not None else \
         df.agg(F.median("idx_exclusion_digital")).scalar()
-    d = df
+    d = cut_lineage(df)  # every lever runs several jobs over its input
     steps = [("internet_quintil_i", num("decil_ingreso") <= 2, "excl_sin_internet_hogar", 0.0, 1.0),
              ("pct_superior", F.lit(True), "superior", 1.0, 0.0),
              ("pct_empleo_formal", F.col("ocupado") == 1, "informal_proxy", 0.0, 1.0)]
@@ -102,3 +102,18 @@ def apply_scenario(df: DataFrame, targets: DataFrame, key: Sequence[str], by=Non
         # plan flat and survives executor loss (never a local checkpoint)
         d = cut_lineage(d)
     return recompute_derived(d, thr)
+
+
+def scenario_run(df: DataFrame, targets: DataFrame, key: Sequence[str], by, indicators: Sequence[str], features: Sequence[str],
+                 label: str = "exclusion_digital_alta", *, weight: str = "PONDERA", exclusion_threshold=None) -> tuple[DataFrame, DataFrame]:
+    """The scenario's frame, and for every territory the indicators before and after and
+    their delta, among them ``pct_predicho``: the weighted mean probability (%) of ``label``
+    by a logistic model that is fitted on the frame as it is and applied to both (M15)."""
+    from . import joins, kpi, models
+    by = _as_list(by)
+    df = cut_lineage(df)
+    after = cut_lineage(apply_scenario(df, targets, key, by, exclusion_threshold=exclusion_threshold))
+    _, model = models.logistic(df, features, label, weight)
+    def measured(d):
+        return kpi.kpis(d, by=by, gaps=False).join(models.predicted_rate(model, d, features, weight, by), by, "left")
+    return after, joins.compare_indicators(measured(df), measured(after), by, [*indicators, "pct_predicho"])

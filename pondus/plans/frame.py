@@ -1,9 +1,9 @@
 """Z5 analysis frame (generation 2): persons ≥ min age ⟕ households on the dwelling,
 ICT exclusion flags and indices, education/employment proxies, scores.
 
-One lazy plan.  The two data-dependent decisions (the 50 % education rule and the
-whole-frame medians) are scalar subqueries, so nothing is collected on the driver and
-Catalyst plans them as separate small aggregate jobs.
+Persons and households are joined once and materialised.  The two data-dependent decisions
+(the 50 % education rule and the whole-frame medians) are scalar subqueries over that table,
+so nothing is collected on the driver and the source files are read once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import coding as C
 from ..functions.expr import flag, isin_safe, num, row_mean
 from ..operators.joins import keep_first
+from ..session import materialise
 
 # The survey's column names that the frame reads.
 PERSON_COLS = ["CODUSU", "AGLOMERADO", "REGION", "CH04", "CH06", "CH12", "NIVEL_ED", "ESTADO",
@@ -58,7 +59,7 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
     h = h.withColumnsRenamed({c: f"H_{c}" for c in ict_h})
     clash = [c for c in h.columns if c in i.columns and c not in hkey]
     h = h.withColumnsRenamed({c: f"{c}_hog" for c in clash})
-    df = i.join(h, hkey, "left")
+    df = materialise(i.join(h, hkey, "left"), "frame")
 
     cols = {}
     if include_ict:
@@ -81,10 +82,8 @@ def analysis_frame(hogar: DataFrame, individual: DataFrame, *, min_age: int = 15
                              for c in ("idx_acceso", "idx_uso", "idx_exclusion_digital")})
 
     nivel, ch12 = _maybe(df, "NIVEL_ED"), _maybe(df, "CH12")
-    # P10's 50 % rule reads person columns only; the left join keeps one row per person,
-    # so the person side gives the same counts without the household join
-    # a scalar subquery runs once per reference: bind it to a column once and read that
-    df = df.withColumn("_use_nivel", i.agg(F.count(_maybe(i, "NIVEL_ED")) > F.count(F.lit(1)) * 0.5).scalar())
+    # P10's 50 % rule; a scalar subquery runs once per reference: bind it to a column once
+    df = df.withColumn("_use_nivel", df.agg(F.count(nivel) > F.count(F.lit(1)) * 0.5).scalar())
     sec, sup = C.education_proxies(nivel, ch12, F.col("_use_nivel"))
     estado, cat, pp07h, dec = (_maybe(df, c) for c in ("ESTADO", "CAT_OCUP", "PP07H", "DECIFR"))
     df = df.withColumns({
