@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value) -> Callable[[], object]:
+    """A function that gives tasks the broadcast ``value``, which the caller has bounded.
+    It is packed by cloudpickle, so that classes of this package need no copy of it there."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``rows`` rows, else as it is.
     Only for narrow tables that are cheap to count."""

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import shared
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
@@ -169,9 +170,9 @@ def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     language was learned.  The text alone decides; ties go to the first language by name.
     Rows with a null doc_id are predicted like others; extra columns are ignored.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(model)
+    packed = shared(docs.sparkSession, model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out")).mapInArrow(
-        lambda it: _predict(it, packed.value), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+        lambda it: _predict(it, packed()), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, folds: int = 5, **options) -> DataFrame:

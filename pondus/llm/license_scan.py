@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import shared
 
 # Phrases that count wherever their words stand consecutively.
 PHRASES = {
@@ -179,8 +180,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
     """
     ordered = ordered_templates(docs, templates, threshold)
     size = 2 * max([1, *(len(_hashes(t)) for _, t in templates)])
-    join = docs.sparkSession.sparkContext.broadcast(_Join(ordered, phrases, size))
+    join = shared(docs.sparkSession, _Join(ordered, phrases, size))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _scan(it, join.value),
+        lambda it: _scan(it, join()),
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "blocks array<struct<label: string, first_word: long, end_word: long, containment: double>>")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import BROADCAST_ROWS, written
+from ._spark import BROADCAST_ROWS, shared, written
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -169,8 +169,8 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     if few is not None and not len(few):
         return pairs.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
     if few is not None:
-        terms = docs.sparkSession.sparkContext.broadcast(np.sort(few.view(np.uint64)))
-        counted = docs.mapInArrow(lambda it: _frequency(it, terms.value), "term long, n_term long")
+        terms = shared(docs.sparkSession, np.sort(few.view(np.uint64)))
+        counted = docs.mapInArrow(lambda it: _frequency(it, terms()), "term long, n_term long")
     else:
         counted = docs.mapInArrow(_all_terms, "term long, n_term long").join(candidates, "term", "left_semi")
     counted = counted.groupBy("term").agg(F.sum("n_term").alias("n_term"))
@@ -240,8 +240,8 @@ def _with_terms(docs: DataFrame, apply, schema, support: int, generalise: float,
     flagged = written(disclosing_terms(docs, support, generalise), "flagged")
     if flagged.count() > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} disclosing pairs; raise support={support}")
-    terms = docs.sparkSession.sparkContext.broadcast(_Terms(flagged.collect(), remove))
-    return docs.mapInArrow(lambda it: apply(it, terms.value), schema)
+    terms = shared(docs.sparkSession, _Terms(flagged.collect(), remove))
+    return docs.mapInArrow(lambda it: apply(it, terms()), schema)
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

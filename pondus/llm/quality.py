@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import shared
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -155,9 +156,9 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     A null text is an empty one; an empty one scores by the bias alone.  Rows with a null
     doc_id are scored like others; extra columns are ignored.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(model)
+    packed = shared(docs.sparkSession, model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    return rows.mapInArrow(lambda it: _score(it, packed.value), "doc_id long, held_out boolean, score double").withColumn(
+    return rows.mapInArrow(lambda it: _score(it, packed()), "doc_id long, held_out boolean, score double").withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -184,5 +185,5 @@ def _keep(batches, model: Model):
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, in one pass, columns as they are."""
-    packed = docs.sparkSession.sparkContext.broadcast(train_rows(docs, labels, **options))
-    return docs.mapInArrow(lambda it: _keep(it, packed.value), docs.schema)
+    packed = shared(docs.sparkSession, train_rows(docs, labels, **options))
+    return docs.mapInArrow(lambda it: _keep(it, packed()), docs.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import shared, written
 
 K, SCALE = 5, 256
 BLOCK = 256
@@ -199,8 +199,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, cell_bytes: int = C
     pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12) if len(pivots) else 1.0
     size = valid.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
     cells = max(spark.sparkContext.defaultParallelism, -(-size // cell_bytes))
-    shared = spark.sparkContext.broadcast(pivots)
-    placed = written(valid.mapInArrow(lambda it: _integers(it, shared.value), "vec_id long, v binary, pivot int").distinct()
+    axes = shared(spark, pivots)
+    placed = written(valid.mapInArrow(lambda it: _integers(it, axes()), "vec_id long, v binary, pivot int").distinct()
                      .repartitionByRange(cells, "pivot", F.xxhash64("vec_id")).mapInArrow(_place, "cell int, block int, vec_id long, v binary"), "cells")
     ends: dict[int, list] = {}
     for r in placed.select("cell", "v").mapInArrow(_extremes, "cell int, high binary, low binary").collect():
@@ -210,8 +210,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, cell_bytes: int = C
     names = np.array(sorted(ends), np.int64)
     high = np.stack([np.max([pad(h) for h, _ in ends[c]], axis=0) for c in names]) if len(names) else np.zeros((0, 0), np.int64)
     low = np.stack([np.min([pad(l) for _, l in ends[c]], axis=0) for c in names]) if len(names) else np.zeros((0, 0), np.int64)
-    plan = spark.sparkContext.broadcast(((names, high, low), sample_ids, sample_v))
-    routed = placed.filter(is_query).select("vec_id", "v").mapInArrow(lambda it: _route(it, *plan.value, k), "cell int, block int, vec_id long, v binary, least long")
+    plan = shared(spark, ((names, high, low), sample_ids, sample_v))
+    routed = placed.filter(is_query).select("vec_id", "v").mapInArrow(lambda it: _route(it, *plan(), k), "cell int, block int, vec_id long, v binary, least long")
     rows = placed.withColumn("least", F.lit(0).cast("long")).unionByName(routed).repartition("cell").sortWithinPartitions("cell", F.col("block") < 0, "block", "vec_id")
     found = rows.mapInArrow(lambda it: _search(it, k), "query_id long, vec_id long, score long").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
