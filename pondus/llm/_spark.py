@@ -39,7 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     can be pruned, and no lost executor takes it along."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pondus_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._pondus_path)
 
 
 def shared(spark: SparkSession, value) -> Callable[[], object]:

@@ -25,6 +25,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows of each label that training sees at most.
 FIT_ROWS = 2000
 SIZE, EPOCHS, RATE = 12, 6, 0.5
+MIN_STEPS = 12_000
 _SLICE = 1 << 19
 
 
@@ -83,7 +84,8 @@ def _bags(batches):
 
 
 def _train(group: pd.DataFrame, size: int, epochs: int, rate: float) -> pd.DataFrame:
-    """SGD over the sample; both labels weigh the same."""
+    """SGD over the sample: ``epochs`` passes, more over a sample so small that they would be
+    fewer than MIN_STEPS steps."""
     group = group.sort_values(["at", "buckets"]).reset_index(drop=True)
     y = group["label"].to_numpy(int)
     bags = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.float32)) for b, c in zip(group["buckets"], group["counts"])]
@@ -91,7 +93,7 @@ def _train(group: pd.DataFrame, size: int, epochs: int, rate: float) -> pd.DataF
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / size, 1 / size, (BUCKETS, size)).astype(np.float32)
     layer, bias = np.zeros((2, size), np.float32), np.zeros(2, np.float32)
-    weigh = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(y))))
     step, steps = 0, max(1, epochs * len(y))
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -103,7 +105,6 @@ def _train(group: pd.DataFrame, size: int, epochs: int, rate: float) -> pd.DataF
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y[i]] -= 1
-            p *= weigh[y[i]]
             back = layer.T @ p
             layer -= lr * np.outer(p, hidden)
             bias -= lr * p
