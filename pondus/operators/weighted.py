@@ -58,10 +58,10 @@ def frequencies(df: DataFrame, column: str, weight: str | None = None, *,
         d = d.where(F.col(column).isNotNull())
     agg = d.groupBy(cat.alias("categoria")).agg(F.count(F.lit(1)).alias("n"),
                                                 F.sum(w).alias("n_ponderado"))
-    tot = Window.partitionBy()
-    out = agg.select("categoria", "n", (100 * F.col("n") / F.sum("n").over(tot)).alias("pct"),
-                     "n_ponderado",
-                     (100 * F.col("n_ponderado") / F.sum("n_ponderado").over(tot)).alias("pct_ponderado"))
+    # totals as a scalar subquery: any number of categories, none of them in one task
+    out = agg.withColumn("_t", agg.agg(F.struct(F.sum("n").alias("n"), F.sum("n_ponderado").alias("w"))).scalar())
+    out = out.select("categoria", "n", (100 * F.col("n") / F.col("_t.n")).alias("pct"),
+                     "n_ponderado", (100 * F.col("n_ponderado") / F.col("_t.w")).alias("pct_ponderado"))
     return out.orderBy(F.desc("n"), "categoria") if order == "n" else out.orderBy("categoria")
 
 

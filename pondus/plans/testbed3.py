@@ -60,7 +60,7 @@ def q_kmeans_profile(spark, sf):
 @register("ward_two_stage", None)
 def q_ward(spark, sf):
     a = M.ward_two_stage(lineitem(spark, sf), ["l_extendedprice", "l_quantity", "l_discount"],
-                         k=4, micro=50)
+                         k=4)
     return a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 

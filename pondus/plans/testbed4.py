@@ -11,8 +11,10 @@ from ..operators import corr as R
 from ..operators import joins as J
 from ..operators import ordered as O
 from ..operators import scenario as L
+from ..sources.dimensions import AREA_PREFIX, NATIONAL_ID, of_territory
 from . import bind, model_jobs
-from .testbed import KEY, KEY_SQL, frame, lineitem, register, territory_dim  # noqa: F401
+from .sql import with_frame
+from .testbed import KEY, KEY_SQL, frame, lineitem, register, territory_dim
 
 _RANKED = ["l_quantity", "l_tax", "disc_nz"]
 _RANKED_SQL = "SELECT l_quantity, l_tax, nullif(l_discount, 0) AS disc_nz FROM lineitem"
@@ -135,6 +137,15 @@ def q_held_out_confusion(spark, sf):
     return model_jobs.evaluated(test, "y")["confusion"]
 
 
+@register("territory_rows", with_frame("""
+SELECT count(*) FILTER (WHERE AGLOMERADO = 3)::BIGINT AS area, count(*)::BIGINT AS nation, 0::BIGINT AS unknown FROM frame"""))
+def q_territory_rows(spark, sf):
+    """rows of one area, of the nation, and of an area that doesn't exist."""
+    f, dim = frame(spark, sf), territory_dim(spark, sf)
+    n = [of_territory(f, t, dim).agg(F.count(F.lit(1))).scalar() for t in (f"{AREA_PREFIX}3", NATIONAL_ID, f"{AREA_PREFIX}99999")]
+    return spark.range(1).select(n[0].alias("area"), n[1].alias("nation"), n[2].alias("unknown"))
+
+
 @register("logistic_job", None)
 def q_logistic_job(spark, sf):
     """M4 end to end: the report on held-out rows."""

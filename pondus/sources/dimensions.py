@@ -74,6 +74,18 @@ def territories(area_dim: DataFrame, code: str = "code", name: str = "name") ->
     return nat.unionByName(per_area)
 
 
+def of_territory(df: DataFrame, territory_id: str, territory_dim: DataFrame, column: str = "AGLOMERADO") -> DataFrame:
+    """the rows of one territory.  The nation and ids that name no area keep every row;
+    an area that the dimension doesn't know, or a table without the column, keeps none."""
+    from pyspark.sql import functions as F
+    if not territory_id.startswith(AREA_PREFIX):
+        return df
+    if column not in df.columns:
+        return df.limit(0)
+    code = territory_dim.where(F.col("territorio_id") == territory_id).select(F.col("aglomerado_codigo").cast("double").alias("_code"))
+    return df.join(code, F.col(column).try_cast("double") == F.col("_code"), "left_semi")
+
+
 def search_territories(territory_dim: DataFrame, query: str) -> DataFrame:
     """case-insensitive text search on the territory name."""
     from pyspark.sql import functions as F

@@ -70,7 +70,8 @@ def read_delimited(spark: SparkSession, path: str, *, sep: str | None = None,
     if schema is None:
         schema = r.option("inferSchema", not decimal_comma).csv(path).schema
     tagged = StructType([*schema.fields, StructField("_corrupt", StringType())])
-    df = r.schema(tagged).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    # all fields of a line are parsed whatever columns a query reads, or its length went unnoticed
+    df = r.schema(tagged).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
     if bad_lines == "drop":
         df = df.where(F.col("_corrupt").isNull() & _reads_data(df)).drop("_corrupt")
     df = normalize_names(df).withColumnRenamed("_CORRUPT", "_corrupt")

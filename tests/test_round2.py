@@ -165,6 +165,49 @@ def test_baseline_documents_flatten(spark):
     assert sinks.flatten_baseline(doc).first().asDict() == {"territorio_id": "x", "n": 5, "brecha_sexo_m": 1.0, "brecha_sexo_f": 2.0}
 
 
+def test_results_of_a_request_are_written(spark, tmpdir_path):
+    import json
+
+    from pondus.plans import jobs
+    req = jobs.AnalysisRequest(years="2020-2021", ambito="aglomerado", aglomerado=7)
+    tables = {"a": spark.range(3), "b": {"x": spark.range(2), "n": 5}}
+    jobs.write_results(req, tables, tmpdir_path)
+    base = os.path.join(tmpdir_path, "aglomerado_7")
+    assert spark.read.option("header", True).csv(os.path.join(base, "a")).count() == 3
+    doc = json.loads(spark.read.text(os.path.join(base, "summary")).first()[0])
+    assert doc["meta"]["ambito"] == "aglomerado_7" and doc["meta"]["periodo"] == "2020-2021 T4"
+    assert [(t["tabla"], t["filas"]) for t in doc["tablas"]] == [("a", 3), ("b_x", 2)]
+    with pytest.raises(TypeError):
+        jobs.AnalysisRequest(color="red")
+
+
+def test_small_sinks_and_grades(spark):
+    assert {tuple(r) for r in sinks.meta_rows(spark, {"a": 1, "b": "x"}).collect()} == {("a", "1"), ("b", "x")}
+    assert [corr.alpha_grade(a) for a in (0.95, 0.85, 0.75, 0.65, 0.1, None)] == ["excelente", "buena", "aceptable", "cuestionable", "pobre", "no calculable"]
+
+
+def test_best_clusters(spark):
+    from pondus.operators import models
+    rng = random.Random(1)
+    rows = [(rng.gauss(5 * (i % 3), 0.1), rng.gauss(5 * (i % 3), 0.1)) for i in range(300)]
+    assigned, table, best = models.kmeans_best(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], 2, 4, starts=2)
+    assert best == 3 and assigned.select("prediction").distinct().count() == 3 and table.count() == 3
+
+
+def test_forest_shap_is_the_mean_of_its_trees(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from pondus.operators import explain, models
+    rng = random.Random(1)
+    rows = [(i, rng.random(), rng.random()) for i in range(400)]
+    d = spark.createDataFrame(rows, "k long, x double, z double").withColumn("y", (F.col("x") + 0.2 * F.col("z") > 0.6).cast("double"))
+    _, model = models.forest(d, ["x", "z"], "y", n_trees=5, max_depth=6)
+    got = {r["k"]: r for r in explain.tree_shap(d, model, ["x", "z"], ["k"]).collect()}
+    want = model.transform(models.design(d.select("k", "x", "z"), ["x", "z"]).withColumn("one", F.lit(1))).select("x", vector_to_array("probability")[1].alias("p"))
+    by_x = {round(r["x"], 12): r["p"] for r in want.collect()}
+    assert all(r["fx"] == pytest.approx(by_x[round(r["x"], 12)], abs=1e-9) for r in got.values())
+
+
 def test_executors_need_no_copy_of_the_package(spark):
     import sys
 
