@@ -56,8 +56,7 @@ def roc_points(df: DataFrame, label: str, score: str, *, method: str = "bucketed
     """(threshold, fpr, tpr) for every distinct score, thresholds descending: the
     point at threshold s counts rows with score ≥ s."""
     t = _score_table(df, label, score).withColumn("_negv", -F.col("_v"))
-    t = ordered.running_weight(t, ["_negv"], "_pos", method=method, excl="_pb", total="_P")
-    t = ordered.running_weight(t, ["_negv"], "_neg", method=method, excl="_nb", total="_N")
+    t = ordered.running_weight(t, ["_negv"], ["_pos", "_neg"], method=method, excl=["_pb", "_nb"], total=["_P", "_N"])
     return t.select(F.col("_v").alias("threshold"),
                     ((F.col("_nb") + F.col("_neg")) / F.col("_N")).alias("fpr"),
                     ((F.col("_pb") + F.col("_pos")) / F.col("_P")).alias("tpr"))

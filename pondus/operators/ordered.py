@@ -61,14 +61,15 @@ def _bucketize(df: DataFrame, c: str, splits: list[float], out: str) -> DataFram
     return b.transform(df.withColumn(tmp, F.col(c).cast("double"))).drop(tmp)
 
 
-def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=None, *,
-                   excl: str = "_excl", total: str | None = "_tot", method: str = "bucketed",
+def running_weight(df: DataFrame, order: Sequence[str] | str, weight: Sequence[str] | str, by=None, *,
+                   excl: Sequence[str] | str = "_excl", total: Sequence[str] | str | None = "_tot", method: str = "bucketed",
                    buckets: int | None = None, rel_err: float = 1e-3,
                    hot_factor: float = 2.0, splits: Sequence[float] | None = None) -> DataFrame:
     """Add the exclusive running sum of ``weight`` in ``order`` within ``by`` groups.
 
     ``order`` must be a total order for row-level results (append key columns); the
-    leading column must be numeric and non-null.  ``total`` adds the group total.
+    leading column must be numeric and non-null.  ``total`` adds the group total.  Several
+    weights, with as many names in ``excl`` and ``total``, share one pass.
     ``method="window"`` is the single-pass reference path (tests, tiny inputs).
     ``splits`` may carry precomputed split points of the leading column (any points
     give the exact result; they only balance the buckets), e.g. from one multi-column
@@ -76,14 +77,11 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
     """
     order = _as_list(order)
     by = _as_list(by)
-    w = F.col(weight)
+    weights, excls, tots = _as_list(weight), _as_list(excl), _as_list(total)
     if method == "window":
-        win = Window.partitionBy(*by).orderBy(*order)
-        out = df.withColumn(excl, F.coalesce(
-            F.sum(w).over(win.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        if total:
-            out = out.withColumn(total, F.sum(w).over(Window.partitionBy(*by)))
-        return out
+        win = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = df.withColumns({e: F.coalesce(F.sum(w).over(win), F.lit(0.0)) for w, e in zip(weights, excls)})
+        return out.withColumns({t: F.sum(w).over(Window.partitionBy(*by)) for w, t in zip(weights, tots)})
 
     nb = buckets or _default_buckets(df)
     lead = order[0]
@@ -112,23 +110,21 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: str, by=No
 
     part = by + [_B, _S]
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    staged = staged.withColumn("_pd_local", F.coalesce(F.sum(w).over(local), F.lit(0.0)))
-
-    totals = staged.groupBy(*part).agg(F.sum(w).alias("_pd_bw"))
-    ow = Window.partitionBy(*by).orderBy(_B, _S)
-    offsets = totals.withColumn(
-        "_pd_off", F.coalesce(F.sum("_pd_bw").over(ow.rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0.0)))
-    if total:
-        offsets = offsets.withColumn(total, F.sum("_pd_bw").over(Window.partitionBy(*by)))
-    offsets = offsets.drop("_pd_bw")
+    staged = staged.withColumns({f"_pd_local{i}": F.coalesce(F.sum(w).over(local), F.lit(0.0)) for i, w in enumerate(weights)})
+
+    offsets = staged.groupBy(*part).agg(*[F.sum(w).alias(f"_pd_bw{i}") for i, w in enumerate(weights)])
+    ow = Window.partitionBy(*by).orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.withColumns(
+        {f"_pd_off{i}": F.coalesce(F.sum(f"_pd_bw{i}").over(ow), F.lit(0.0)) for i in range(len(weights))}
+        | {t: F.sum(f"_pd_bw{i}").over(Window.partitionBy(*by)) for i, t in enumerate(tots)})
+    offsets = offsets.drop(*[f"_pd_bw{i}" for i in range(len(weights))])
     if not by:
         # a hot value gets as many sub-ranges as split points it took, so there are at most
         # two rows per bucket: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
     out = staged.join(offsets, part, "inner")
-    out = out.withColumn(excl, F.col("_pd_local") + F.col("_pd_off"))
-    return out.drop("_pd_local", "_pd_off", _B, _S)
+    out = out.withColumns({e: F.col(f"_pd_local{i}") + F.col(f"_pd_off{i}") for i, e in enumerate(excls)})
+    return out.drop(*[f"_pd_{x}{i}" for x in ("local", "off") for i in range(len(weights))], _B, _S)
 
 
 def _hot_splits(df: DataFrame, lead: str, nxt: str, hot: dict[float, int], rel_err: float) -> dict:
