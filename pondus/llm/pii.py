@@ -12,8 +12,8 @@ In the contexts of e, a term is generalised (span ``term``) where ``PMI / IC`` r
 equal contexts count once, so copies of a document prove nothing, and a term needs
 ``SUPPORT`` different contexts.
 
-The corpus is read three times (contexts, frequencies of the candidate terms, result) and
-never shuffled; only hashes of contexts are.
+The corpus is read three times (contexts, frequencies of the candidate terms, result); only
+hashes of contexts are shuffled, unless the disclosing pairs are too many for a broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as T
 from ._spark import BROADCAST_ROWS, shared, written
@@ -42,6 +43,7 @@ _DIGIT = re.compile(r"[0-9]")
 CONTEXT = 8
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
+_OWN = "__disclosing"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
 
 
@@ -165,7 +167,7 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = written(pairs.join(entities, "entity"), "pairs")
     candidates = pairs.select("term").distinct()
-    few = candidates.limit(BROADCAST_ROWS + 1).toPandas()["term"].to_numpy(np.int64) if candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
+    few = candidates.toArrow().column("term").to_numpy() if candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
     if few is not None and not len(few):
         return pairs.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
     if few is not None:
@@ -180,15 +182,14 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
 
 
 class _Terms:
-    """The disclosing (entity, term) pairs as sorted hashes, with their spans' kinds."""
+    """Disclosing (entity, term) pairs as sorted hashes, and whether their words are dropped."""
 
-    def __init__(self, rows, remove: float):
-        key = np.array([_pair(np.uint64(np.int64(r["entity"]).view(np.uint64)), np.array([r["term"]], np.int64).view(np.uint64))[0] for r in rows], np.uint64)
+    def __init__(self, key: np.ndarray, drop: np.ndarray):
         order = np.argsort(key)
-        self.key, self.drop = key[order], np.array([r["share"] >= remove for r in rows], bool)[order]
+        self.key, self.drop = key[order], drop[order]
 
     def spans(self, text: str, base) -> list[tuple[int, int, str]]:
-        if not len(self.key) or not base:
+        if not base or not len(self.key):
             return []
         around, found = _Context(text, base), {}
         for k, (_, kind, _, value) in enumerate(base):
@@ -218,11 +219,42 @@ def sanitised(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join((*out, text[end:]))
 
 
+def _pairs(batches):
+    """Each disclosing pair as one hash."""
+    for batch in batches:
+        entity, term = (batch.column(c).to_numpy().view(np.uint64) for c in ("entity", "term"))
+        yield pa.RecordBatch.from_arrays([pa.array(T.mix(term ^ T.mix(entity)).view(np.int64)), batch.column("drop")], ["pair", "drop"])
+
+
+def _own_pairs(batches):
+    """(doc_id, key, pair): the pairs that the contexts of each text hold."""
+    for batch in batches:
+        rows, found = [], [np.zeros(0, np.uint64)]
+        for i, text in enumerate(batch.column("text")):
+            text = text.as_py() or ""
+            if spans := base_spans(text):
+                around = _Context(text, spans)
+                own = np.unique(np.concatenate([_pair(np.uint64(_entity(kind, value)), around.terms(k)) for k, (_, kind, _, value) in enumerate(spans)]))
+                rows += [i] * len(own)
+                found.append(own)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "key", "pair"])
+
+
+def _rows(batch, terms):
+    """The batch, and the terms of each of its rows: shared ones, or the row's own."""
+    if _OWN not in batch.schema.names:
+        return batch, [terms] * batch.num_rows
+    own = [x.as_py() or [] for x in batch.column(_OWN)]
+    return batch.drop_columns([_OWN]), [_Terms(np.array([x["pair"] for x in r], np.int64).view(np.uint64), np.array([x["drop"] for x in r], bool)) for r in own]
+
+
 def _find(batches, terms):
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
-        for text in batch.column("text"):
-            base, spans = all_spans(text.as_py() or "", terms)
+        batch, each = _rows(batch, terms)
+        for text, own in zip(batch.column("text"), each):
+            base, spans = all_spans(text.as_py() or "", own)
             for kind in range(4):
                 cols[kind].append(sum(s[1] == kind for s in base))
             listed = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in base)
@@ -234,14 +266,22 @@ def _find(batches, terms):
 
 
 def _with_terms(docs: DataFrame, apply, schema, support: int, generalise: float, remove: float) -> DataFrame:
-    """``docs`` through ``apply(batches, terms)``.  The pairs travel in a broadcast of at most
-    BROADCAST_ROWS rows; if there are more, only those of the most contexts could be told
-    apart safely, so the operator asks for a higher support instead of dropping any."""
-    flagged = written(disclosing_terms(docs, support, generalise), "flagged")
-    if flagged.count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} disclosing pairs; raise support={support}")
-    terms = shared(docs.sparkSession, _Terms(flagged.collect(), remove))
-    return docs.mapInArrow(lambda it: apply(it, terms()), schema)
+    """``docs`` through ``apply(batches, terms)``.  Up to BROADCAST_ROWS disclosing pairs travel
+    in a broadcast; if there are more, the pairs of each text's own contexts are joined with
+    them, and the few that are left go along with the text."""
+    flagged = written(disclosing_terms(docs, support, generalise).withColumn("drop", F.col("share") >= remove)
+                      .mapInArrow(_pairs, "pair long, drop boolean"), "flagged")
+    if flagged.count() <= BROADCAST_ROWS:
+        few = flagged.toArrow()
+        terms = shared(docs.sparkSession, _Terms(few.column("pair").to_numpy().view(np.uint64), few.column("drop").to_numpy(zero_copy_only=False)))
+        return docs.mapInArrow(lambda it: apply(it, terms()), schema)
+    key = F.xxhash64("text")
+    own = docs.select("doc_id", key.alias("key"), "text").mapInArrow(
+        _own_pairs, StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("key", LongType()), StructField("pair", LongType())]))
+    own = (own.distinct().join(flagged, "pair").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+           .agg(F.collect_list(F.struct("pair", "drop")).alias(_OWN)))
+    rows = docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
+    return rows.select(*[docs[c] for c in docs.columns], _OWN).mapInArrow(lambda it: apply(it, None), schema)
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -257,11 +297,12 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
 
 def _replace(batches, terms):
     for batch in batches:
+        batch, each = _rows(batch, terms)
         at = batch.schema.get_field_index("text")
         texts = []
-        for text in batch.column(at):
+        for text, own in zip(batch.column(at), each):
             text = text.as_py()
-            spans = all_spans(text, terms)[1] if text else []
+            spans = all_spans(text, own)[1] if text else []
             texts.append(sanitised(text, spans) if spans else text)
         arrays = [*batch.columns]
         arrays[at] = pa.array(texts, batch.schema.field(at).type)

@@ -144,7 +144,9 @@ def test_pii_base_columns(spark):
     assert clean[5] == "🙂 [EMAIL]" and clean[4] == texts[4] and clean[2] is None and clean[3] == ""
 
 
-def test_pii_disclosing_terms_agree_with_brute_force(spark):
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+def test_pii_disclosing_terms_agree_with_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
     rng = random.Random(2)
     vocabulary = [f"word{i}" for i in range(300)]
     texts = {}
