@@ -13,8 +13,8 @@ blocks of columns (Spark's partitions by n-gram), and only where size-derived bo
    ``min(i, j) + 1 + min(|A| - i, |B| - j) - 1``; a pair that can't reach
    ``t / (1 + t) * (|A| + |B|)`` is discarded before any set is read.
 4. *Within a column* of many documents, pairs aren't all formed.  Each document first meets
-   its neighbour and the first one of its size band; where all of a column fall into one
-   component, nothing else is left to find.  Documents outside the column's main component
+   one other: of its neighbours and the first of its size band, the one it shares most
+   columns with.  Where all of a column fall into one component, nothing is left to find.  Documents outside the column's main component
    then meet every member of another component, so no link between two components is lost.
 5. Overlaps of the remaining pairs are counted exactly, and links become components.
 
@@ -145,39 +145,41 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, n, ranked))
     rows = written(docs.mapInArrow(lambda it: _classes(it, n, threshold, frequent), _CLASS_SCHEMA), "rows")
     key = ["sig1", "sig2"]
-    nodes = written(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "columns")).alias("x"))
-                    .select(*key, "x.doc_id", "x.n_shingles", "x.columns").withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    entry = F.posexplode("columns").alias("place", "gram")
-    by = Window.partitionBy("gram").orderBy("band", "size", "node")
-    entries = nodes.select("node", F.col("n_shingles").alias("size"), entry).withColumn(
+    nodes = written(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
+                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    # One entry for each column of each distinct row; copies of the chosen document repeat it.
+    own = if_small(nodes.select("node", *key, F.col("doc_id").alias("own")))
+    entries = (rows.join(own, key).filter(F.col("doc_id").eqNullSafe(F.col("own")))
+               .select("node", "n_shingles", F.posexplode("columns").alias("place", "gram"))
+               .select("gram", "node", F.shiftleft("n_shingles", 32).bitwiseOR(F.col("place").cast("long")).alias("sized")).repartition("gram"))
+    entries = entries.withColumns({"size": F.shiftright("sized", 32), "place": F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))}).withColumn(
         "band", F.floor(F.log("size") / np.log(100 / threshold)))
-    me = F.struct("node", "size", "place")
+    me, by = F.struct("node", "size", "place"), Window.partitionBy("gram").orderBy("band", "size", "node")
     entries = written(
         entries.withColumns({"before": F.lag(me).over(by), "after": F.lead("node").over(by)})
         .withColumn("first", F.first(me).over(Window.partitionBy("gram", "band").orderBy("size", "node")))
         .filter("before IS NOT NULL OR after IS NOT NULL")
-        .select("gram", "band", me.alias("me"), "before", "first"), "entries")
+        .select("gram", me.alias("me"), "before", "first"), "entries")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that link, of (a, b) nodes; sets are made again for these documents only."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        named = written(nodes.drop("columns").join(need, "node", "left_semi"), "named")
+        ends = pairs.select(F.col("a").alias("node"), "a", "b", F.lit(True).alias("left")).union(pairs.select("b", "a", "b", F.lit(False)))
+        named = written(nodes.join(ends.select("node").distinct(), "node", "left_semi"), "named")
         ids = if_small(named.select(F.col("doc_id").alias("own")).distinct())
         sets = (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
                 .mapInArrow(lambda it: _full_sets(it, n), "sig1 long, sig2 long, grams binary")
-                .join(named.select("node", *key), key).dropDuplicates(["node"]).select("node", "grams"))
-        sets = written(sets, "sets")
-        return written(
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-            .mapInArrow(lambda it: _overlaps(it, threshold), "a long, b long"), "links")
+                .join(if_small(named.select("node", *key)), key).select("node", "grams").join(if_small(ends), "node"))
+        both = sets.groupBy("a", "b").agg(F.max(F.when(F.col("left"), F.col("grams"))).alias("ga"), F.max(F.when(~F.col("left"), F.col("grams"))).alias("gb"))
+        return written(both.mapInArrow(lambda it: _overlaps(it, threshold), "a long, b long"), "links")
 
     def near(other: str) -> DataFrame:
-        return entries.filter(_bounded("me", other, threshold)).select(F.col(f"{other}.node").alias("a"), F.col("me.node").alias("b"))
+        return entries.filter(_bounded("me", other, threshold)).select(F.col("me.node").alias("b"), F.col(f"{other}.node").alias("a"))
 
-    found = links(near("first").unionByName(near("before")))
+    # Each document first meets the one of these that it shares most columns with.
+    shared = near("first").unionByName(near("before")).filter("a != b").groupBy("b", "a").agg(F.count("*").alias("n"))
+    found = links(shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
     main = connected_components(found)
 
     # What columns still connect: members outside a column's main component, with all others.
