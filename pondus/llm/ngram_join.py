@@ -13,10 +13,11 @@ blocks of columns (Spark's partitions by n-gram), and only where size-derived bo
    ``min(i, j) + 1 + min(|A| - i, |B| - j) - 1``; a pair that can't reach
    ``t / (1 + t) * (|A| + |B|)`` is discarded before any set is read.
 4. *Within a column* of many documents, pairs aren't all formed.  Each document first meets
-   one other: of its neighbours and the first of its size band, the one it shares most
-   columns with.  Where all of a column fall into one component, nothing is left to find.  Documents outside the column's main component
+   its neighbour and the first one of its size band; where all of a column fall into one
+   component, nothing else is left to find.  Documents outside the column's main component
    then meet every member of another component, so no link between two components is lost.
-5. Overlaps of the remaining pairs are counted exactly, and links become components.
+5. Overlaps of the remaining pairs are counted exactly, in tiles of two bounded blocks of
+   rows, and links become components.
 
 Only hashes that many documents share get an explicit rank; this table is bounded by the
 ``ranked`` parameter.  Any fixed order gives the same result, a better one only less work.
@@ -37,6 +38,8 @@ THRESHOLD = 75
 WORDS = 5
 #: N-grams with a rank of their own: at most so many (16 bytes each).
 RANKED = 1 << 18
+#: Sets in a block of rows.
+TILE_BYTES = 8 << 20
 
 _CLASS_SCHEMA = "doc_id long, n_shingles long, sig1 long, sig2 long, columns array<long>"
 
@@ -106,19 +109,16 @@ def _full_sets(batches, n):
             yield pa.RecordBatch.from_arrays([pa.array(sig1), pa.array(sig2), data.cast(pa.binary())], ["sig1", "sig2", "grams"])
 
 
-def _overlaps(batches, threshold):
-    """The pairs that link; ``ga`` and ``gb`` are sorted sets."""
-    for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
-        link = []
-        for x, y in zip(batch.column("ga"), batch.column("gb")):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            link.append(100 * both >= threshold * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(link, pa.bool_()))
+def _overlaps(pairs: pa.Table, sets: pa.Table, threshold: int) -> pa.Table:
+    """The pairs of one tile that link; ``sets`` has the sorted set of each node once or more."""
+    grams = {n.as_py(): np.frombuffer(v.as_buffer(), np.uint64) for n, v in zip(sets.column("node"), sets.column("grams"))}
+    link = []
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+        x, y = sorted((grams[a], grams[b]), key=len)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        link.append(100 * both >= threshold * (len(x) + len(y) - both))
+    return pairs.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
 
 def _bounded(a: str, b: str, threshold: int):
@@ -163,23 +163,31 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
         .select("gram", me.alias("me"), "before", "first"), "entries")
 
     def links(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, of (a, b) nodes; sets are made again for these documents only."""
+        """The pairs that link, of (a, b) nodes.  Documents that share candidates form row
+        blocks of bounded size; a tile is two of them, and a set goes once to each tile that
+        has a pair of it.  Sets are made again for these documents only."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("node"), "a", "b", F.lit(True).alias("left")).union(pairs.select("b", "a", "b", F.lit(False)))
-        named = written(nodes.join(ends.select("node").distinct(), "node", "left_semi"), "named")
+        ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+        named = written(nodes.join(ends.groupBy("node").agg(F.min("other").alias("other")), "node").withColumn("group", F.least("node", "other")).drop("other"), "named")
+        blocks = named.groupBy("group").agg(F.ceil(F.sum("n_shingles") * 8 / TILE_BYTES).alias("blocks"))
+        place = if_small(named.join(blocks, "group").select("node", F.struct("group", F.pmod(F.xxhash64("node"), "blocks").alias("block")).alias("place")))
+        tiled = (pairs.join(place.select(F.col("node").alias("a"), F.col("place").alias("pa")), "a").join(place.select(F.col("node").alias("b"), F.col("place").alias("pb")), "b")
+                 .select("a", "b", F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q"))
+                 .select("a", "b", F.col("p.group").alias("g1"), F.col("p.block").alias("b1"), F.col("q.group").alias("g2"), F.col("q.block").alias("b2")))
+        tile = ["g1", "b1", "g2", "b2"]
+        tiled = written(tiled, "tiled")
+        sent = tiled.select(F.col("a").alias("node"), *tile).union(tiled.select("b", *tile)).distinct().toDF("node", *[f"s_{c}" for c in tile])
         ids = if_small(named.select(F.col("doc_id").alias("own")).distinct())
         sets = (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
                 .mapInArrow(lambda it: _full_sets(it, n), "sig1 long, sig2 long, grams binary")
-                .join(if_small(named.select("node", *key)), key).select("node", "grams").join(if_small(ends), "node"))
-        both = sets.groupBy("a", "b").agg(F.max(F.when(F.col("left"), F.col("grams"))).alias("ga"), F.max(F.when(~F.col("left"), F.col("grams"))).alias("gb"))
-        return written(both.mapInArrow(lambda it: _overlaps(it, threshold), "a long, b long"), "links")
+                .join(if_small(named.select("node", *key)), key).select("node", "grams").join(if_small(sent), "node"))
+        return written(tiled.groupBy(*tile).cogroup(sets.groupBy(*[f"s_{c}" for c in tile])).applyInArrow(
+            lambda x, y: _overlaps(x, y, threshold), "a long, b long"), "links")
 
     def near(other: str) -> DataFrame:
         return entries.filter(_bounded("me", other, threshold)).select(F.col("me.node").alias("b"), F.col(f"{other}.node").alias("a"))
 
-    # Each document first meets the one of these that it shares most columns with.
-    shared = near("first").unionByName(near("before")).filter("a != b").groupBy("b", "a").agg(F.count("*").alias("n"))
-    found = links(shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")))
+    found = links(near("first").unionByName(near("before")))
     main = connected_components(found)
 
     # What columns still connect: members outside a column's main component, with all others.
