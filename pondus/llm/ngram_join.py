@@ -12,11 +12,14 @@ blocks of columns (Spark's partitions by n-gram), and only where size-derived bo
 3. *Pairs.*  A shared n-gram at places i and j bounds the overlap by
    ``min(i, j) + 1 + min(|A| - i, |B| - j) - 1``; a pair that can't reach
    ``t / (1 + t) * (|A| + |B|)`` is discarded before any set is read.
-4. *Within a column* of many documents, pairs aren't all formed.  Each document first meets
-   its neighbour and the first one of its size band; where all of a column fall into one
-   component, nothing else is left to find.  Documents outside the column's main component
-   then meet every member of another component, so no link between two components is lost.
-5. Overlaps of the remaining pairs are counted exactly, in tiles of two bounded blocks of
+4. *Shared columns.*  With s shared entries, the overlap is at most s plus what lies behind
+   the entries that take part.  Columns of up to ``LISTED`` documents give all their pairs
+   and so count s; of wider columns, a pair shares at most the smaller of its two numbers.
+5. *Within a wide column* pairs aren't all formed.  Each document first meets its neighbour
+   and the first one of its size band; where all of a column fall into one component, nothing
+   else is left to find.  Documents outside the column's main component then meet every member
+   of another component, so no link between two components is lost.
+6. Overlaps of the remaining pairs are counted exactly, in tiles of two bounded blocks of
    rows, and links become components.
 
 Only hashes that many documents share get an explicit rank; this table is bounded by the
@@ -38,6 +41,8 @@ THRESHOLD = 75
 WORDS = 5
 #: N-grams with a rank of their own: at most so many (16 bytes each).
 RANKED = 1 << 18
+#: Columns of up to so many documents give all their pairs at once.
+LISTED = 8
 #: Sets in a block of rows.
 TILE_BYTES = 8 << 20
 
@@ -156,11 +161,28 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     entries = entries.withColumns({"size": F.shiftright("sized", 32), "place": F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))}).withColumn(
         "band", F.floor(F.log("size") / np.log(100 / threshold)))
     me, by = F.struct("node", "size", "place"), Window.partitionBy("gram").orderBy("band", "size", "node")
+    complete = F.col("members") <= LISTED
     entries = written(
-        entries.withColumns({"before": F.lag(me).over(by), "after": F.lead("node").over(by)})
-        .withColumn("first", F.first(me).over(Window.partitionBy("gram", "band").orderBy("size", "node")))
-        .filter("before IS NOT NULL OR after IS NOT NULL")
-        .select("gram", me.alias("me"), "before", "first"), "entries")
+        entries.withColumns({"members": F.count("*").over(Window.partitionBy("gram")), "listed": F.collect_list(me).over(by.rowsBetween(1 - LISTED, -1)),
+                             "before": F.lag(me).over(by), "first": F.first(me).over(Window.partitionBy("gram", "band").orderBy("size", "node"))})
+        .filter("members > 1")
+        .select(F.when(~complete, F.col("gram")).alias("gram"), me.alias("me"), complete.alias("complete"),
+                F.when(complete, F.col("listed")).otherwise(F.array("before", "first")).alias("others")), "entries")
+    wide = entries.filter(~F.col("complete"))
+    in_wide = if_small(written(wide.groupBy(F.col("me.node").alias("node")).agg(F.count("*").alias("wide")), "wide"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, sa, sb, shared) whose shared columns, those in complete columns and at
+        most all in wide ones, can still reach the threshold with everything behind them."""
+        for x in ("a", "b"):
+            pairs = pairs.join(in_wide.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")), x, "left")
+        behind = F.ceil(threshold * F.greatest("sa", "sb") / 100) - 1
+        most = F.col("shared") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) + behind
+        return pairs.filter((100 + threshold) * most >= threshold * (F.col("sa") + F.col("sb")))
+
+    def pair(x: str, y: str) -> list:
+        small, large = (f(F.struct(f"{x}.node", f"{x}.size"), F.struct(f"{y}.node", f"{y}.size")) for f in (F.least, F.greatest))
+        return [small["node"].alias("a"), small["size"].alias("sa"), large["node"].alias("b"), large["size"].alias("sb")]
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that link, of (a, b) nodes.  Documents that share candidates form row
@@ -184,14 +206,14 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
         return written(tiled.groupBy(*tile).cogroup(sets.groupBy(*[f"s_{c}" for c in tile])).applyInArrow(
             lambda x, y: _overlaps(x, y, threshold), "a long, b long"), "links")
 
-    def near(other: str) -> DataFrame:
-        return entries.filter(_bounded("me", other, threshold)).select(F.col("me.node").alias("b"), F.col(f"{other}.node").alias("a"))
-
-    found = links(near("first").unionByName(near("before")))
+    met = entries.select("me", "complete", F.explode("others").alias("o")).filter(F.col("o").isNotNull() & (F.col("o.node") != F.col("me.node")) & _bounded("me", "o", threshold))
+    met = met.select(*pair("me", "o"), "complete").groupBy("a", "sa", "b", "sb").agg(F.sum(F.col("complete").cast("long")).alias("shared"))
+    met = written(possible(met).select("a", "b", "shared"), "met")
+    found = links(met.select("a", "b"))
     main = connected_components(found)
 
-    # What columns still connect: members outside a column's main component, with all others.
-    labelled = entries.join(main, F.col("me.node") == F.col("node"), "left").select(
+    # What wide columns still connect: members outside a column's main component, with all others.
+    labelled = wide.join(main, F.col("me.node") == F.col("node"), "left").select(
         "gram", "me", F.coalesce("component", "me.node").alias("component"))
     parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
     open_ = (parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("main"))
@@ -200,8 +222,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     out = labelled.filter("component != main").select("gram", F.col("me").alias("o"), F.col("component").alias("oc"))
     rest = out.join(labelled, "gram").filter(
         ((F.col("component") == F.col("main")) | (F.col("o.node") < F.col("me.node"))) & (F.col("component") != F.col("oc")) & _bounded("o", "me", threshold))
-    rest = rest.select(F.least("o.node", "me.node").alias("a"), F.greatest("o.node", "me.node").alias("b"))
-    found = found.unionByName(links(rest))
+    rest = rest.select(*pair("o", "me")).distinct().join(met, ["a", "b"], "left_anti").withColumn("shared", F.lit(0))
+    found = found.unionByName(links(possible(rest)))
     comp = connected_components(found)
 
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
