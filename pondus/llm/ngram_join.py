@@ -15,8 +15,9 @@ blocks of columns (Spark's partitions by n-gram), and only where size-derived bo
 4. *Shared columns.*  With s shared entries, the overlap is at most s plus what lies behind
    the entries that take part.  Columns of up to ``LISTED`` documents give all their pairs
    and so count s; of wider columns, a pair shares at most the smaller of its two numbers.
-5. *Within a wide column* pairs aren't all formed.  Each document first meets its neighbour
-   and the first one of its size band; where all of a column fall into one component, nothing
+5. *Within a wide column* pairs aren't all formed.  A document has a neighbour there and a
+   first one of its size band, and first meets those ``PARTNERS`` of all these documents that
+   it has most columns with; where all of a column fall into one component, nothing
    else is left to find.  Documents outside the column's main component then meet every member
    of another component, so no link between two components is lost.
 6. Overlaps of the remaining pairs are counted exactly, in tiles of two bounded blocks of
@@ -34,36 +35,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import connected_components, if_small, written
+from ._spark import connected_components, discard, if_small, shared, written
 
 #: A link needs 100 * overlap >= THRESHOLD * union.
 THRESHOLD = 75
 WORDS = 5
 #: N-grams with a rank of their own: at most so many (16 bytes each).
-RANKED = 1 << 18
+RANKED = 1 << 19
 #: Columns of up to so many documents give all their pairs at once.
 LISTED = 8
+#: Others that a document meets before the search within wide columns.
+PARTNERS = 3
 #: Sets in a block of rows.
 TILE_BYTES = 8 << 20
 
 _CLASS_SCHEMA = "doc_id long, n_shingles long, sig1 long, sig2 long, columns array<long>"
 
 
-def _sets(batch_column, n: int):
-    for s in T.slices(batch_column):
+def _sets(batch_column, n: int, size: int = T.SLICE):
+    for s in T.slices(batch_column, size):
         w = T.words(s, T.NON_SPACE)
         rows, hashes = T.ngrams(w, n)
         yield s, *T.sets(rows, hashes, len(s.offsets) - 1)
 
 
 def _repeated(batches, n):
-    """(gram, times): n-grams that at least three documents of one slice have."""
+    """(gram, times): n-grams that two documents or more of one slice have."""
     for batch in batches:
-        for _, values, _ in _sets(batch.column("text"), n):
+        for _, values, _ in _sets(batch.column("text"), n, 2 * T.SLICE):
             values = np.sort(values)
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
             times = np.diff(np.r_[first, len(values)])
-            many = times >= 3
+            many = times >= 2
             yield pa.RecordBatch.from_arrays([pa.array(values[first[many]].view(np.int64)), pa.array(times[many])], ["gram", "times"])
 
 
@@ -87,7 +90,7 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def _classes(batches, n, threshold, frequent):
-    grams, times = frequent.value
+    grams, times = frequent()
     for batch in batches:
         ids = batch.column("doc_id")
         for s, values, bounds in _sets(batch.column("text"), n):
@@ -134,12 +137,13 @@ def _bounded(a: str, b: str, threshold: int):
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD, ranked: int = RANKED) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, group_id, n_links.
+    """One row per document: doc_id, n_shingles, component_id, group_id, n_verified.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names.
     component_id is the smallest doc_id of all documents reachable by links, itself included;
-    group_id names the component also where doc_ids repeat; n_links counts the links that
-    were verified from the document's set to other sets (a spanning part of all links).
+    group_id names the component also where doc_ids repeat; n_verified counts
+    the document's links to other sets that were verified, which is enough of all its links
+    to connect the group.
 
     A null or empty text, or one without words, has no n-grams, links with nothing and is
     its own component.  A null doc_id is kept as null and never is the smallest.  Repeated
@@ -147,7 +151,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = spark.sparkContext.broadcast(frequent_ngrams(docs, n, ranked))
+    frequent = shared(spark, frequent_ngrams(docs, n, ranked))
     rows = written(docs.mapInArrow(lambda it: _classes(it, n, threshold, frequent), _CLASS_SCHEMA), "rows")
     key = ["sig1", "sig2"]
     nodes = written(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
@@ -171,18 +175,14 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     wide = entries.filter(~F.col("complete"))
     in_wide = if_small(written(wide.groupBy(F.col("me.node").alias("node")).agg(F.count("*").alias("wide")), "wide"))
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, sa, sb, shared) whose shared columns, those in complete columns and at
-        most all in wide ones, can still reach the threshold with everything behind them."""
-        for x in ("a", "b"):
-            pairs = pairs.join(in_wide.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")), x, "left")
-        behind = F.ceil(threshold * F.greatest("sa", "sb") / 100) - 1
-        most = F.col("shared") + F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0))) + behind
-        return pairs.filter((100 + threshold) * most >= threshold * (F.col("sa") + F.col("sb")))
+    def reaches(shared, sa, sb):
+        """Whether so many shared columns, with everything behind them, can be a link."""
+        behind = F.ceil(threshold * F.greatest(sa, sb) / 100) - 1
+        return (100 + threshold) * (shared + behind) >= threshold * (sa + sb)
 
-    def pair(x: str, y: str) -> list:
-        small, large = (f(F.struct(f"{x}.node", f"{x}.size"), F.struct(f"{y}.node", f"{y}.size")) for f in (F.least, F.greatest))
-        return [small["node"].alias("a"), small["size"].alias("sa"), large["node"].alias("b"), large["size"].alias("sb")]
+    def pair_of(x: str, sx: str, y: str, sy: str) -> list:
+        small, large = (f(F.struct(F.col(x).alias("n"), F.col(sx).alias("s")), F.struct(F.col(y).alias("n"), F.col(sy).alias("s"))) for f in (F.least, F.greatest))
+        return [small["n"].alias("a"), small["s"].alias("sa"), large["n"].alias("b"), large["s"].alias("sb")]
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that link, of (a, b) nodes.  Documents that share candidates form row
@@ -203,38 +203,51 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
         sets = (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
                 .mapInArrow(lambda it: _full_sets(it, n), "sig1 long, sig2 long, grams binary")
                 .join(if_small(named.select("node", *key)), key).select("node", "grams").join(if_small(sent), "node"))
-        return written(tiled.groupBy(*tile).cogroup(sets.groupBy(*[f"s_{c}" for c in tile])).applyInArrow(
+        out = written(tiled.groupBy(*tile).cogroup(sets.groupBy(*[f"s_{c}" for c in tile])).applyInArrow(
             lambda x, y: _overlaps(x, y, threshold), "a long, b long"), "links")
+        discard(pairs, named, tiled)
+        return out
 
     met = entries.select("me", "complete", F.explode("others").alias("o")).filter(F.col("o").isNotNull() & (F.col("o.node") != F.col("me.node")) & _bounded("me", "o", threshold))
-    met = met.select(*pair("me", "o"), "complete").groupBy("a", "sa", "b", "sb").agg(F.sum(F.col("complete").cast("long")).alias("shared"))
-    met = written(possible(met).select("a", "b", "shared"), "met")
-    found = links(met.select("a", "b"))
+    partner = Window.partitionBy("node").orderBy(F.desc("n"), "other")
+    met_wide = (met.filter(~F.col("complete")).groupBy(F.col("me.node").alias("node"), F.col("me.size").alias("size"), F.col("o.node").alias("other"), F.col("o.size").alias("osize"))
+                .agg(F.count("*").alias("n")).withColumn("best", F.row_number().over(partner)).filter(F.col("best") <= PARTNERS)
+                .select(*pair_of("node", "size", "other", "osize"), F.lit(0).cast("long").alias("shared")))
+    met = (met.filter("complete").select(*pair_of("me.node", "me.size", "o.node", "o.size"), F.lit(1).cast("long").alias("shared")).unionByName(met_wide)
+           .groupBy("a", "sa", "b", "sb").agg(F.sum("shared").alias("shared")))
+    for x in ("a", "b"):
+        met = met.join(in_wide.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")), x, "left")
+    wide_both = F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0)))
+    met = written(met.filter(reaches(F.col("shared") + wide_both, F.col("sa"), F.col("sb"))).select("a", "b"), "met")
+    found = links(met)
     main = connected_components(found)
 
     # What wide columns still connect: members outside a column's main component, with all others.
-    labelled = wide.join(main, F.col("me.node") == F.col("node"), "left").select(
-        "gram", "me", F.coalesce("component", "me.node").alias("component"))
+    labelled = (wide.select("gram", "me", F.col("me.node").alias("node")).join(main, "node", "left").join(in_wide, "node")
+                .select("gram", "me", "wide", F.coalesce("component", "node").alias("component")))
     parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
     open_ = (parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("main"))
              .filter("parts > 1").drop("parts"))
     labelled = written(labelled.join(open_, "gram"), "open")
-    out = labelled.filter("component != main").select("gram", F.col("me").alias("o"), F.col("component").alias("oc"))
+    # Pairs that share a complete column are settled, so these share wide columns only.
+    out = labelled.filter("component != main").select("gram", F.col("me").alias("o"), F.col("component").alias("oc"), F.col("wide").alias("ow"))
     rest = out.join(labelled, "gram").filter(
-        ((F.col("component") == F.col("main")) | (F.col("o.node") < F.col("me.node"))) & (F.col("component") != F.col("oc")) & _bounded("o", "me", threshold))
-    rest = rest.select(*pair("o", "me")).distinct().join(met, ["a", "b"], "left_anti").withColumn("shared", F.lit(0))
-    found = found.unionByName(links(possible(rest)))
+        ((F.col("component") == F.col("main")) | (F.col("o.node") < F.col("me.node"))) & (F.col("component") != F.col("oc")) & _bounded("o", "me", threshold)
+        & reaches(F.least("ow", "wide"), F.col("o.size"), F.col("me.size")))
+    rest = rest.select(F.least("o.node", "me.node").alias("a"), F.greatest("o.node", "me.node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    found = found.unionByName(links(rest))
     comp = connected_components(found)
+    discard(entries, met, labelled)
 
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
     labels = (nodes.select(*key, "node", "doc_id").join(comp, "node", "left").join(degree, "node", "left")
               .withColumn("group_id", F.coalesce("component", "node")))
     smallest = labels.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
-    labels = labels.join(smallest, "group_id").select(*key, "group_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    labels = labels.join(smallest, "group_id").select(*key, "group_id", "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     empty = F.col("n_shingles") == 0
     return rows.drop("columns").join(labels, key, "left").select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group_id",
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -243,8 +256,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows equal in doc_id and text stay once; a document with a null doc_id stays only if its
     group has no other id.  Columns are those of ``docs``.
     """
-    groups = near_duplicates(docs, **options)
-    kept = groups.select(F.col("component_id").alias("_keep")).distinct()
+    groups = written(near_duplicates(docs, **options), "groups")
+    kept = if_small(groups.select(F.col("component_id").alias("_keep")).distinct())
     cols = docs.columns
-    return (docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]).select(*[F.col(f"`{c}`") for c in cols]))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi").select(*[F.col(f"`{c}`") for c in cols])
+    repeated = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
+    return out.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else out
