@@ -41,7 +41,7 @@ from ._spark import connected_components, discard, if_small, shared, written
 THRESHOLD = 75
 WORDS = 5
 #: N-grams with a rank of their own: at most so many (16 bytes each).
-RANKED = 1 << 19
+RANKED = 1 << 18
 #: Columns of up to so many documents give all their pairs at once.
 LISTED = 8
 #: Others that a document meets before the search within wide columns.
@@ -71,13 +71,25 @@ def _repeated(batches, n):
 
 
 def frequent_ngrams(docs: DataFrame, n: int = WORDS, ranked: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
-    """The ``ranked`` n-grams that documents share most often, sorted by hash, with their
-    counts (lower bounds, over all documents)."""
-    pdf = (docs.select("text").mapInArrow(lambda it: _repeated(it, n), "gram long, times long")
-           .groupBy("gram").agg(F.sum("times").alias("times"))
-           .orderBy(F.desc("times"), "gram").limit(ranked).toPandas())
-    pdf = pdf.iloc[np.argsort(pdf["gram"].to_numpy(np.int64).view(np.uint64))]
-    return pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["times"].to_numpy(np.int64)
+    """The n-grams that documents share most often, at most ``ranked``, sorted by hash, with
+    their counts (lower bounds, over all documents).
+
+    A histogram of the counts, by sixteenths of a power of two, gives the cut, so the driver
+    gets no more than these rows."""
+    counted = written(docs.select("text").mapInArrow(lambda it: _repeated(it, n), "gram long, times long")
+                      .groupBy("gram").agg(F.sum("times").alias("times"))
+                      .withColumn("step", F.floor(16 * F.log2("times")).cast("int")), "counted")
+    total, cut = 0, None
+    for r in sorted(counted.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > ranked:
+            break
+        cut = r["step"]
+    kept = counted.filter(F.col("step") >= cut if cut is not None else F.lit(False)).select("gram", "times").toArrow()
+    discard(counted)
+    gram, times = kept.column("gram").to_numpy().view(np.uint64), kept.column("times").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], times[order]
 
 
 def _signatures(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
