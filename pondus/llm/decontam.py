@@ -4,9 +4,9 @@ The test items form an inverted index with BM25 impacts.  Items are sorted by le
 into blocks; a block keeps, for each term, its largest impact.  Every training passage (a
 window of words, at least twice as long as the longest item of the block, half of it shared
 with the next) is a query.  As in block-max WAND, the sum of the block's largest impacts over
-the passage bounds every item's score, so most passages are discarded without being scored;
-it comes for all passages at once from running sums.  What remains is scored exactly, and
-every item with at least ``ratio`` of the score that it gives itself is retrieved.  A
+the passage's terms bounds every item's score, so most passages are discarded without being
+scored; it comes for all passages at once from sums over half passages.  In the others, the
+items' own impacts bound each item; what remains is scored exactly, and every item with at least ``ratio`` of the score that it gives itself is retrieved.  A
 retrieved item counts when the passage holds at least ``overlap`` of the word n-grams of its
 question (all sentences but the last) and of its answer (the last sentence).
 
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import shared
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score, and of the n-grams of its question and answer.
 RATIO, OVERLAP, GRAM = 0.5, 0.5, 3
 BLOCK_ITEMS = 64
 PART_BYTES = 8 << 20
+_CHUNK = 8192
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -61,6 +63,8 @@ class _Block:
         self.ids = [i for i, _, _ in items]
         self.window = max(16, 2 * max(len(h) for _, _, h in items))
         self.vocabulary = np.unique(np.concatenate([h for _, _, h in items]))
+        self.maybe = np.zeros(1 << 16, bool)  # by a hash's low bits
+        self.maybe[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.impact = np.zeros((len(self.vocabulary), len(items)), np.float32)
         for k, (_, _, h) in enumerate(items):
             term, tf = np.unique(h, return_counts=True)
@@ -81,36 +85,58 @@ class Index:
         self.overlap = overlap
         self.blocks = [_Block(items[k:k + block], idf, average, ratio, gram) for k in range(0, len(items), block)]
 
+    def _score(self, w, block, live, row, left, right, half, term, first_half, best):
+        """Items whose bounds survive in passages whose blocks did, then exact scores and overlaps."""
+        used = np.unique(np.concatenate((left[live], right[live])))
+        low, high = np.searchsorted(half, used), np.searchsorted(half, used, "right")
+        scores = np.zeros((len(used), len(block.ids)), np.float32)
+        full = np.flatnonzero(high > low)
+        if len(full):
+            picked = np.concatenate([np.arange(low[i], high[i]) for i in full])
+            starts = np.cumsum(high[full] - low[full]) - (high[full] - low[full])
+            scores[full] = np.add.reduceat(block.impact[term[picked]], starts, axis=0)
+        bound = scores[np.searchsorted(used, left[live])] + scores[np.searchsorted(used, right[live])]
+        step = block.window // 2
+        for p in live[(bound >= block.need).any(axis=1)]:
+            a = int(w.bounds[row[p]] + step * (left[p] - first_half[row[p]]))
+            b = min(a + block.window, int(w.bounds[row[p] + 1]))
+            score = block.impact[np.isin(block.vocabulary, w.hash[a:b])].sum(axis=0)
+            have = None
+            for k in np.flatnonzero(score >= block.need):
+                if have is None:
+                    have = np.concatenate([_grams(w.hash[a:b], n) for n in block.lengths])
+                question, answer = (float(np.isin(g, have).mean()) if len(g) else 1.0 for g in block.parts[k])
+                if min(question, answer) >= self.overlap:
+                    key = (int(row[p]), block.ids[k])
+                    new = (float(score[k]), int(a - w.bounds[row[p]]), question, answer)
+                    if key not in best or new[0] > best[key][0]:
+                        best[key] = new
+
     def search(self, w: T.Words):
         """(row, item, first word, score, question overlap, answer overlap) of the best passage
         for each row and item."""
         best: dict[tuple[int, int], tuple] = {}
         count = np.diff(w.bounds)
         for block in self.blocks:
-            v = block.vocabulary
-            at = np.minimum(np.searchsorted(v, w.hash), len(v) - 1)
-            ids = np.where(v[at] == w.hash, at, -1)
-            bound = np.zeros(len(ids) + 1)
-            np.cumsum(np.where(ids >= 0, block.most[ids], 0), out=bound[1:])
-            step = block.window // 2
-            passages = np.where(count > 0, np.maximum(1, -(-(count - block.window) // step) + 1), 0)
+            v, step = block.vocabulary, block.window // 2
+            known = np.flatnonzero(block.maybe[w.hash & np.uint64(0xFFFF)])
+            at = np.minimum(np.searchsorted(v, w.hash[known]), len(v) - 1)
+            hit = v[at] == w.hash[known]
+            known, ids = known[hit], at[hit]
+            # half passages, and each of their terms once
+            halves = -(-count // step)
+            first_half = np.cumsum(halves) - halves
+            half = first_half[w.row[known]] + (known - w.bounds[w.row[known]]) // step
+            pairs = np.unique(half * len(v) + ids)
+            half, term = pairs // len(v), pairs % len(v)
+            most = np.bincount(half, weights=block.most[term], minlength=int(halves.sum()) + 1)
+            passages = np.where(count > 0, np.maximum(1, halves - 1), 0)
             row = np.repeat(np.arange(len(count)), passages)
-            first = w.bounds[row] + step * (np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages))
-            end = np.minimum(first + block.window, w.bounds[row + 1])
-            for p in np.flatnonzero(bound[end] - bound[first] >= block.need.min()):
-                a, b = first[p], end[p]
-                terms = np.unique(ids[a:b])
-                score = block.impact[terms[terms >= 0]].sum(axis=0)
-                hit = np.flatnonzero(score >= block.need)
-                if len(hit):
-                    have = np.concatenate([_grams(w.hash[a:b], n) for n in block.lengths])
-                    for k in hit:
-                        question, answer = (float(np.isin(g, have).mean()) if len(g) else 1.0 for g in block.parts[k])
-                        if min(question, answer) >= self.overlap:
-                            key = (int(row[p]), block.ids[k])
-                            new = (float(score[k]), int(a - w.bounds[row[p]]), question, answer)
-                            if key not in best or new[0] > best[key][0]:
-                                best[key] = new
+            left = first_half[row] + np.arange(len(row)) - np.repeat(np.cumsum(passages) - passages, passages)
+            right = np.where(left + 1 < first_half[row] + halves[row], left + 1, len(most) - 1)
+            live = np.flatnonzero(most[left] + most[right] >= block.need.min())
+            for c in range(0, len(live), _CHUNK):
+                self._score(w, block, live[c:c + _CHUNK], row, left, right, half, term, first_half, best)
         return [(*key, first, score, q, a) for key, (score, first, q, a) in sorted(best.items())]
 
 
@@ -160,8 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     schema = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
     out = []
     for index in indexes(benchmark, **options):
-        packed = docs.sparkSession.sparkContext.broadcast(index)
-        out.append(rows.mapInArrow(lambda it, packed=packed: _retrieve(it, packed.value), schema))
+        packed = shared(docs.sparkSession, index)
+        out.append(rows.mapInArrow(lambda it, packed=packed: _retrieve(it, packed()), schema))
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -177,6 +203,6 @@ def _clean(batches, index: Index):
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a test item; columns as they are, no shuffle."""
     for index in indexes(benchmark, **options):
-        packed = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(lambda it, packed=packed: _clean(it, packed.value), docs.schema)
+        packed = shared(docs.sparkSession, index)
+        docs = docs.mapInArrow(lambda it, packed=packed: _clean(it, packed()), docs.schema)
     return docs
