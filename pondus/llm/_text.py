@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 PIECE = 1 << 18
 
 _RNG = np.random.default_rng(20240229)

@@ -33,7 +33,8 @@ K1, B = 1.2, 0.75
 RATIO, OVERLAP, GRAM = 0.5, 0.5, 3
 BLOCK_ITEMS = 64
 PART_BYTES = 8 << 20
-_CHUNK = 8192
+_CHUNK = 1024
+_SLICE = 1 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -142,7 +143,7 @@ class Index:
 
 def _terms(batches):
     for batch in batches:
-        for s in T.slices(batch.column("text")):
+        for s in T.slices(batch.column("text"), _SLICE):
             w = T.words(s, T.ALNUM)
             values, bounds = T.sets(w.row, w.hash, len(s.offsets) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], ["term"])
@@ -166,7 +167,7 @@ def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES, **options) -> li
 def _retrieve(batches, index: Index):
     for batch in batches:
         found = []
-        for s in T.slices(batch.column("text")):
+        for s in T.slices(batch.column("text"), _SLICE):
             found += [(s.first + x[0], *x[1:]) for x in index.search(T.words(s, T.ALNUM))]
         rows = [x[0] for x in found]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64()))] + [
@@ -194,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def _clean(batches, index: Index):
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
-        for s in T.slices(batch.column("text")):
+        for s in T.slices(batch.column("text"), _SLICE):
             for x in index.search(T.words(s, T.ALNUM)):
                 keep[s.first + x[0]] = False
         yield batch.filter(pa.array(keep))
