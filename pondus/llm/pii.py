@@ -2,8 +2,8 @@ r"""Personal data: base patterns, and terms that give a protected entity away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each distinct value
 is a protected entity.  Words near an entity can disclose it (a name, a ticket number), which
-the corpus shows: with N documents, n(e) contexts of the entity, n(t) documents with the
-term and n(e,t) contexts of the entity that hold the term, the term reveals
+the corpus shows: with N different texts, n(e) contexts of the entity, n(t) different texts
+with the term and n(e,t) contexts of the entity that hold the term, the term reveals
 
     PMI(t; e) = log(N n(e,t) / (n(e) n(t)))    of    IC(e) = log(N / n(e)).
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as T
-from ._spark import BROADCAST_ROWS, shared, written
+from ._spark import BROADCAST_ROWS, if_small, shared, written
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -137,31 +137,48 @@ def _contexts(batches):
 
 
 def _frequency(batches, terms: np.ndarray):
-    """(term, n): documents of this task that hold each of the sorted ``terms``."""
-    total = np.zeros(len(terms), np.int64)
+    """(term, n): weight of this task's texts that hold each of the sorted ``terms``."""
+    total = np.zeros(len(terms))
     for batch in batches:
+        weight = batch.column("weight").to_numpy()
         for s in T.slices(batch.column("text")):
             w = T.words(s, T.ALNUM)
             at = np.minimum(np.searchsorted(terms, w.hash), len(terms) - 1)
             hit = terms[at] == w.hash
-            total += np.bincount(np.unique(w.row[hit] * len(terms) + at[hit]) % len(terms), minlength=len(terms))
+            row, at = np.divmod(np.unique(w.row[hit] * len(terms) + at[hit]), len(terms))
+            total += np.bincount(at, weight[s.first + row], len(terms))
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(terms[seen].view(np.int64)), pa.array(total[seen])], ["term", "n_term"])
 
 
 def _all_terms(batches):
     for batch in batches:
+        weight = batch.column("weight").to_numpy()
         for s in T.slices(batch.column("text")):
             w = T.words(s, T.ALNUM)
-            values, _ = T.sets(w.row, w.hash, len(s.offsets) - 1)
-            values, n = np.unique(values, return_counts=True)
+            values, bounds = T.sets(w.row, w.hash, len(s.offsets) - 1)
+            each = np.repeat(weight[s.first:s.first + len(bounds) - 1], np.diff(bounds))
+            values, at = np.unique(values, return_inverse=True)
+            n = np.bincount(at, each, len(values))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], ["term", "n_term"])
 
 
+def _weighted(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(text, weight), and the number of different texts.  The copies of a text share a weight
+    of 1, so sums of weights (rounded) count different texts and no text is shuffled; only if
+    very many texts have copies, the join with their numbers shuffles.  Texts are told apart
+    by 128 bits; a null text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(text.alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+    copies = written(docs.groupBy("h", "g").agg(F.count("*").alias("n_copies")), "copies")
+    several = if_small(copies.filter("n_copies > 1"))
+    return docs.join(several, ["h", "g"], "left").select("text", F.coalesce(1 / F.col("n_copies"), F.lit(1.0)).alias("weight")), copies.count()
+
+
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share): hashes of the terms that disclose an entity, and the share of
     its information content that they reveal."""
-    docs = docs.select("text")
+    docs, n_texts = _weighted(docs)
     contexts = written(docs.mapInArrow(_contexts, "entity long, context long, term long").distinct(), "contexts")
     pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -172,11 +189,11 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
         return pairs.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
     if few is not None:
         terms = shared(docs.sparkSession, np.sort(few.view(np.uint64)))
-        counted = docs.mapInArrow(lambda it: _frequency(it, terms()), "term long, n_term long")
+        counted = docs.mapInArrow(lambda it: _frequency(it, terms()), "term long, n_term double")
     else:
-        counted = docs.mapInArrow(_all_terms, "term long, n_term long").join(candidates, "term", "left_semi")
-    counted = counted.groupBy("term").agg(F.sum("n_term").alias("n_term"))
-    n = F.lit(float(docs.count()))
+        counted = docs.mapInArrow(_all_terms, "term long, n_term double").join(candidates, "term", "left_semi")
+    counted = counted.groupBy("term").agg(F.round(F.sum("n_term")).alias("n_term"))
+    n = F.lit(float(n_texts))
     share = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
     return pairs.join(counted, "term").filter(F.col("n_entity") < n).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
 

@@ -183,6 +183,25 @@ def test_pii_disclosing_terms_agree_with_brute_force(spark, rows, monkeypatch):
     assert any("drop:" in s or "term:" in s for s in spans.values()) and spans[1] == ""
 
 
+def _filler(rng, n=30):
+    return [f"word{rng.randrange(300)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+def test_pii_copies_do_not_hide_a_disclosing_name(spark, rows, monkeypatch):
+    from pondus.llm import _spark
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    if not rows:
+        monkeypatch.setattr(pii, "if_small", lambda df: _spark.if_small(df, 0))
+    rng = random.Random(3)
+    texts = [" ".join(_filler(rng)) for _ in range(400)]
+    for i in range(3):
+        texts += [" ".join(_filler(rng, 4) + ["Quillon", "anna@x.org"] + _filler(rng, 4))] * 100
+    docs = docs_of(spark, dict(enumerate(texts)))
+    assert [r["share"] for r in pii.disclosing_terms(docs).collect()] == [pytest.approx(1.0)]
+    assert "Quillon" not in " ".join(r["text"] for r in pii.sanitise(docs).collect())
+
+
 def test_exact_topk_agrees_with_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(700)]
