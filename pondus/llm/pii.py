@@ -1,19 +1,21 @@
 r"""Personal data: base patterns, and terms that give a protected entity away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers.  Each distinct value
-is a protected entity.  Words near an entity can disclose it (a name, a ticket number), which
-the corpus shows: with N different texts, n(e) contexts of the entity, n(t) different texts
-with the term and n(e,t) contexts of the entity that hold the term, the term reveals
+is a protected entity.  Words of a text that holds an entity can disclose it (a name, a
+ticket number), which the corpus shows: with N different texts, n(e) that hold the entity,
+n(t) that hold the term and n(e,t) that hold both, the term reveals
 
     PMI(t; e) = log(N n(e,t) / (n(e) n(t)))    of    IC(e) = log(N / n(e)).
 
-In the contexts of e, a term is generalised (span ``term``) where ``PMI / IC`` reaches
-``GENERALISE``, and removed (span ``drop``) from ``REMOVE`` on.  A context is the words around a span;
-equal contexts count once, so copies of a document prove nothing, and a term needs
-``SUPPORT`` different contexts.
+In every text that holds e, each occurrence of a term is generalised (span ``term``) where
+``PMI / IC`` reaches ``GENERALISE``, and removed (span ``drop``) from ``REMOVE`` on.  Copies
+of a text count once, and a term needs ``SUPPORT`` different texts with the entity.  A text
+without base spans stays as it is.
 
-The corpus is read three times (contexts, frequencies of the candidate terms, result); only
-hashes of contexts are shuffled, unless the disclosing pairs are too many for a broadcast.
+With n(e,t) <= n(e), a term above the threshold g has ``n(t) <= N^(1-g) n(e)^g``, so frequent
+words drop out before pairs are formed.  The corpus is read six times (copies, entities,
+candidate terms, their frequencies, pairs, result); numbers per entity, term and pair are
+summed in the tasks first, and texts are shuffled only if what a broadcast should hold is too much.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT = re.compile(r"[0-9]")
 
+#: Words beside a span within which the brute-force test looks; the operator takes whole texts.
 CONTEXT = 8
 SUPPORT = 3
+#: Keys that a task holds before it sums them.
+ROWS = 1 << 20
 GENERALISE, REMOVE = 0.8, 0.95
 _OWN = "__disclosing"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
@@ -86,8 +91,8 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-class _Context:
-    """The words around each span of one text; offsets in code points."""
+class _Words:
+    """The words of one text outside its base spans; offsets in code points."""
 
     def __init__(self, text: str, spans):
         data = np.frombuffer(text.encode(), np.uint8)
@@ -100,14 +105,10 @@ class _Context:
         free = (digits[w.end] - digits[w.start]) < (w.end - w.start)
         for a, b in zip(start, end):
             free[np.searchsorted(w.end, a, "right"):np.searchsorted(w.start, b)] = False
-        self.words = []
-        for a, b in zip(start, end):
-            left, right = np.searchsorted(w.end, a, "right"), np.searchsorted(w.start, b)
-            near = np.r_[max(0, left - CONTEXT):left, right:min(len(w.start), right + CONTEXT)]
-            self.words.append(near[free[near]])
+        self.free = np.flatnonzero(free)
 
-    def terms(self, k: int) -> np.ndarray:
-        return self.w.hash[self.words[k]]
+    def terms(self) -> np.ndarray:
+        return self.w.hash[self.free]
 
 
 def _entity(kind: int, value: str) -> int:
@@ -118,22 +119,76 @@ def _pair(entity: int, terms: np.ndarray) -> np.ndarray:
     return T.mix(terms ^ T.mix(np.array([entity], np.uint64)))
 
 
-def _contexts(batches):
-    """(entity, context, term): the terms around each base span, each once a context."""
+def _held(base) -> np.ndarray:
+    """The entities of a text, each once."""
+    return np.unique(np.array([_entity(kind, value) for kind, value in {(s[1], s[3]) for s in base}], np.uint64))
+
+
+def _summed(keys: list[np.ndarray], weights: np.ndarray, names: list[str]):
+    """A record batch of the distinct keys and the sums of their weights."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(order) else np.zeros(0, int)
+    total = np.add.reduceat(weights[order], first) if len(order) else np.zeros(0)
+    return pa.RecordBatch.from_arrays([*[pa.array(k[first].view(np.int64)) for k in keys], pa.array(total)], names)
+
+
+def _sums(batches, of, names: list[str]):
+    """The sums of weights by the keys that ``of`` gives for the base spans and text of each
+    row (several times, of bounded size), summed whenever ``ROWS`` have come together."""
+    keys: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in names[1:]]
+    weights, rows = [np.zeros(0)], 0
     for batch in batches:
-        out: list[np.ndarray] = []
-        for text in batch.column("text"):
-            text = text.as_py() or ""
-            if spans := base_spans(text):
-                around = _Context(text, spans)
-                for k, (_, kind, _, value) in enumerate(spans):
-                    terms = np.unique(around.terms(k))
-                    if len(terms):
-                        both = np.empty((len(terms), 3), np.uint64)
-                        both[:, 0], both[:, 1], both[:, 2] = _entity(kind, value), T.mix(around.terms(k)).sum(dtype=np.uint64), terms
-                        out.append(both)
-        rows = np.concatenate([np.zeros((0, 3), np.uint64), *out]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], ["entity", "context", "term"])
+        for text, weight in zip(batch.column("text"), batch.column("weight").to_pylist()):
+            text = text.as_py()
+            if not (base := base_spans(text)):
+                continue
+            for found in of(text, base):
+                for k, own in zip(keys, found):
+                    k.append(own)
+                weights.append(np.full(len(found[0]), weight))
+                rows += len(found[0])
+                if rows >= ROWS:
+                    yield _summed([np.concatenate(k) for k in keys], np.concatenate(weights), names)
+                    keys, weights, rows = [[np.zeros(0, np.uint64)] for _ in keys], [np.zeros(0)], 0
+    yield _summed([np.concatenate(k) for k in keys], np.concatenate(weights), names)
+
+
+def _within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of ``values`` in ``sorted_values``, -1 for others."""
+    if not len(sorted_values):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == values, at, -1)
+
+
+def _entities(text, base):
+    yield (_held(base),)
+
+
+def _near(text, base, entities):
+    """The terms of a text that holds one of the sorted ``entities`` (of any, with None)."""
+    if entities is None or (_within(entities, _held(base)) >= 0).any():
+        yield (np.unique(_Words(text, base).terms()),)
+
+
+def _both(text, base, entities, terms):
+    """(entity, term) of a text.  ``entities`` are sorted hashes and the greatest n(t) for each,
+    ``terms`` sorted hashes and n(t); without one of them, nothing is left out by it."""
+    held, most = _held(base), None
+    if entities is not None:
+        at = _within(entities[0], held)
+        held, most = held[at >= 0], entities[1][at[at >= 0]]
+    if not len(held):
+        return
+    own = np.unique(_Words(text, base).terms())
+    if terms is not None:
+        at = _within(terms[0], own)
+        own, n = own[at >= 0], terms[1][at[at >= 0]]
+    for k, entity in enumerate(held):
+        mine = own[n <= most[k]] if terms is not None and most is not None else own
+        if len(mine):
+            yield np.full(len(mine), entity), mine
 
 
 def _frequency(batches, terms: np.ndarray):
@@ -179,23 +234,49 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float
     """(entity, term, share): hashes of the terms that disclose an entity, and the share of
     its information content that they reveal."""
     docs, n_texts = _weighted(docs)
-    contexts = written(docs.mapInArrow(_contexts, "entity long, context long, term long").distinct(), "contexts")
-    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = written(pairs.join(entities, "entity"), "pairs")
-    candidates = pairs.select("term").distinct()
-    few = candidates.toArrow().column("term").to_numpy() if candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
-    if few is not None and not len(few):
-        return pairs.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
-    if few is not None:
-        terms = shared(docs.sparkSession, np.sort(few.view(np.uint64)))
-        counted = docs.mapInArrow(lambda it: _frequency(it, terms()), "term long, n_term double")
+    spark, n = docs.sparkSession, float(n_texts)
+
+    def sums(of, schema: str) -> DataFrame:
+        names = [x.split()[0] for x in schema.split(", ")]
+        out = docs.mapInArrow(lambda it: _sums(it, of(), names), schema)
+        return out.groupBy(*names[:-1]).agg(F.round(F.sum(names[-1])).alias(names[-1]))
+
+    def sorted_columns(df: DataFrame, *columns: str):
+        """The hashes of the first column sorted, the others in their order; None if too many."""
+        if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            return None
+        table = df.select(*columns).toArrow()
+        key, *others = (table.column(c).to_numpy() for c in columns)
+        order = np.argsort(key.view(np.uint64))
+        return key.view(np.uint64)[order], *[x[order] for x in others]
+
+    # The greatest n(t) with which a term can disclose an entity (less a rounding error).
+    most = (1 + 1e-9) * n ** (1 - generalise) * F.col("n_entity") ** generalise
+    entities = written(sums(lambda: _entities, "entity long, n_entity double")
+                       .filter((F.col("n_entity") >= support) & (F.col("n_entity") < n)).withColumn("most", most), "entities")
+    greatest = entities.agg(F.max("most")).first()[0]
+    if greatest is None:
+        return entities.select("entity", F.col("entity").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    few = shared(spark, sorted_columns(entities, "entity", "most"))
+
+    def near():
+        own = few()
+        return lambda text, base: _near(text, base, own and own[0])
+    candidates = written(sums(near, "term long, n_near double").filter((F.col("n_near") >= support) & (F.col("n_near") <= greatest)).select("term"), "candidates")
+    if (listed := sorted_columns(candidates, "term")) is not None:
+        terms = shared(spark, listed[0])
+        counted = docs.mapInArrow(lambda it: _frequency(it, terms()), "term long, n_term double") if len(listed[0]) else candidates.withColumn("n_term", F.lit(0.0))
     else:
         counted = docs.mapInArrow(_all_terms, "term long, n_term double").join(candidates, "term", "left_semi")
-    counted = counted.groupBy("term").agg(F.round(F.sum("n_term")).alias("n_term"))
-    n = F.lit(float(n_texts))
+    counted = written(counted.groupBy("term").agg(F.round(F.sum("n_term")).alias("n_term")).filter(F.col("n_term") <= greatest), "counted")
+    rare = shared(spark, sorted_columns(counted, "term", "n_term"))
+
+    def both():
+        own, known = few(), rare()
+        return lambda text, base: _both(text, base, own, known)
+    pairs = sums(both, "entity long, term long, n_both double").filter(F.col("n_both") >= support)
     share = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    return pairs.join(counted, "term").filter(F.col("n_entity") < n).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    return pairs.join(if_small(entities), "entity").join(if_small(counted), "term").select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
 
 
 class _Terms:
@@ -208,14 +289,16 @@ class _Terms:
     def spans(self, text: str, base) -> list[tuple[int, int, str]]:
         if not base or not len(self.key):
             return []
-        around, found = _Context(text, base), {}
-        for k, (_, kind, _, value) in enumerate(base):
-            pair = _pair(np.uint64(_entity(kind, value)), around.terms(k))
-            at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            for j in np.flatnonzero(self.key[at] == pair):
-                word = around.words[k][j]
-                found[int(word)] = found.get(int(word), False) or bool(self.drop[at[j]])
-        return [(int(around.at(around.w.start[i])), int(around.at(around.w.end[i])), "drop" if drop else "term") for i, drop in found.items()]
+        words = _Words(text, base)
+        terms, place = np.unique(words.terms(), return_inverse=True)
+        found, drop = np.zeros(len(terms), bool), np.zeros(len(terms), bool)
+        for entity in _held(base):
+            at = _within(self.key, _pair(entity, terms))
+            found |= at >= 0
+            drop |= (at >= 0) & self.drop[at]
+        hit = found[place]
+        start, end = (words.at(x[words.free[hit]]).tolist() for x in (words.w.start, words.w.end))
+        return [(a, b, "drop" if d else "term") for a, b, d in zip(start, end, drop[place][hit])]
 
 
 def all_spans(text: str, terms: _Terms) -> tuple[list, list[tuple[int, int, str]]]:
@@ -244,14 +327,14 @@ def _pairs(batches):
 
 
 def _own_pairs(batches):
-    """(doc_id, key, pair): the pairs that the contexts of each text hold."""
+    """(doc_id, key, pair): the pairs of an entity and a term that each text holds."""
     for batch in batches:
         rows, found = [], [np.zeros(0, np.uint64)]
         for i, text in enumerate(batch.column("text")):
             text = text.as_py() or ""
             if spans := base_spans(text):
-                around = _Context(text, spans)
-                own = np.unique(np.concatenate([_pair(np.uint64(_entity(kind, value)), around.terms(k)) for k, (_, kind, _, value) in enumerate(spans)]))
+                terms = np.unique(_Words(text, spans).terms())
+                own = np.unique(np.concatenate([_pair(entity, terms) for entity in _held(spans)]))
                 rows += [i] * len(own)
                 found.append(own)
         at = pa.array(rows, pa.int64())
@@ -284,8 +367,7 @@ def _find(batches, terms):
 
 def _with_terms(docs: DataFrame, apply, schema, support: int, generalise: float, remove: float) -> DataFrame:
     """``docs`` through ``apply(batches, terms)``.  Up to BROADCAST_ROWS disclosing pairs travel
-    in a broadcast; if there are more, the pairs of each text's own contexts are joined with
-    them, and the few that are left go along with the text."""
+    in a broadcast; if there are more, each text's own pairs are joined with them, and the few that are left go along with the text."""
     flagged = written(disclosing_terms(docs, support, generalise).withColumn("drop", F.col("share") >= remove)
                       .mapInArrow(_pairs, "pair long, drop boolean"), "flagged")
     if flagged.count() <= BROADCAST_ROWS:

@@ -202,6 +202,36 @@ def test_pii_copies_do_not_hide_a_disclosing_name(spark, rows, monkeypatch):
     assert "Quillon" not in " ".join(r["text"] for r in pii.sanitise(docs).collect())
 
 
+@pytest.mark.parametrize("rows", [pii.BROADCAST_ROWS, 0])
+def test_pii_terms_far_from_the_address(spark, rows, monkeypatch):
+    from pondus.llm import _spark
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(pii, "ROWS", 50)
+    if not rows:
+        monkeypatch.setattr(pii, "if_small", lambda df: _spark.if_small(df, 0))
+    rng = random.Random(5)
+    texts = [" ".join(_filler(rng)) for _ in range(400)]
+    for i in range(4):  # the name stands near the address in one text, and far away in all
+        texts.append(" ".join((["Quillon"] if not i else []) + ["anna@x.org"] + _filler(rng, 25) + ["QUILLON", "then"] + _filler(rng, 12) + ["quillon"]))
+    texts += [" ".join(_filler(rng) + [f"b{i % 9}@y.org", "c@z.org"] + _filler(rng, 5)) for i in range(60)]
+    docs = docs_of(spark, dict(enumerate(texts)))
+    holders, want = {}, {}
+    for t in texts:
+        for e in {x for x in t.split() if "@" in x}:
+            holders.setdefault(e, []).append({x.lower() for x in t.split() if "@" not in x})
+    n, holds = len(texts), [set(t.lower().split()) for t in texts]
+    for e, found in holders.items():
+        for t in set().union(*found):
+            both, any_ = sum(t in f for f in found), sum(t in h for h in holds)
+            share = math.log(n * both / (len(found) * any_)) / math.log(n / len(found))
+            if both >= pii.SUPPORT and share >= 0.3:
+                want[pii._entity(0, e), t] = share
+    got = [r["share"] for r in pii.disclosing_terms(docs, generalise=0.3).collect()]
+    assert len(want) > 2 and sorted(got) == pytest.approx(sorted(want.values()))
+    clean = " ".join(r["text"] for r in pii.sanitise(docs).collect()).lower()
+    assert "quillon" not in clean and "then" not in clean.split() and "@" not in clean
+
+
 def test_exact_topk_agrees_with_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(700)]
