@@ -9,7 +9,7 @@ n(t) that hold the term and n(e,t) that hold both, the term reveals
 
 In every text that holds e, each occurrence of a term is generalised (span ``term``) where
 ``PMI / IC`` reaches ``GENERALISE``, and removed (span ``drop``) from ``REMOVE`` on.  Copies
-of a text count once, and a term needs ``SUPPORT`` different texts with the entity.  A text
+of a text count once, words of digits only are terms like others, and a term needs ``SUPPORT`` different texts with the entity.  A text
 without base spans stays as it is.
 
 With n(e,t) <= n(e), a term above the threshold g has ``n(t) <= N^(1-g) n(e)^g``, so frequent
@@ -101,8 +101,7 @@ class _Words:
         self.at = lambda byte: np.searchsorted(chars, byte)
         to_byte = np.append(chars, len(data))
         start, end = (to_byte[[s[k] for s in spans]] for k in (0, 2))
-        digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-        free = (digits[w.end] - digits[w.start]) < (w.end - w.start)
+        free = np.ones(len(w.start), bool)
         for a, b in zip(start, end):
             free[np.searchsorted(w.end, a, "right"):np.searchsorted(w.start, b)] = False
         self.free = np.flatnonzero(free)

@@ -232,6 +232,16 @@ def test_pii_terms_far_from_the_address(spark, rows, monkeypatch):
     assert "quillon" not in clean and "then" not in clean.split() and "@" not in clean
 
 
+def test_pii_numbers_disclose_like_names(spark):
+    rng = random.Random(6)
+    texts = [" ".join(_filler(rng)) for _ in range(300)]
+    texts += [" ".join(_filler(rng, 9) + ["staff", "447120", "anna@x.org"] + _filler(rng, 9)) for _ in range(4)]
+    docs = docs_of(spark, dict(enumerate(texts)))
+    terms = {r["term"] for r in pii.disclosing_terms(docs).collect()}
+    assert len(terms) == 2  # staff and the number; no digits of the span itself
+    assert "447120" not in " ".join(r["text"] for r in pii.sanitise(docs).collect())
+
+
 def test_exact_topk_agrees_with_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(700)]
