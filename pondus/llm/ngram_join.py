@@ -22,6 +22,8 @@ blocks of columns (Spark's partitions by n-gram), and only where size-derived bo
    of another component, so no link between two components is lost.
 6. Overlaps of the remaining pairs are counted exactly, in tiles of two bounded blocks of
    rows, and links become components.
+7. The number of links of each document comes from the incidence product of its component
+   with itself, in tiles of two bounded row blocks; only the sum per document is kept.
 
 Only hashes that many documents share get an explicit rank; this table is bounded by the
 ``ranked`` parameter.  Any fixed order gives the same result, a better one only less work.
@@ -48,6 +50,8 @@ LISTED = 8
 PARTNERS = 3
 #: Sets in a block of rows.
 TILE_BYTES = 8 << 20
+#: Shared entries of a tile that are counted at once, if no single row has more.
+PRODUCT = 1 << 21
 
 _CLASS_SCHEMA = "doc_id long, n_shingles long, sig1 long, sig2 long, columns array<long>"
 
@@ -141,6 +145,45 @@ def _overlaps(pairs: pa.Table, sets: pa.Table, threshold: int) -> pa.Table:
     return pairs.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
 
+def _product(values: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """(left row, right row, overlap) of all pairs of the rows marked ``left`` and ``right``
+    that share a value: the incidence product, for some left rows at a time."""
+    _, column = np.unique(values, return_inverse=True)
+    mine, theirs = np.flatnonzero(left[row]), np.flatnonzero(right[row])
+    theirs = theirs[np.argsort(column[theirs], kind="stable")]
+    first = np.searchsorted(column[theirs], column[mine])
+    many = np.searchsorted(column[theirs], column[mine], "right") - first
+    done = np.r_[0, np.cumsum(many)]
+    ends = np.r_[np.flatnonzero(row[mine][1:] != row[mine][:-1]) + 1, len(mine)] if len(mine) else np.zeros(0, int)
+    a = 0
+    while a < len(mine):
+        b = int(ends[max(np.searchsorted(done[ends], done[a] + PRODUCT, "right") - 1, np.searchsorted(ends, a, "right"))])
+        n = many[a:b]
+        at = np.repeat(first[a:b] - (done[a:b] - done[a]), n) + np.arange(done[b] - done[a])
+        pair, both = np.unique(np.repeat(row[mine[a:b]], n) * len(left) + row[theirs[at]], return_counts=True)
+        yield *np.divmod(pair, len(left)), both
+        a = b
+
+
+def _tile_links(tile: pa.Table, threshold: int) -> pa.Table:
+    """(node, n_links): for the nodes of two blocks, their links across them, or within one."""
+    rows: dict = {}
+    for node, block, grams in zip(tile.column("node").to_pylist(), tile.column("block").to_pylist(), tile.column("grams")):
+        rows.setdefault(node, (block, grams))
+    nodes = list(rows)
+    sets = [np.frombuffer(g.as_buffer(), np.uint64) for _, g in rows.values()]
+    size = np.array([len(x) for x in sets])
+    left = np.array([block for block, _ in rows.values()]) == tile.column("t1")[0].as_py()
+    right = left if tile.column("t1")[0].as_py() == tile.column("t2")[0].as_py() else ~left
+    total = np.zeros(len(nodes), np.int64)
+    for a, b, both in _product(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), left, right):
+        link = (a != b) & (100 * both >= threshold * (size[a] + size[b] - both))
+        total += np.bincount(a[link], minlength=len(nodes))
+        if right is not left:
+            total += np.bincount(b[link], minlength=len(nodes))
+    return pa.table({"node": pa.array(nodes, pa.int64()), "n_links": total})
+
+
 def _bounded(a: str, b: str, threshold: int):
     """Size and place bounds of a pair that shares one n-gram; entries are structs."""
     sa, sb, ia, ib = (F.col(f"{x}.{y}") for x, y in ((a, "size"), (b, "size"), (a, "place"), (b, "place")))
@@ -148,14 +191,13 @@ def _bounded(a: str, b: str, threshold: int):
     return (100 * F.least(sa, sb) >= threshold * F.greatest(sa, sb)) & ((100 + threshold) * most >= threshold * (sa + sb))
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD, ranked: int = RANKED) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, group_id, n_verified.
+def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD, ranked: int = RANKED, count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, group_id, n_links.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names.
     component_id is the smallest doc_id of all documents reachable by links, itself included;
-    group_id names the component also where doc_ids repeat; n_verified counts
-    the document's links to other sets that were verified, which is enough of all its links
-    to connect the group.
+    group_id names the component also where doc_ids repeat; n_links is the exact
+    number of other distinct sets that the document links with (null without ``count_links``).
 
     A null or empty text, or one without words, has no n-grams, links with nothing and is
     its own component.  A null doc_id is kept as null and never is the smallest.  Repeated
@@ -251,15 +293,31 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     comp = connected_components(found)
     discard(entries, met, labelled)
 
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
+    # All links are within a component: two nodes have one, others are multiplied in tiles.
+    of = nodes.join(comp, "node").select("node", *key, F.col("doc_id").alias("own"), "n_shingles", "component")
+    groups = of.groupBy("component").agg(F.count("*").alias("n_nodes"), F.ceil(F.sum("n_shingles") * 8 / TILE_BYTES).alias("blocks"))
+    if count_links:
+        of = written(of.join(groups, "component"), "components")
+        large = of.filter("n_nodes > 2").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        ids = if_small(large.select("own").distinct())
+        sets = (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
+                .mapInArrow(lambda it: _full_sets(it, n), "sig1 long, sig2 long, grams binary")
+                .join(if_small(large.select(*key, "node", "component", "block", "blocks")), key)
+                .select("node", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "grams")
+                .select("node", "component", "block", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "grams"))
+        degree = (sets.groupBy("component", "t1", "t2").applyInArrow(lambda x: _tile_links(x, threshold), "node long, n_links long")
+                  .groupBy("node").agg(F.sum("n_links").alias("n_links"))
+                  .unionByName(of.filter("n_nodes = 2").select("node", F.lit(1).cast("long").alias("n_links"))))
+    else:
+        degree = comp.select("node", F.lit(None).cast("long").alias("n_links"))
     labels = (nodes.select(*key, "node", "doc_id").join(comp, "node", "left").join(degree, "node", "left")
               .withColumn("group_id", F.coalesce("component", "node")))
     smallest = labels.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
-    labels = labels.join(smallest, "group_id").select(*key, "group_id", "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    labels = labels.join(smallest, "group_id").select(*key, "group_id", "component_id", "n_links")
     empty = F.col("n_shingles") == 0
     return rows.drop("columns").join(labels, key, "left").select(
         "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group_id",
-        F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+        (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -268,7 +326,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows equal in doc_id and text stay once; a document with a null doc_id stays only if its
     group has no other id.  Columns are those of ``docs``.
     """
-    groups = written(near_duplicates(docs, **options), "groups")
+    groups = written(near_duplicates(docs, count_links=False, **options), "groups")
     kept = if_small(groups.select(F.col("component_id").alias("_keep")).distinct())
     cols = docs.columns
     out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi").select(*[F.col(f"`{c}`") for c in cols])

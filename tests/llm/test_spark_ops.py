@@ -44,6 +44,24 @@ def test_near_duplicates_agree_with_all_pairs(spark, listed, monkeypatch):
     assert kept == set(want.values())
 
 
+@pytest.mark.parametrize("tile", [ngram_join.TILE_BYTES, 4000])
+def test_number_of_links_agrees_with_all_pairs(spark, tile, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_BYTES", tile)
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    texts = near_copies()
+    for i in range(60):  # a large group of near copies, not all of which link
+        copy = list(base)
+        for k in rng.sample(range(len(copy)), rng.randint(0, 3)):
+            copy[k] = f"r{rng.randrange(9999)}"
+        texts[1000 + i] = " ".join(copy)
+    sets = {i: H.shingles(t) for i, t in texts.items()}
+    other = set(sets.values()) - {frozenset()}
+    want = {i: sum(x != s and 100 * len(x & s) >= 75 * len(x | s) for x in other) if s else 0 for i, s in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == want and max(want.values()) > 20
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     rows = ngram_join.near_duplicates(awkward(spark)).collect()
     by_id = {}
