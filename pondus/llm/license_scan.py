@@ -105,14 +105,20 @@ class _Join:
         self.rare[list(self.prefix)] = True
 
     def row(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, containment): the best block of each template in a text
-        whose words are the vocabulary places ``ids``, -1 for others."""
+        """The best of ``blocks`` for each template, the first of ties."""
+        found = self.blocks(ids)
+        return [(self.templates[k].label, *max(blocks, key=lambda x: x[2])) for k, blocks in sorted(found.items())]
+
+    def blocks(self, ids: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
+        """(first word, end, containment) of every block that holds a template, for each
+        template found in a text whose words are the vocabulary places ``ids``, -1 for others.
+        Overlapping blocks of one template become one, with the highest containment."""
         known = np.flatnonzero(ids >= 0)
         seeds = known[self.rare[ids[known]]]
         if not len(seeds):
-            return []
+            return {}
         step = max(1, self.size // 2)
-        found: dict[int, tuple[float, int, int]] = {}
+        found: dict[int, list[tuple[int, int, float]]] = {}
         last = max(0, (len(ids) - self.size + step - 1) // step)  # the block that reaches the end
         low = np.clip((seeds - self.size + step) // step, 0, last)
         for block in np.unique(np.concatenate((low, np.minimum(low + 1, last), np.minimum(seeds // step, last)))):
@@ -130,9 +136,14 @@ class _Join:
                 if n_have < t.need or len(t.words) - i < t.need:
                     continue
                 share = float(have[self.place[k]].sum()) / len(t.words)
-                if share * len(t.words) >= t.need - 1e-9 and (k not in found or share > found[k][0]):
-                    found[k] = (share, int(a), int(b))
-        return [(self.templates[k].label, a, b, share) for k, (share, a, b) in sorted(found.items())]
+                if share * len(t.words) >= t.need - 1e-9:
+                    blocks = found.setdefault(k, [])
+                    if blocks and a < blocks[-1][1]:
+                        first, _, most = blocks.pop()
+                        blocks.append((first, int(b), max(most, share)))
+                    else:
+                        blocks.append((int(a), int(b), share))
+        return found
 
 
 def _scan(batches, join: _Join):
@@ -157,7 +168,8 @@ def _scan(batches, join: _Join):
             rare[rare] = join.rare[ids[rare]]
             seeded = np.bincount(w.row[rare], minlength=n) > 0
             for r in range(n):
-                own = join.row(ids[w.bounds[r]:w.bounds[r + 1]]) if seeded[r] else []
+                found = join.blocks(ids[w.bounds[r]:w.bounds[r + 1]]) if seeded[r] else {}
+                own = [(join.templates[k].label, *x) for k, blocks in sorted(found.items()) for x in blocks]
                 base = sorted({label for _, label in hits[r]})
                 for c, v in zip(cols, (int(w.bounds[r + 1] - w.bounds[r]), len(hits[r]), min((p for p, _ in hits[r]), default=None), max((p for p, _ in hits[r]), default=None),
                                        ",".join(base), ",".join(sorted({*base, *(x[0] for x in own)})), max([1.0 if base else 0.0, *(x[3] for x in own)]),
@@ -171,7 +183,7 @@ def _scan(batches, join: _Join):
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document: doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels, score and blocks (each template found: its best block, first by place among ties).
+    labels, score and blocks (every block that holds a template, overlapping ones merged).
 
     n_base counts every place of a phrase; labels are those of phrases and templates, without
     repeats, sorted, comma-joined; score is the best containment, 1 with a phrase, 0 with

@@ -24,7 +24,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template blocks of every document."""
-    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,21 @@ def test_pii_numbers_disclose_like_names(spark):
     assert "447120" not in " ".join(r["text"] for r in pii.sanitise(docs).collect())
 
 
+def test_license_blocks_of_every_place(spark):
+    label, words = license_scan.TEMPLATES[4]
+    filler = [f"f{i}" for i in range(400)]
+    text, starts = [], []
+    for _ in range(50):
+        text += filler
+        starts.append(len(text))
+        text += words.split()
+    r = license_scan.scan(docs_of(spark, {1: " ".join(text), 2: " ".join(words.split() * 20)})).collect()
+    blocks = [b for b in r[0]["blocks"] if b["label"] == label]
+    assert len(blocks) == 50 and all(b["first_word"] <= a and b["end_word"] >= a + len(words.split()) and b["containment"] == 1 for a, b in zip(starts, blocks))
+    assert [(b["first_word"], b["end_word"]) for b in r[1]["blocks"]] == [(0, 20 * len(words.split()))]
+    assert r[0]["labels"] == r[1]["labels"] == label and r[0]["score"] == 1.0
+
+
 def test_exact_topk_agrees_with_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(700)]
