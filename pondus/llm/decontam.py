@@ -61,7 +61,7 @@ def parts_of(text: str) -> tuple[str, str]:
 
 class _Block:
     def __init__(self, items, idf, average, ratio, gram):
-        self.ids = [i for i, _, _ in items]
+        self.ids = [(False, i, "") if i is not None else (True, 0, t) for i, t, _ in items]  # without an id, the text is the key
         self.window = max(16, 2 * max(len(h) for _, _, h in items))
         self.vocabulary = np.unique(np.concatenate([h for _, _, h in items]))
         self.maybe = np.zeros(1 << 16, bool)  # by a hash's low bits
@@ -81,7 +81,7 @@ class Index:
     whole benchmark."""
 
     def __init__(self, items, frequency: dict[int, int], n: int, average: float, ratio=RATIO, overlap=OVERLAP, gram=GRAM, block=BLOCK_ITEMS):
-        items = sorted(((i, t, h) for i, t in items if len(h := _hashes(t))), key=lambda x: (len(x[2]), x[0]))
+        items = sorted(((i, t, h) for i, t in items if len(h := _hashes(t))), key=lambda x: (len(x[2]), x[0] is None, x[0] or 0, x[1]))
         idf = {t: float(np.log(1 + (n - df + 0.5) / (df + 0.5))) for t, df in frequency.items()}
         self.overlap = overlap
         self.blocks = [_Block(items[k:k + block], idf, average, ratio, gram) for k in range(0, len(items), block)]
@@ -138,7 +138,7 @@ class Index:
             live = np.flatnonzero(most[left] + most[right] >= block.need.min())
             for c in range(0, len(live), _CHUNK):
                 self._score(w, block, live[c:c + _CHUNK], row, left, right, half, term, first_half, best)
-        return [(*key, first, score, q, a) for key, (score, first, q, a) in sorted(best.items())]
+        return [(row, None if item[0] else item[1], first, score, q, a) for (row, item), (score, first, q, a) in sorted(best.items())]
 
 
 def _terms(batches):
@@ -150,8 +150,9 @@ def _terms(batches):
 
 
 def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES, **options) -> list[Index]:
-    """The index, in parts of bounded size.  Null and empty items match nothing."""
-    items = benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL").distinct()
+    """The index, in parts of bounded size.  Null and empty texts match nothing;
+    items without an id count like others."""
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
     n, size, words = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.avg(F.size(F.split("text", r"\s+")))).first()
     parts = max(1, -(-size // part_bytes))
     frequency = items.select("text").mapInArrow(_terms, "term long").groupBy("term").agg(F.count("*").alias("df"))
@@ -179,7 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, first_word, score, question_overlap, answer_overlap): every document
     with every test item that it holds, and the passage with the best score, the first of ties.
 
-    Null and empty texts and items match nothing; a document with a null id is reported with
+    Null and empty texts and items match nothing; an item with a null id is reported with it,
+    each of these texts on its own; a document with a null id is reported with
     it; repeated rows are reported each; extra columns are ignored.  Without items or
     documents the result is empty.
     """

@@ -275,6 +275,15 @@ def test_license_blocks_of_every_place(spark):
     assert r[0]["labels"] == r[1]["labels"] == label and r[0]["score"] == 1.0
 
 
+def test_decontamination_by_items_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    items = spark.createDataFrame([(None, a), (None, b), (0, c), (7, None)], "item_id long, text string")
+    docs = docs_of(spark, {1: f"x y {a} z {b} {c}", 2: "x y z " * 9, 3: f"p q {b} r"})
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()]
+    assert sorted(got, key=str) == [(1, 0), (1, None), (1, None), (3, None)]
+    assert [r["doc_id"] for r in decontam.remove_contaminated(docs, items).collect()] == [2]
+
+
 def test_exact_topk_agrees_with_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(700)]
