@@ -41,14 +41,13 @@ def q_tree(spark, sf):
 
 @register("forest", None)
 def q_forest(spark, sf):
-    imp, _ = M.forest(_labeled(spark, sf), FEATS, "y", weight="w", n_trees=20, max_depth=8, min_leaf=5)
+    imp, _ = M.forest(_labeled(spark, sf), FEATS, "y", weight="w")
     return imp
 
 
 @register("kmeans_select", None)
 def q_kmeans_select(spark, sf):
-    out, _ = M.kmeans_select(lineitem(spark, sf), ["l_extendedprice", "l_quantity", "l_discount"],
-                             2, 4, starts=2)
+    out, _ = M.kmeans_select(lineitem(spark, sf), ["l_extendedprice", "l_quantity", "l_discount"])
     return out
 
 

@@ -215,3 +215,25 @@ def test_executors_need_no_copy_of_the_package(spark):
     assert sys.modules["pondus"].__name__ in cloudpickle.cloudpickle._PICKLE_BY_VALUE_MODULES
     data = cloudpickle.dumps(archives._records)
     assert b"_records" in data and b"pondus.sources.archives\x94\x8c\x08_records" not in data
+
+
+def test_forest_and_kmeans_queries_use_the_operators_defaults(monkeypatch):
+    import inspect
+    from pondus.plans import testbed3
+    forest, select, calls = inspect.signature(testbed3.M.forest), inspect.signature(testbed3.M.kmeans_select), {}
+
+    def spy(name, signature):
+        def call(*args, **named):
+            bound = signature.bind(*args, **named)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            return None, None
+        return call
+    monkeypatch.setattr(testbed3, "_labeled", lambda spark, sf: None)
+    monkeypatch.setattr(testbed3, "lineitem", lambda spark, sf: None)
+    for name, signature in (("forest", forest), ("kmeans_select", select)):
+        monkeypatch.setattr(testbed3.M, name, spy(name, signature))
+    testbed3.q_forest(None, None)
+    testbed3.q_kmeans_select(None, None)
+    assert [calls["forest"][x] for x in ("n_trees", "max_depth", "min_leaf")] == [500, 30, 5]
+    assert [calls["kmeans_select"][x] for x in ("k_min", "k_max", "starts")] == [2, 8, 10]
