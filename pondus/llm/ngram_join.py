@@ -2,8 +2,9 @@
 
 The documents form a sparse incidence matrix with a row per document and a column per
 n-gram.  An entry of its product with its transpose is the overlap of two documents, and
-two documents link when ``100 * overlap >= threshold * union``.  The product is computed in
-blocks of columns (Spark's partitions by n-gram), and only where size-derived bounds allow:
+two documents link when ``100 * overlap >= threshold * union``.  Components
+come from a prefix-filter join, whose candidate pairs are verified one by one; the product
+itself is computed within components only, for the numbers of links:
 
 1. *Equal rows* become one (grouped by a 128-bit hash of the set), so copies cost nothing.
 2. *Columns.*  All documents order their n-grams alike, rare before frequent.  If A links
