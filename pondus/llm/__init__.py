@@ -1,6 +1,6 @@
 """Operators of a large-scale training-data pipeline.
 
-Ten operators, each in a module of its own, on the tables ``documents``, ``pages``,
+Operators, each in a module of its own, on the tables ``documents``, ``pages``,
 ``benchmark``, ``labels``, ``embeddings`` and ``conversations``.  :mod:`.queries` registers
 them; nothing else in the library imports this subpackage.
 """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, langid, license_scan, mixing, ngram_join, pii, quality, topk, warc
+from . import centroids, chat, decontam, langid, license_scan, mixing, ngram_join, pii, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rounds of 40 centroids over all vectors."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -77,7 +82,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_license_scan, op3_ngram_jaccard_join, op4_quality_classifier, op5_pii, op6_exact_topk, op7_mixing,
-    op8_chat_formatting, op9_decontamination, op10_warc, pipeline)}
+    op8_chat_formatting, op9_decontamination, op10_warc, op13_centroid_clustering, pipeline)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested by brute force.
-ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL, "op7_mixing": mixing.SQL, "op10_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL, "op7_mixing": mixing.SQL, "op10_warc": warc.SQL,
+                           "op13_centroid_clustering": centroids.SQL}
