@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import centroids, chat, decontam, langid, license_scan, mixing, ngram_join, pii, quality, rules, topk, warc
+from . import centroids, chat, decontam, langid, license_scan, mixing, ngram_join, pii, quality, rules, topk, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and learned quality rules over every document."""
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -87,8 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_license_scan, op3_ngram_jaccard_join, op4_quality_classifier, op5_pii, op6_exact_topk, op7_mixing,
-    op8_chat_formatting, op9_decontamination, op10_warc, op12_quality_rules, op13_centroid_clustering, pipeline)}
+    op8_chat_formatting, op9_decontamination, op10_warc, op11_prefix_trie, op12_quality_rules, op13_centroid_clustering, pipeline)}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested by brute force.
 ORACLES: dict[str, str] = {"op6_exact_topk": topk.SQL, "op7_mixing": mixing.SQL, "op10_warc": warc.SQL,
-                           "op13_centroid_clustering": centroids.SQL}
+                           "op11_prefix_trie": trie.SQL, "op13_centroid_clustering": centroids.SQL}
