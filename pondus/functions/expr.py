@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 ColumnOrName = Column | str
 
@@ -78,3 +80,15 @@ def wmean_where(x: ColumnOrName, w: ColumnOrName, cond: Column) -> Column:
 
 def count_where(cond: Column) -> Column:
     return F.count(F.when(F.coalesce(cond, F.lit(False)), F.lit(1)))
+
+
+def join_groups(left: DataFrame, right: DataFrame, on: Iterable[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group columns where null is a group of its own (null meets null).  Columns
+    come from ``left``, then those of ``right`` that aren't in ``on``."""
+    on = list(on)
+    if not on:
+        raise ValueError("join_groups needs group columns")
+    names = {c: f"_pd_right_{i}" for i, c in enumerate(on)}
+    r = right.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[F.col(f"`{c}`") for c in right.columns if c not in names])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(r, same, how).drop(*names.values())

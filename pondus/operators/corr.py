@@ -172,9 +172,11 @@ def with_p_values(pairs: DataFrame, method: str = "pearson") -> DataFrame:
 def cronbach(df: DataFrame, items: Sequence[str]) -> DataFrame:
     """α = k/(k−1)·(1 − Σ var_i / var_total) with sample variances on the listwise
     frame; zero total variance → null; α-if-item-deleted for every item — all from one
-    aggregate of 2k+1 variances."""
+    aggregate of 2k+1 variances.  Fewer than two items are a ValueError."""
     items = list(items)
     k = len(items)
+    if k < 2:
+        raise ValueError(f"the scale's reliability needs two items or more, not {k}")
     d = df.select(*[F.col(c).cast("double") for c in items]).dropna()
     total = sum((F.col(c) for c in items), F.lit(0.0))
     aggs = [F.var_samp(c).alias(f"v{i}") for i, c in enumerate(items)]

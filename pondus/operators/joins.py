@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 HOUSEHOLD_KEY = ["CODUSU", "NRO_HOGAR"]
 PERSON_KEY = ["CODUSU", "NRO_HOGAR", "COMPONENTE"]
@@ -29,10 +29,17 @@ def row_hash(df: DataFrame):
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    """Deterministic keep-first per key: row_number over ``order``, then a hash of the
-    row, so the result doesn't depend on the input's order."""
-    w = Window.partitionBy(*keys).orderBy(*order, row_hash(df))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Deterministic keep-first per key: the smallest row by ``order``, then by a hash of
+    the row, so the result doesn't depend on the input's order.  One aggregate that combines on
+    the map side, so a hot key sends one row per task.  ``order`` are column names, ascending
+    and nulls first."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    q = lambda c: F.col(f"`{c}`")
+    first = F.min_by(F.struct(*[q(c) for c in rest]), F.struct(*[q(c) for c in order], row_hash(df)))
+    out = df.groupBy(*[q(k) for k in keys]).agg(first.alias("_first"))
+    return out.select(*[q(c) if c in keys else F.col("_first").getField(c).alias(c) for c in df.columns])
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,12 +97,13 @@ def geo_inner(catalog: DataFrame, coords: DataFrame, code: str = "aglomerado_cod
 
 def compare_indicators(before: DataFrame, after: DataFrame, id_cols: Sequence[str],
                        indicators: Sequence[str]) -> DataFrame:
-    """Unpivot both KPI rows and full-join on (id…, indicator) with the delta."""
-    def long(df, name):
+    """Unpivot both KPI rows and line them up by (id…, indicator) with the delta; a
+    null id is an id."""
+    def long(df, name, other):
         return df.select(*id_cols, *[F.col(c).cast("double") for c in indicators]) \
-                 .unpivot(list(id_cols), list(indicators), "indicador", name)
-    b, a = long(before, "base"), long(after, "escenario")
-    out = b.join(a, list(id_cols) + ["indicador"], "full")
+                 .unpivot(list(id_cols), list(indicators), "indicador", name).withColumn(other, F.lit(None).cast("double"))
+    both = long(before, "base", "escenario").unionByName(long(after, "escenario", "base"))
+    out = both.groupBy(*id_cols, "indicador").agg(F.max("base").alias("base"), F.max("escenario").alias("escenario"))
     return out.withColumn("delta", F.col("escenario") - F.col("base"))
 
 

@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.expr import join_groups
+
 _B = "_pd_bucket"
 _S = "_pd_sub"
 
@@ -122,7 +124,7 @@ def running_weight(df: DataFrame, order: Sequence[str] | str, weight: Sequence[s
         # a hot value gets as many sub-ranges as split points it took, so there are at most
         # two rows per bucket: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
-    out = staged.join(offsets, part, "inner")
+    out = join_groups(staged, offsets, part)  # a null group is a group
     out = out.withColumns({e: F.col(f"_pd_local{i}") + F.col(f"_pd_off{i}") for i, e in enumerate(excls)})
     return out.drop(*[f"_pd_{x}{i}" for x in ("local", "off") for i in range(len(weights))], _B, _S)
 
@@ -181,14 +183,21 @@ def gini(df: DataFrame, value: str, weight: str | None = None, by=None, *,
     """
     by = _as_list(by)
     cd = cumulative_distribution(df, value, weight, by, method=method, buckets=buckets)
+    return cd.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_w").alias("w_sum"), gini_of(corrected).alias("gini"))
+
+
+def gini_of(corrected: bool = False) -> Column:
+    """The Gini as an aggregate over the rows of :func:`cumulative_distribution`."""
     y, w, cum = F.col("_v"), F.col("_w"), F.col("_cum")
-    agg = cd.groupBy(*by).agg(
-        F.sum(w * (cum - w / 2) * y).alias("_a"), F.sum(w).alias("_sw"),
-        F.sum(w * y).alias("_swy"), F.sum("_n").alias("n"))
-    g = 2 * F.col("_a") / (F.col("_sw") * F.col("_swy"))
-    g = g - 1 if corrected else g - (1 - 1 / F.col("_sw"))
-    res = F.when((F.col("n") >= 2) & (F.col("_swy") != 0), g)
-    return agg.select(*by, F.col("n"), F.col("_sw").alias("w_sum"), res.alias("gini"))
+    sw, swy = F.sum(w), F.sum(w * y)
+    g = 2 * F.sum(w * (cum - w / 2) * y) / F.nullif(sw * swy, F.lit(0.0))
+    g = g - 1 if corrected else g - (1 - 1 / sw)
+    return F.when((F.sum("_n") >= 2) & (swy != 0), g)
+
+
+def median_of() -> Column:
+    """The lower weighted median as an aggregate over :func:`cumulative_distribution`."""
+    return F.min(F.when(F.col("_cum") >= F.col("_tot") / 2, F.col("_v")))
 
 
 def theil(df: DataFrame, value: str, weight: str | None = None, by=None) -> DataFrame:
@@ -217,8 +226,7 @@ def lower_weighted_median(df: DataFrame, value: str, weight: str | None = None,
     """D3: first value whose inclusive running weight reaches half the total."""
     by = _as_list(by)
     cd = cumulative_distribution(df, value, weight, by, method=method, buckets=buckets)
-    return cd.groupBy(*by).agg(
-        F.min(F.when(F.col("_cum") >= F.col("_tot") / 2, F.col("_v"))).alias("median_lower"))
+    return cd.groupBy(*by).agg(median_of().alias("median_lower"))
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str | None, probs: Sequence[float],
@@ -298,7 +306,7 @@ def quantile_table(df: DataFrame, value: str, weight: str | None, key: Sequence[
     g = g.withColumn("_cum", F.col("_excl") + F.col("_w"))
     keys = by + ["_grp"]
     first = g.groupBy(*keys).agg(F.min("_excl").alias("_start"), F.sum("_w").alias("_gw"))
-    g2 = g.join(first, keys)
+    g2 = join_groups(g, first, keys)
     inner = F.col("_cum") - F.col("_start")
     prefix = "D" if n_groups == 10 else "Q"
     per = g2.groupBy(*keys).agg(
@@ -308,7 +316,7 @@ def quantile_table(df: DataFrame, value: str, weight: str | None, key: Sequence[
         F.sum(F.col("_w") * F.col("_v")).alias("_inc"))
     tot = per.groupBy(*by).agg(F.sum("_inc").alias("_tinc")) if by else None
     if by:
-        per = per.join(tot, by)
+        per = join_groups(per, tot, by)
         share = 100 * F.col("_inc") / F.col("_tinc")
     else:
         share = 100 * F.col("_inc") / F.sum("_inc").over(Window.partitionBy())

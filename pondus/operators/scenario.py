@@ -2,8 +2,9 @@
 
 Levers run for **every territory at once**: targets are a small DataFrame
 (territory, target), group totals come from one aggregate, and the greedy "heaviest
-first until the target mass" selection is the grouped ordered kernel (D10) — no loop
-over rows or territories.
+first until the target mass" selection is the grouped ordered kernel (D10), which yields the
+last flipped row of every territory.  Rows are then compared with that cut-off: a filter
+of territory size in place of a join with all flipped rows.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expr import num, wmean, wmean_where
-from ..plans.frame import ACCESS_FLAGS, USE_FLAGS
 from ..functions import coding as C
-from ..functions.expr import row_mean
+from ..functions.expr import join_groups, num, row_mean, wmean, wmean_where
+from ..plans.frame import ACCESS_FLAGS, USE_FLAGS
+from ..session import cut_lineage, materialise
 from . import ordered
 from .ordered import _as_list
-from ..session import cut_lineage
 
 
 def lever_baselines(df: DataFrame, by=None, weight: str = "PONDERA") -> DataFrame:
@@ -34,40 +34,50 @@ def lever_baselines(df: DataFrame, by=None, weight: str = "PONDERA") -> DataFram
                    F.lit(0.0)).alias("internet_quintil_i"))
 
 
+def lever_cuts(df: DataFrame, mask: Column, col: str, targets: DataFrame, key: Sequence[str],
+               by=None, *, good_value: float = 0.0, bad_value: float = 1.0,
+               weight: str = "PONDERA", method: str = "bucketed") -> DataFrame:
+    """L2/L3: the ``by`` columns and ``_cut``, the last row that flips in the group as
+    struct(−weight, key…); groups where nothing flips have no row.
+
+    Rows flip heaviest first, ties by key, so all rows up to ``_cut`` do.  The selection reads
+    the lever's columns only and returns one row per group."""
+    by = _as_list(by)
+    d = (df.where(F.coalesce(mask, F.lit(False)) & F.col(col).isNotNull())
+           .select(*by, *key, F.coalesce(F.col(weight), F.lit(1.0)).cast("double").alias("_w1"), F.col(col).alias("_state")))
+    tot = d.groupBy(*by).agg(F.sum("_w1").alias("_sw"), F.sum(F.when(F.col("_state") == good_value, F.col("_w1"))).alias("_swg"))
+    tgt = targets.select(*by, F.least(F.greatest(F.col("target"), F.lit(0.0)), F.lit(100.0)).alias("_t"))
+    have = F.coalesce(F.col("_swg"), F.lit(0.0))
+    plan = (join_groups(tot, tgt, by).where(F.col("_t") > 100 * have / F.col("_sw") + 0.05)
+            .select(*by, F.greatest(F.lit(0.0), F.col("_t") / 100 * F.col("_sw") - have).alias("_extra")).where("_extra > 0"))
+    cand = join_groups(d.where(F.col("_state") == bad_value), plan, by)
+    cand = ordered.greedy_prefix(cand, "_w1", list(key), F.col("_extra"), by, method=method)
+    return cand.where("_take").groupBy(*by).agg(F.max(F.struct((-F.col("_w1")).alias("w"), *key)).alias("_cut"))
+
+
+def _flips(mask: Column, col: str, bad_value: float, weight: str, key: Sequence[str], cut: str) -> Column:
+    row = F.struct((-F.coalesce(F.col(weight), F.lit(1.0)).cast("double")).alias("w"), *key)
+    return F.coalesce(mask & (F.col(col) == bad_value) & (row <= F.col(cut)), F.lit(False))
+
+
+def _with_group(df: DataFrame, targets: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """One implicit group when there are no ``by`` columns."""
+    return (df, targets, by) if by else (df.withColumn("_g", F.lit(0)), targets.withColumn("_g", F.lit(0)), ["_g"])
+
+
 def flip_to_target(df: DataFrame, mask: Column, col: str, targets: DataFrame, key: Sequence[str],
                    by=None, *, good_value: float = 0.0, bad_value: float = 1.0,
                    weight: str = "PONDERA", method: str = "bucketed") -> DataFrame:
     """L2/L3: within ``mask`` (rows with ``col`` not null) flip bad → good, heaviest
     weight first (ties by key), until the weighted good rate reaches the group's target
     (%).  No change when target ≤ current + 0.05 pp; a null weight counts as 1; the last
-    flipped row may overshoot.  ``targets`` has the ``by`` columns plus ``target``.
-    Returns ``df`` with ``col`` updated and a boolean ``_flipped``."""
-    by = _as_list(by)
-    synthetic = not by
-    if synthetic:  # one implicit group: a constant key keeps every join an equi-join
-        df, targets, by = df.withColumn("_g", F.lit(0)), targets.withColumn("_g", F.lit(0)), ["_g"]
-    w1 = F.coalesce(F.col(weight), F.lit(1.0))
-    d = df.withColumn("_in", F.coalesce(mask, F.lit(False)) & F.col(col).isNotNull()) \
-          .withColumn("_w1", w1)
-    good = F.col(col) == good_value
-    tot = d.where("_in").groupBy(*by).agg(
-        F.sum("_w1").alias("_sw"), F.sum(F.when(good, F.col("_w1"))).alias("_swg"))
-    tgt = targets.select(*by, F.least(F.greatest(F.col("target"), F.lit(0.0)), F.lit(100.0)).alias("_t"))
-    plan = tot.join(tgt, by)
-    cur = 100 * F.coalesce(F.col("_swg"), F.lit(0.0)) / F.col("_sw")
-    extra = F.when(F.col("_t") > cur + 0.05,
-                   F.greatest(F.lit(0.0), F.col("_t") / 100 * F.col("_sw") - F.coalesce(F.col("_swg"), F.lit(0.0)))) \
-             .otherwise(F.lit(0.0))
-    plan = plan.select(*by, extra.alias("_extra"))
-    cand = d.where(F.col("_in") & (F.col(col) == bad_value))
-    cand = cand.join(plan, by)
-    cand = ordered.greedy_prefix(cand, "_w1", list(key), F.col("_extra"), by, method=method)
-    flips = cand.where(F.col("_take") & (F.col("_extra") > 0)).select(*by, *key).withColumn("_flipped", F.lit(True))
-    out = d.join(flips, by + list(key), "left")
-    out = out.withColumn("_flipped", F.coalesce("_flipped", F.lit(False)))
-    out = out.withColumn(col, F.when(F.col("_flipped"), F.lit(good_value)).otherwise(F.col(col))) \
-             .drop("_in", "_w1")
-    return out.drop("_g") if synthetic else out
+    flipped row may overshoot; a null group is a group.  ``targets`` has the ``by`` columns
+    plus ``target``.  Returns ``df`` with ``col`` updated and a boolean ``_flipped``."""
+    df, targets, by = _with_group(df, targets, _as_list(by))
+    cuts = materialise(lever_cuts(df, mask, col, targets, key, by, good_value=good_value, bad_value=bad_value, weight=weight, method=method), "cuts")
+    out = join_groups(df, cuts, by, "left")  # one row a group: the planner broadcasts it by its size
+    out = out.withColumn("_flipped", _flips(mask, col, bad_value, weight, key, "_cut"))
+    return out.withColumn(col, F.when(F.col("_flipped"), F.lit(good_value)).otherwise(F.col(col))).drop("_cut", "_g")
 
 
 def recompute_derived(df: DataFrame, exclusion_threshold) -> DataFrame:
@@ -90,18 +100,24 @@ def apply_scenario(df: DataFrame, targets: DataFrame, key: Sequence[str], by=Non
     by = _as_list(by)
     thr = exclusion_threshold if exclusion_threshold is not None else \
         df.agg(F.median("idx_exclusion_digital")).scalar()
-    d = cut_lineage(df)  # every lever runs several jobs over its input
-    steps = [("internet_quintil_i", num("decil_ingreso") <= 2, "excl_sin_internet_hogar", 0.0, 1.0),
-             ("pct_superior", F.lit(True), "superior", 1.0, 0.0),
-             ("pct_empleo_formal", F.col("ocupado") == 1, "informal_proxy", 0.0, 1.0)]
-    for lever, mask, col, good, bad in steps:
+    df, targets, by = _with_group(df, targets, by)
+    columns = [*by, *key, "PONDERA", "decil_ingreso", "ocupado", "excl_sin_internet_hogar", "superior", "informal_proxy"]
+    d = materialise(df.select(*dict.fromkeys(columns)), "levers")  # read by several jobs for each lever
+    levers = [("internet_quintil_i", num("decil_ingreso") <= 2, "excl_sin_internet_hogar", 0.0, 1.0),
+              ("pct_superior", F.lit(True), "superior", 1.0, 0.0),
+              ("pct_empleo_formal", F.col("ocupado") == 1, "informal_proxy", 0.0, 1.0)]
+    # no lever reads a column that another one writes, so their order doesn't matter and all
+    # cut-offs come from the same rows
+    cuts = None
+    for i, (lever, mask, col, good, bad) in enumerate(levers):
         t = targets.select(*by, F.col(lever).alias("target")).where(F.col("target").isNotNull())
-        d = flip_to_target(d, mask, col, t, key, by, good_value=good, bad_value=bad, method=method) \
-            .drop("_flipped")
-        # each lever reads the previous one's output: a reliable checkpoint keeps the
-        # plan flat and survives executor loss (never a local checkpoint)
-        d = cut_lineage(d)
-    return recompute_derived(d, thr)
+        c = lever_cuts(d, mask, col, t, key, by, good_value=good, bad_value=bad, method=method).withColumn("_lever", F.lit(i))
+        cuts = c if cuts is None else cuts.unionByName(c)
+    cuts = cuts.groupBy(*by).agg(*[F.max(F.when(F.col("_lever") == i, F.col("_cut"))).alias(f"_cut{i}") for i in range(len(levers))])
+    out = join_groups(df, materialise(cuts, "cuts"), by, "left")
+    out = out.withColumns({col: F.when(_flips(mask, col, bad, "PONDERA", key, f"_cut{i}"), F.lit(good)).otherwise(F.col(col))
+                           for i, (_, mask, col, good, bad) in enumerate(levers)})
+    return recompute_derived(out.drop(*[f"_cut{i}" for i in range(len(levers))], "_g"), thr)
 
 
 def scenario_run(df: DataFrame, targets: DataFrame, key: Sequence[str], by, indicators: Sequence[str], features: Sequence[str],
@@ -115,5 +131,7 @@ def scenario_run(df: DataFrame, targets: DataFrame, key: Sequence[str], by, indi
     after = cut_lineage(apply_scenario(df, targets, key, by, exclusion_threshold=exclusion_threshold))
     _, model = models.logistic(df, features, label, weight)
     def measured(d):
-        return kpi.kpis(d, by=by, gaps=False).join(models.predicted_rate(model, d, features, weight, by), by, "left")
+        rate = models.predicted_rate(model, d, features, weight, by)
+        k = kpi.kpis(d, by=by, gaps=False)
+        return join_groups(k, rate, by, "left") if by else k.withColumn("pct_predicho", rate.select("pct_predicho").scalar())
     return after, joins.compare_indicators(measured(df), measured(after), by, [*indicators, "pct_predicho"])

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.expr import num, wmean
+from ..functions.expr import join_groups, num, wmean
 from . import ordered
 from .ordered import _as_list
 
@@ -111,7 +111,7 @@ def summary(df: DataFrame, column: str, weight: str | None = None,
     d = d.withColumn("_x", x)
     if by:
         shift = d.groupBy(*by).agg(F.min("_x").alias("_c"))
-        d = d.join(shift, by)
+        d = join_groups(d, shift, by)
     else:
         d = d.withColumn("_c", d.agg(F.min("_x")).scalar())
     dx = F.col("_x") - F.col("_c")
@@ -142,7 +142,8 @@ def summary(df: DataFrame, column: str, weight: str | None = None,
             q = ordered.unweighted_quantiles(d, "_x", list(quantiles) + ([0.5] if 0.5 not in quantiles
                                                                       else []), by)
         q = q.withColumnRenamed("q50", "median")
-        out = out.join(q, by) if by else _one_row_join(out, q)
+        # a group without values has no quantiles, but its counts
+        out = join_groups(out, q, by, "left") if by else _one_row_join(out, q)
     return out
 
 
@@ -221,15 +222,12 @@ def crosstab_pivot(long: DataFrame, row: str, column: str, levels: Sequence) ->
 
 def group_compare(df: DataFrame, value: str, group: str, weight: str | None = None, *,
                   method: str = "bucketed") -> DataFrame:
-    """Per group (null group kept) Σw, weighted mean, lower weighted median, Gini —
-    all through the grouped ordered kernel, sorted by mean descending."""
-    v = ordered.valid_income(df, value, weight)
-    base = v.groupBy(group).agg(F.sum("_w").alias("w_sum"),
-                                (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
-    med = ordered.lower_weighted_median(df, value, weight, by=group, method=method)
-    gin = ordered.gini(df, value, weight, by=group, method=method).select(group, "gini")
-    out = base.join(med, [group], "left").join(gin, [group], "left")
-    return out.orderBy(F.desc("mean"), group)
+    """Per group (null group kept) Σw, weighted mean, lower weighted median, Gini,
+    sorted by mean descending: one grouped running pass gives all four."""
+    cd = ordered.cumulative_distribution(df, value, weight, group, method=method)
+    return cd.groupBy(group).agg(
+        F.sum("_w").alias("w_sum"), (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"),
+        ordered.median_of().alias("median_lower"), ordered.gini_of().alias("gini")).orderBy(F.desc("mean"), group)
 
 
 def gated_corr(df: DataFrame, x: str, y: str, min_rows: int = 10) -> DataFrame:

@@ -8,12 +8,14 @@ a bounded read, never the whole file on the driver.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.schema import normalize_names
+from ..session import delete_folder
 
 SEPARATORS = [";", ",", "\t", "|"]
 TEXT_SUFFIXES = (".csv", ".txt", ".dat", ".tsv")
@@ -124,17 +126,44 @@ def panel(waves: Sequence[tuple[int, int, DataFrame]]) -> DataFrame:
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                  partition_by: Sequence[str] = ()) -> DataFrame:
-    """Read-through cache — read the Parquet at ``path`` if it is there, else build,
-    write (partitioned) and read back.  A folder that exists but can't be read is an error,
-    never overwritten."""
-    if not _is_folder(spark, path):
-        w = build().write
+    """Read-through cache — read the Parquet at ``path`` if a finished write left it, else
+    build, write (partitioned) and read back.
+
+    A write goes to a folder of its own beside ``path`` and is renamed once it is whole, so a
+    reader never sees part of it.  Of concurrent builders the first to rename wins; the others
+    read its table.  A folder without the success marker is what a failed write left: it is
+    moved aside (``<path>.failed-…``) and built anew."""
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        staged = f"{path.rstrip('/')}.building-{uuid.uuid4().hex}"
+        w = build().write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        w.parquet(staged)
+        if not _exists(spark, f"{path}/_SUCCESS") and _exists(spark, path):
+            _rename(spark, path, f"{path.rstrip('/')}.failed-{uuid.uuid4().hex}")
+        if _exists(spark, path) or not _rename(spark, staged, path) or _exists(spark, f"{path}/{os.path.basename(staged)}"):
+            delete_folder(spark, staged)  # another builder was first
+            delete_folder(spark, f"{path}/{os.path.basename(staged)}")  # a rename onto a folder moves into it
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            raise OSError(f"{path}: no finished table was left")
     return spark.read.parquet(path)
 
 
+def _on(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _on(spark, path)
+    return fs.exists(p)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> bool:
+    fs, p = _on(spark, source)
+    return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target))
+
+
 def dataset_listing(spark: SparkSession, path: str) -> DataFrame:
     """Per file: path, size in MB, rows; plus the column count (driver metadata)."""
     df = spark.read.parquet(path)
