@@ -17,7 +17,10 @@ batch: for feature i on the path,
 where p = number of path features and e_s is the degree-s coefficient of
 Π_{j ≠ i} (z_j + o_j·t).  Features off the path get nothing from that leaf.
 
-The node table comes from the saved model (its ``data`` Parquet).  It has at most
+A forest of :mod:`forest` is explained tree by tree from flat node arrays, all leaves of a tree
+at once, in broadcast blocks of trees of bounded size.
+
+The node table of a tree comes from the saved model (its ``data`` Parquet).  It has at most
 2^(depth+1) − 1 rows, so its size is bounded by the model parameters, not by the data;
 it travels to the executors inside the ``mapInPandas`` closure.
 """
@@ -29,9 +32,11 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpoint_dir, delete_folder
+from . import clusters, forest as forests
 
 
 def tree_nodes(spark: SparkSession, model) -> list[dict]:
@@ -130,6 +135,89 @@ def shap_matrix(x: np.ndarray, leaves) -> tuple[np.ndarray, float]:
     return phi, base
 
 
+def flat_boxes(t: forests.Tree, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, z, value) of every leaf of a flat tree, leaves x features: the leaf holds codes
+    lo < c <= hi, and z is the product of the cover ratios of the branches that test the feature."""
+    n = len(t.feature)
+    lo, hi, z = np.full((n, p), -1, np.int16), np.full((n, p), 255, np.int16), np.ones((n, p))
+    level = np.zeros(1, np.int64)
+    while len(level):
+        level = level[t.feature[level] >= 0]
+        f, left = t.feature[level], t.left[level].astype(np.int64)
+        for child in (left, left + 1):
+            lo[child], hi[child], z[child] = lo[level], hi[level], z[level]
+            z[child, f] *= t.cover[child] / t.cover[level]
+        hi[left, f] = np.minimum(hi[left, f], t.code[level])
+        lo[left + 1, f] = np.maximum(lo[left + 1, f], t.code[level])
+        level = np.concatenate((left, left + 1))
+    leaf = t.feature < 0
+    return lo[leaf], hi[leaf], z[leaf], t.p[leaf]
+
+
+def flat_shap(codes: np.ndarray, t: forests.Tree, p: int, cells: int = 1 << 19) -> np.ndarray:
+    """Path-dependent Shapley values of one flat tree, rows x features, all leaves at once.
+
+    The game of a leaf is Π_j (z_j + o_j t) over the features of the tree (one that isn't on its
+    path has z = o = 1 and changes nothing).  The product is extended feature by feature;
+    for each feature it is then unwound: divided by its factor, from the top where o = 1 and by
+    z where o = 0, so no small z is divided by twice."""
+    phi = np.zeros((len(codes), p))
+    used = np.unique(t.feature[t.feature >= 0]).tolist()
+    if not used:
+        return phi
+    lo, hi, z, value = flat_boxes(t, p)
+    q, w = len(used), _shapley_weights(len(used))
+    step = max(1, cells // max(1, len(value)))
+    for a in range(0, len(codes), step):
+        c = codes[a:a + step].astype(np.int16)
+        inside = [(c[:, None, f] > lo[:, f]) & (c[:, None, f] <= hi[:, f]) for f in used]
+        e = [np.ones((len(c), len(value)))] + [np.zeros((len(c), len(value))) for _ in used]
+        for k, (f, o) in enumerate(zip(used, inside)):
+            for s in range(k + 1, 0, -1):
+                e[s] = e[s] * z[:, f] + np.where(o, e[s - 1], 0.0)
+            e[0] = e[0] * z[:, f]
+        for f, o in zip(used, inside):
+            total, up = np.zeros_like(e[0]), np.zeros_like(e[0])
+            for s in range(q - 1, -1, -1):  # o = 1: c_s = e_(s+1) - z c_(s+1)
+                up = e[s + 1] - z[:, f] * up
+                total += w[s] * np.where(o, up, e[s] / z[:, f])
+            phi[a:a + step, f] += (total * (o - z[:, f])) @ value
+    return phi
+
+
+def _forest_shap(df: DataFrame, model: forests.Forest, features: list[str], key: list[str]) -> DataFrame:
+    """Sums over the forest's blocks of trees, each broadcast; equal rows of a batch are explained
+    once."""
+    p, edges, total, base = len(features), model.edges, None, 0.0
+    d = df.select(*key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features])
+    for c in features:
+        d = d.where(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")))
+
+    def explainer(at):
+        def explain(*xs: pd.Series) -> pd.Series:
+            x = np.column_stack([s.to_numpy(float) for s in xs]) if len(xs[0]) else np.zeros((0, p))
+            codes, inv = np.unique(forests.coded(x, edges), axis=0, return_inverse=True)
+            phi = np.zeros((len(codes), p))
+            for _, t in at():
+                phi += flat_shap(codes, t, p)
+            return pd.Series(list(phi[inv.reshape(-1)]))
+
+        explain.__annotations__ = {"xs": pd.Series, "return": pd.Series}
+        return F.pandas_udf(explain, "array<double>")
+
+    for block in model.blocks():
+        base += sum(float(t.p[0]) for _, t in block)
+        part = explainer(clusters.sent(df.sparkSession, block))(*[F.col(f"`{c}`") for c in features])
+        total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
+    base /= model.n_trees
+    d = d.withColumn("_phi", total)
+    phi = [F.col("_phi")[i] / model.n_trees for i in range(p)]
+    fx = F.lit(base)
+    for x in phi:
+        fx = fx + x
+    return d.select(*key, *[F.col(f"`{c}`") for c in features], *[x.alias(f"phi_{c}") for x, c in zip(phi, features)], F.lit(base).alias("base"), fx.alias("fx"))
+
+
 def tree_shap(df: DataFrame, model, features: Sequence[str], key: Sequence[str],
               positive: int = 1) -> DataFrame:
     """M23, for a tree or a forest: one row per input row: key, the feature values, ``phi_<feature>`` for class
@@ -138,6 +226,8 @@ def tree_shap(df: DataFrame, model, features: Sequence[str], key: Sequence[str],
     model was fitted)."""
     feats = list(features)
     keys = list(key)
+    if isinstance(model, forests.Forest):
+        return _forest_shap(df, model, feats, keys)
     leaves = model_leaves(df.sparkSession, model, positive)
     _, base = shap_matrix(np.zeros((1, len(feats))), leaves)
     d = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in feats]).dropna(subset=feats)
@@ -187,5 +277,5 @@ def explain_tree_model(df: DataFrame, features: Sequence[str], label: str, key:
     return tree_shap(df, m, features, key), m
 
 
-__all__ = ["tree_nodes", "model_leaves", "shap_matrix", "tree_shap", "shap_long", "shap_importance",
+__all__ = ["tree_nodes", "model_leaves", "shap_matrix", "flat_boxes", "flat_shap", "tree_shap", "shap_long", "shap_importance",
            "explain_tree_model"]

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ordered import unweighted_quantiles
 
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 30) -> dict[str, list]:
     """Distinct non-null levels per column, sorted; columns with more than ``max_levels``
@@ -19,12 +21,12 @@ def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 30)
     ``collect_set`` per column (the distinct count is checked first so no set grows past
     the limit)."""
     cols = list(columns)
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    small = [c for c in cols if counts[c] <= 2 * max_levels]
+    counts = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]).first() if cols else ()
+    small = [c for c, n in zip(cols, counts) if n <= 2 * max_levels]
     if not small:
         return {}
-    row = df.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in small]).first()
-    return {c: row[c] for c in small if 0 < len(row[c]) <= max_levels}
+    row = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(small)]).first()
+    return {c: lv for c, lv in zip(small, row) if 0 < len(lv) <= max_levels}
 
 
 def left_out(columns: Sequence[str], levels: dict[str, list]) -> list[str]:
@@ -39,17 +41,37 @@ def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = True) ->
     out = df
     for c, lv in levels.items():
         keep = lv[1:] if drop_first else lv
-        out = out.withColumns({f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("double"),
+        out = out.withColumns({f"{c}_{v}": F.coalesce((F.col(f"`{c}`").cast("string") == F.lit(v)).cast("double"),
                                                        F.lit(0.0)) for v in keep})
-        out = out.drop(c)
+        out = out.select(*[F.col(f"`{x}`") for x in out.columns if x != c])
     return out
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """M1: fill nulls with the exact (interpolated) median from the bucketed kernel, one
-    scalar subquery each; a column without values stays null."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), exact_median(df, c).scalar())
-                           for c in columns})
+    """M1: fill nulls with the exact (interpolated) medians, all from one kernel pass; a column
+    without values stays null."""
+    if not columns:
+        return df
+    med = medians(df, columns).scalar()
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), med.getField(f"m{i}")) for i, c in enumerate(columns)})
+
+
+def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row, one struct m0, m1, …: the interpolated medians of the non-null values of each
+    column, by one pass of the grouped ordered kernel over (column, value)."""
+    names = [f"x{i}" for i in range(len(columns))]
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)])
+    q = unweighted_quantiles(wide.unpivot([], names, "c", "v").where(~F.isnan("v")), "v", [0.5], by="c")
+    return q.agg(F.struct(*[F.max(F.when(F.col("c") == n, F.col("q50"))).alias(f"m{i}") for i, n in enumerate(names)]).alias("m"))
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+    """The vector of ``features``.  The assembler can't take names with a dot (levels such as
+    "a.b"), so it gets the columns by position."""
+    from pyspark.ml.feature import VectorAssembler
+    names = [f"_pd_in{i}" for i in range(len(features))]
+    d = df.withColumns({n: F.col(f"`{c}`") for n, c in zip(names, features)})
+    return VectorAssembler(inputCols=names, outputCol=out).transform(d).drop(*names)
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:
@@ -59,13 +81,10 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """M2: (x − mean) / population sd; sd = 0 divides by 1."""
-    st = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in columns],
-                *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in columns])
-    out = {}
-    for c in columns:
-        m, s = st.select(f"m_{c}").scalar(), st.select(f"s_{c}").scalar()
-        out[c] = (F.col(c).cast("double") - m) / F.when(s == 0, F.lit(1.0)).otherwise(s)
-    return df.withColumns(out)
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    st = df.agg(F.struct(*[f(v).alias(f"{n}{i}") for i, v in enumerate(x) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("st")).scalar()
+    return df.withColumns({c: (v - st.getField(f"m{i}")) / F.when(st.getField(f"s{i}") == 0, F.lit(1.0)).otherwise(st.getField(f"s{i}"))
+                           for i, (c, v) in enumerate(zip(columns, x))})
 
 
 def hash_split(df: DataFrame, key: Sequence[str], train_fraction: float = 0.8,

@@ -1,8 +1,8 @@
 """Models on Spark ML.
 
-Fitting is distributed (MLlib); results come back as small DataFrames (one row per
-coefficient, feature, class, cluster or k).  Results that depend on a solver or a seed
-are checked by invariants, not by an SQL oracle.
+Fitting is distributed (MLlib; the forest and the clusterings in modules of their own); results
+come back as small DataFrames (one row per coefficient, feature, class, cluster or k).
+Results that depend on a solver or a seed are checked by invariants, not by an SQL oracle.
 """
 
 from __future__ import annotations
@@ -11,27 +11,25 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dist import norm_two_sided_p
-from . import ml_prep
+from . import clusters, forest as forests, ml_prep
 
 
 def design(df: DataFrame, features: Sequence[str], label: str | None = None,
            weight: str | None = None, scale: bool = False) -> DataFrame:
     """Listwise rows, optional population standardisation, assembled vector."""
     cols = list(features) + ([label] if label else []) + ([weight] if weight else [])
-    d = df.select(*[F.col(c).cast("double") for c in cols]).dropna(subset=list(features) + ([label] if label else []))
+    d = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    for c in list(features) + ([label] if label else []):
+        d = d.where(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")))
     if scale:
         d = ml_prep.standardise(d, features)
-    d = VectorAssembler(inputCols=list(features), outputCol="features").transform(d)
+    d = ml_prep.assemble(d, features)
     if weight:
         d = d.withColumn(weight, F.coalesce(F.col(weight), F.lit(0.0)))
     return d
@@ -66,13 +64,13 @@ def glm_inference(df: DataFrame, features: Sequence[str], label: str,
         glr = glr.setWeightCol(weight)
     schema = ("variable string, coef double, odds_ratio double, or_ci_low double, or_ci_high double, "
               "p double, se double, pseudo_r2 double, log_lik double, aic double, bic double")
-    m = glr.fit(d)
-    s = m.summary
     names = list(features) + ["(intercept)"]
-    coefs = list(m.coefficients) + [m.intercept]
     try:
+        m = glr.fit(d)
+        s = m.summary
+        coefs = list(m.coefficients) + [m.intercept]
         ses = list(s.coefficientStandardErrors)
-    except Exception:  # noqa: BLE001 — singular information matrix: empty table, as the reference
+    except Exception:  # noqa: BLE001 — no rows, one class or a singular matrix: empty table, as the reference
         return df.sparkSession.createDataFrame([], schema)
     n = s.numInstances
     k = len(names)
@@ -114,17 +112,11 @@ def tree(df: DataFrame, features: Sequence[str], label: str, weight: str | None
 
 
 def forest(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None,
-           n_trees: int = 500, max_depth: int = 30, min_leaf: int = 5, seed: int = 42):
-    """M9: random forest, √p features per split (Spark has no OOB score; the model job
-    reports the held-out accuracy)."""
-    d = design(df, features, label, weight)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
-                                maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy="sqrt", seed=seed)
-    if weight:
-        rf = rf.setWeightCol(weight)
-    m = rf.fit(d)
-    return importances(df, features, m.featureImportances.toArray()), m
+           n_trees: int = 500, max_depth: int = 30, min_leaf: int = 5, seed: int = 42, key: Sequence[str] | None = None):
+    """M9: random forest, √p features per split; returns (importances DataFrame, model).  The
+    model's ``out_of_bag`` is the score of rows by the trees that didn't see them."""
+    m = forests.fit(df, features, label, weight, key, n_trees=n_trees, max_depth=max_depth, min_leaf=min_leaf, seed=seed)
+    return importances(df, features, m.importances()), m
 
 
 def importances(df: DataFrame, features: Sequence[str], values) -> DataFrame:
@@ -138,74 +130,39 @@ def predicted_rate(model, df: DataFrame, features: Sequence[str], weight: str =
     """Weighted mean predicted probability (%) of class 1 on another frame, by group."""
     d = df.select(*by, *[F.col(c).cast("double").alias(c) for c in features],
                   F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_pw")).dropna(subset=list(features))
-    d = VectorAssembler(inputCols=list(features), outputCol="features").transform(d)
+    d = ml_prep.assemble(d, features)
     p = model.transform(d).withColumn("_p1", vector_to_array("probability")[1])
     return p.groupBy(*by).agg((100 * F.sum(F.col("_p1") * F.col("_pw")) / F.sum("_pw")).alias("pct_predicho"))
 
 
 def kmeans_select(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max: int = 8,
                   starts: int = 10, seed: int = 42) -> tuple[DataFrame, dict]:
-    """For each k, best of ``starts`` seeds by SSE; silhouette per k (Spark's
-    evaluator: squared Euclidean distance, reported under that name); the best k by
-    silhouette."""
-    d = design(df, features, scale=True).cache()
-    rows, models = [], {}
-    ev = ClusteringEvaluator(featuresCol="features", metricName="silhouette",
-                             distanceMeasure="squaredEuclidean")
-    for k in range(k_min, k_max + 1):
-        best = None
-        for s in range(starts):
-            m = KMeans(k=k, seed=seed + s, maxIter=300, tol=1e-4, featuresCol="features").fit(d)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
-        sil = ev.evaluate(best.transform(d))
-        rows.append((k, float(best.summary.trainingCost), float(sil)))
-        models[k] = best
-    d.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "k int, sse double, silhouette_sq_euclidean double")
-    return out, models
+    """On the cluster matrix (M16), for each k the best of ``starts`` seedings by SSE and its
+    Euclidean silhouette (M18) on at most 5 000 rows; (table, models by k)."""
+    matrix, names = clusters.cluster_matrix(df, features)
+    found = clusters.kmeans(matrix, [f"x{i}" for i in range(len(names))], range(k_min, k_max + 1), starts, seed)
+    out = df.sparkSession.createDataFrame([(m.k, m.sse, s) for m, s in found], "k int, sse double, silhouette double")
+    return out, {m.k: m for m, _ in found}
 
 
 def kmeans_best(df: DataFrame, features: Sequence[str], k_min: int = 2, k_max: int = 8,
                 starts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame, int]:
     """(rows with their cluster, the table by k, the k with the best silhouette)."""
     table, models = kmeans_select(df, features, k_min, k_max, starts, seed)
-    best = table.orderBy(F.desc("silhouette_sq_euclidean"), "k").first()["k"]
-    return models[best].transform(design(df, features, scale=True)), table, best
+    best = table.orderBy(F.desc_nulls_last("silhouette"), "k").first()["k"]
+    matrix, names = clusters.cluster_matrix(df, features)
+    cols = [f"x{i}" for i in range(len(names))]
+    return models[best].transform(matrix, cols).drop(*cols), table, best
 
 
 def cluster_profile(assigned: DataFrame, features: Sequence[str], cluster: str = "prediction") -> DataFrame:
     """Per cluster n, % of rows and the mean of every feature."""
-    agg = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"),
-                                        *[F.avg(c).alias(c) for c in features])
-    return agg.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))
-
-
-def ward_two_stage(df: DataFrame, features: Sequence[str], k: int = 4, micro: int = 200,
-                   seed: int = 42) -> DataFrame:
-    """M21 re-aimed to the whole table: K-means into ``micro`` micro-clusters on Spark,
-    Ward agglomeration of the (centroid, size) pairs — ``micro`` points, a bounded
-    driver computation — then the micro→final map is broadcast back (≤ micro rows)."""
-    d = design(df, features, scale=True)
-    km = KMeans(k=micro, seed=seed, maxIter=50, featuresCol="features").fit(d)
-    assigned = km.transform(d)
-    sizes = {r[0]: r[1] for r in assigned.groupBy("prediction").count().collect()}
-    cents = km.clusterCenters()
-    groups = {i: ([i], np.array(cents[i]), float(sizes.get(i, 0))) for i in range(len(cents)) if sizes.get(i, 0) > 0}
-    while len(groups) > k:
-        keys = list(groups)
-        best, pair = None, None
-        for a_i, a in enumerate(keys):
-            for b in keys[a_i + 1:]:
-                _, ca, na = groups[a]
-                _, cb, nb = groups[b]
-                cost = na * nb / (na + nb) * float(((ca - cb) ** 2).sum())
-                if best is None or cost < best:
-                    best, pair = cost, (a, b)
-        a, b = pair
-        ma, ca, na = groups.pop(a)
-        mb, cb, nb = groups.pop(b)
-        groups[a] = (ma + mb, (ca * na + cb * nb) / (na + nb), na + nb)
-    mapping = [(int(m), int(g)) for g, (members, _, _) in enumerate(groups.values()) for m in members]
-    mp = df.sparkSession.createDataFrame(mapping, "prediction int, cluster int")
-    return assigned.join(F.broadcast(mp), "prediction").drop("prediction")
+    return clusters.profile(assigned, features, cluster)
+
+
+def ward_two_stage(df: DataFrame, features: Sequence[str], k: int = 4, micro: int = clusters.MICRO) -> DataFrame:
+    """M21 on the whole table: the cluster matrix (M16), micro-clusters in one scan, Ward's method
+    on these (:func:`clusters.ward`); ``df`` with its ``cluster``."""
+    matrix, names = clusters.cluster_matrix(df, features)
+    cols = [f"x{i}" for i in range(len(names))]
+    return clusters.ward(matrix, cols, k, micro).drop(*cols)

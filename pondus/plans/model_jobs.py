@@ -2,7 +2,7 @@
 
 Preparation is a lazy plan over the whole table: medians of the numeric predictors, one 0/1
 column per level of the others, a split by key hash, survey times balanced class weights.
-Fits are MLlib's; confusion, ROC, AUC and report run on the test rows' probabilities.
+Fits are MLlib's, the forest's :mod:`forest`'s; confusion, ROC, AUC and report run on the test rows' probabilities.
 """
 
 from __future__ import annotations
@@ -10,18 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate as E
+from ..operators import forest as forests
 from ..operators import ml_prep as P
 from ..operators import models as M
 from ..session import materialise
 
-_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-
 
 @dataclass
 class Prepared:
@@ -52,23 +50,24 @@ def prepare(df: DataFrame, features: Sequence[str], label: str, key: Sequence[st
     than ``max_levels`` levels, or one that never varies, is left out and listed.
     """
     types = dict(df.dtypes)
-    numeric = [c for c in features if types[c] in _NUMERIC or types[c].startswith("decimal") or types[c] == "boolean"]
+    numeric = [c for c in features if types[c] in P.NUMERIC or types[c].startswith("decimal") or types[c] == "boolean"]
     others = [c for c in features if c not in numeric]
-    d = df.select(*key, *[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in features],
+    d = df.select(*key, *[F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in features],
                   F.col(label).cast("int").alias(label),
                   (F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).alias("_weight")).where(F.col(label).isNotNull())
     levels = P.category_levels(d, others, max_levels) if others else {}
     wide = {c for c in others if c not in levels}
-    d = P.one_hot(d.drop(*wide), levels)
+    d = P.one_hot(d.select(*[F.col(f"`{c}`") for c in d.columns if c not in wide]), levels)
     dummies = [f"{c}_{v}" for c, lv in levels.items() for v in lv[1:]]
     d = P.impute_median(d, numeric) if numeric else d
     d = materialise(P.hash_split(d, key, train_fraction, seed), "design")
-    spread = d.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(numeric + dummies)]).first() if numeric + dummies else []
-    predictors = [c for c, n in zip(numeric + dummies, spread) if n > 1]
+    varies = lambda c: F.coalesce(F.min(F.col(f"`{c}`")) != F.max(F.col(f"`{c}`")), F.lit(False))
+    spread = d.agg(*[varies(c).alias(f"c{i}") for i, c in enumerate(numeric + dummies)]).first() if numeric + dummies else []
+    predictors = [c for c, several in zip(numeric + dummies, spread) if several]
     single = [c for c in numeric if c not in predictors] + [c for c in levels if not any(f"{c}_{v}" in predictors for v in levels[c][1:])]
     if balanced:
         d = M.balanced_weights(d, label, "_balanced", "_weight").drop("_weight").withColumnRenamed("_balanced", "_weight")
-    d = VectorAssembler(inputCols=predictors, outputCol="features").transform(d)
+    d = P.assemble(d, predictors)
     return Prepared(d, predictors, label, "_weight", sorted({*wide, *single}))
 
 
@@ -78,28 +77,31 @@ def _estimator(kind: str, p: Prepared, total: float, options: dict):
         return LogisticRegression(**shared, **{"maxIter": 200, "regParam": 1.0 / total, "standardization": False, "tol": 1e-10} | options)
     if kind == "tree":
         return DecisionTreeClassifier(**shared, **{"maxDepth": 5, "minInstancesPerNode": 50, "seed": 42} | options)
-    if kind == "forest":
-        return RandomForestClassifier(**shared, **{"numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt", "seed": 42} | options)
     raise ValueError(f"kind {kind!r}; one of logistic, tree, forest")
 
 
 def fit_and_evaluate(p: Prepared, kind: str, **options) -> dict[str, object]:
     """M4/M8/M9: fit on the training rows; on the test rows: confusion, report, ROC and AUC.
 
-    Also ``info`` (M1), ``model`` and the coefficients or importances.  One class among the
-    training rows, or no test rows, gives a ValueError.
+    Also ``info`` (M1), ``model``, the coefficients or importances, and the ``oob`` score of a
+    forest, whose options are those of :func:`forest.fit`.  One class among the training rows gives a ValueError.
     """
     train = p.frame.where(F.col("split") == "train")
     sums = {r[0]: r[1] for r in train.groupBy(p.label).agg(F.sum(p.weight)).collect()}
     if len(sums) < 2:
         raise ValueError("the training rows hold one class")
-    model = _estimator(kind, p, sum(sums.values()), options).fit(train)
+    if kind == "forest":
+        model = forests.fit(train, p.predictors, p.label, p.weight, **options)
+    else:
+        model = _estimator(kind, p, sum(sums.values()), options).fit(train)
     scored = materialise(model.transform(p.frame.where(F.col("split") == "test")).select(
         p.label, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("score")), "scored")
     out = evaluated(scored, p.label) | {"info": p.info(), "model": model}
     if kind == "logistic":
         rows = [(c, float(b)) for c, b in zip([*p.predictors, "(intercept)"], [*model.coefficients, model.intercept])]
         out["coefficients"] = p.frame.sparkSession.createDataFrame(rows, "variable string, coef double").withColumn("odds_ratio", F.exp("coef"))
+    elif kind == "forest":
+        out |= {"importances": M.importances(p.frame, p.predictors, model.importances()), "oob": model.out_of_bag()}
     else:
         out["importances"] = M.importances(p.frame, p.predictors, model.featureImportances.toArray())
     return out
