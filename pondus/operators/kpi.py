@@ -6,7 +6,7 @@ grouping sets, so the nation, every area and every year come out of **one** scan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import coding as C
 from ..functions.expr import count_where, num, wmean, wmean_where
@@ -139,3 +139,21 @@ def map_metric(catalog_df: DataFrame, coords: DataFrame, metric: str) -> DataFra
             .select(F.col("aglomerado_codigo"), "lat", "lon", "territorio_nombre",
                     F.col(metric).alias("valor"), F.col("n_individuos").alias("n"))
             .dropna(subset=["valor"]))
+
+
+def ranking(catalog_df: DataFrame, metric: str) -> DataFrame:
+    """O3: territories by a KPI, highest first, nulls dropped, with their rank (ties share it).
+    The catalogue has one row per territory, so one ordered window is fine."""
+    c = catalog_df.where(F.col("tipo") == "aglomerado").dropna(subset=[metric])
+    return c.select("territorio_id", metric, F.rank().over(Window.orderBy(F.desc(metric))).alias("rank"))
+
+
+def level_distribution(df: DataFrame, level: str = "NIVEL_EXCLUSION") -> DataFrame:
+    """Rows and % of all rows per level, the null level among them."""
+    agg = df.groupBy(level).agg(F.count(F.lit(1)).alias("n"))
+    return agg.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a level
+
+
+def index_by(df: DataFrame, group: str, index: str = "INDICE_EXCLUSION") -> DataFrame:
+    """Mean of the index and rows with one, by quintile, education or another group."""
+    return df.groupBy(group).agg(F.avg(index).alias("indice_medio"), F.count(index).alias("n"))

@@ -379,3 +379,4 @@ def q_summary_ci(spark, sf):
 from . import testbed2  # noqa: E402,F401  (registers the remaining queries)
 from . import testbed3  # noqa: E402,F401
 from . import testbed4  # noqa: E402,F401
+from . import testbed5  # noqa: E402,F401

@@ -3,7 +3,7 @@ scenario levers, model preparation and evaluation (see :mod:`pondus.plans.testbe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import coding as C
 from ..functions.expr import num, row_mean
@@ -433,18 +433,14 @@ def q_index_rows(spark, sf):
 SELECT NIVEL_EXCLUSION, CAST(count(*) AS BIGINT) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct
 FROM lv GROUP BY 1""", INDEX_SQL))
 def q_index_level(spark, sf):
-    ix = index_frame(spark, sf)
-    agg = ix.groupBy("NIVEL_EXCLUSION").agg(F.count(F.lit(1)).alias("n"))
-    return agg.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return K.level_distribution(index_frame(spark, sf))
 
 
 @register("index_by_education", with_base("""
 SELECT NIVEL_ED, avg(INDICE_EXCLUSION) AS indice_medio, CAST(count(INDICE_EXCLUSION) AS BIGINT) AS n
 FROM lv GROUP BY 1""", INDEX_SQL))
 def q_index_by_ed(spark, sf):
-    ix = index_frame(spark, sf)
-    return ix.groupBy("NIVEL_ED").agg(F.avg("INDICE_EXCLUSION").alias("indice_medio"),
-                                      F.count("INDICE_EXCLUSION").alias("n"))
+    return K.index_by(index_frame(spark, sf), "NIVEL_ED")
 
 
 # ---------------------------------------------------------------------------
@@ -565,11 +561,8 @@ SELECT territorio_id, vulnerabilidad_social,
        CAST(rank() OVER (ORDER BY vulnerabilidad_social DESC) AS INTEGER) AS rank
 FROM {_CAT} WHERE tipo = 'aglomerado' AND vulnerabilidad_social IS NOT NULL""")
 def q_ranking(spark, sf):
-    """O3: territory ranking by a KPI, nulls dropped, with a rank column.  The catalogue
-    has one row per territory (a bounded table), so one ordered window is fine here."""
-    c = _catalog(spark, sf).where(F.col("tipo") == "aglomerado").dropna(subset=["vulnerabilidad_social"])
-    return c.select("territorio_id", "vulnerabilidad_social",
-                    F.rank().over(Window.orderBy(F.desc("vulnerabilidad_social"))).alias("rank"))
+    """O3: territory ranking by a KPI, nulls dropped, with a rank column."""
+    return K.ranking(_catalog(spark, sf), "vulnerabilidad_social")
 
 
 @register("melt_compare", "\nUNION ALL\n".join(

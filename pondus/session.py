@@ -57,16 +57,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _FOLDERS: dict[str, str] = {}
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet below the shared checkpoint folder and read back, so
-    that later jobs read only the columns they need and never compute it again.  The
-    application's folder is deleted when the driver ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below this application's folder in the shared checkpoint folder; the folder
+    is deleted when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{checkpoint_dir(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
         atexit.register(delete_folder, spark, _FOLDERS[app])
-    path = f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_FOLDERS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared checkpoint folder and read back, so
+    that later jobs read only the columns they need and never compute it again."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
