@@ -2,29 +2,25 @@
 
 The documents form a sparse incidence matrix with a row per document and a column per
 n-gram.  An entry of its product with its transpose is the overlap of two documents, and
-two documents link when ``100 * overlap >= threshold * union``.  Components
-come from a prefix-filter join, whose candidate pairs are verified one by one; the product
-itself is computed within components only, for the numbers of links:
+two documents link when ``100 * overlap >= threshold * union``.
 
 1. *Equal rows* become one (grouped by a 128-bit hash of the set), so copies cost nothing.
 2. *Columns.*  All documents order their n-grams alike, rare before frequent.  If A links
    with anything, one of the first ``|A| - ceil(t |A|) + 1`` n-grams is shared, so only these
    entries take part.  A frequent n-gram comes last and drops out of nearly every row.
-3. *Pairs.*  A shared n-gram at places i and j bounds the overlap by
-   ``min(i, j) + 1 + min(|A| - i, |B| - j) - 1``; a pair that can't reach
-   ``t / (1 + t) * (|A| + |B|)`` is discarded before any set is read.
-4. *Shared columns.*  With s shared entries, the overlap is at most s plus what lies behind
-   the entries that take part.  Columns of up to ``LISTED`` documents give all their pairs
-   and so count s; of wider columns, a pair shares at most the smaller of its two numbers.
-5. *Within a wide column* pairs aren't all formed.  A document has a neighbour there and a
-   first one of its size band, and first meets those ``PARTNERS`` of all these documents that
-   it has most columns with; where all of a column fall into one component, nothing
-   else is left to find.  Documents outside the column's main component then meet every member
-   of another component, so no link between two components is lost.
-6. Overlaps of the remaining pairs are counted exactly, in tiles of two bounded blocks of
-   rows, and links become components.
-7. The number of links of each document comes from the incidence product of its component
-   with itself, in tiles of two bounded row blocks; only the sum per document is kept.
+3. *Wide columns*, of more than ``LISTED`` documents.  Their rows are put into blocks of bounded
+   rows and bytes, those that share columns next to each other.  A tile is two blocks that
+   have so much of wide columns in common that their sets are less to send than the pairs
+   of entries; there the product of the two row blocks is accumulated over
+   blocks of columns, for the rows whose sizes can link.  A tile returns one row per node: how
+   many links it has there, and a member of its class.  No pair leaves a task.
+4. *Narrow columns*, and wide ones of blocks that share little, give their pairs, unless a
+   tile covers them.  A shared n-gram at places
+   i and j bounds the overlap by ``min(i, j) + 1 + min(|A| - i, |B| - j) - 1``, and s shared
+   columns by s plus what lies behind the entries that take part; a pair that can't reach
+   ``t / (1 + t) * (|A| + |B|)`` is discarded before any set is read.  Overlaps of the others are
+   counted exactly, each pair on its own, in tiles of two bounded blocks of rows.
+5. Links become components; every link is counted once, by its tile or as a pair.
 
 Only hashes that many documents share get an explicit rank; this table is bounded by the
 ``ranked`` parameter.  Any fixed order gives the same result, a better one only less work.
@@ -34,11 +30,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import connected_components, discard, if_small, shared, written
+from ._spark import connected_components, discard, fresh, if_small, shared, written
 
 #: A link needs 100 * overlap >= THRESHOLD * union.
 THRESHOLD = 75
@@ -46,13 +43,15 @@ WORDS = 5
 #: N-grams with a rank of their own: at most so many (16 bytes each).
 RANKED = 1 << 18
 #: Columns of up to so many documents give all their pairs at once.
-LISTED = 8
-#: Others that a document meets before the search within wide columns.
-PARTNERS = 3
-#: Sets in a block of rows.
+LISTED = 32
+#: Rows of a block, and bytes of their sets.
+ROWS = 512
 TILE_BYTES = 8 << 20
-#: Shared entries of a tile that are counted at once, if no single row has more.
+#: Bytes of a pair of entries in a shuffle.
+TERM_BYTES = 32
+#: Terms of the sparse product that are summed at once, and columns of the dense one.
 PRODUCT = 1 << 21
+COLUMNS = 4096
 
 _CLASS_SCHEMA = "doc_id long, n_shingles long, sig1 long, sig2 long, columns array<long>"
 
@@ -146,43 +145,105 @@ def _overlaps(pairs: pa.Table, sets: pa.Table, threshold: int) -> pa.Table:
     return pairs.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
 
-def _product(values: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """(left row, right row, overlap) of all pairs of the rows marked ``left`` and ``right``
-    that share a value: the incidence product, for some left rows at a time."""
-    _, column = np.unique(values, return_inverse=True)
-    mine, theirs = np.flatnonzero(left[row]), np.flatnonzero(right[row])
-    theirs = theirs[np.argsort(column[theirs], kind="stable")]
-    first = np.searchsorted(column[theirs], column[mine])
-    many = np.searchsorted(column[theirs], column[mine], "right") - first
-    done = np.r_[0, np.cumsum(many)]
-    ends = np.r_[np.flatnonzero(row[mine][1:] != row[mine][:-1]) + 1, len(mine)] if len(mine) else np.zeros(0, int)
-    a = 0
-    while a < len(mine):
-        b = int(ends[max(np.searchsorted(done[ends], done[a] + PRODUCT, "right") - 1, np.searchsorted(ends, a, "right"))])
-        n = many[a:b]
-        at = np.repeat(first[a:b] - (done[a:b] - done[a]), n) + np.arange(done[b] - done[a])
-        pair, both = np.unique(np.repeat(row[mine[a:b]], n) * len(left) + row[theirs[at]], return_counts=True)
-        yield *np.divmod(pair, len(left)), both
-        a = b
+def _overlap_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The incidence product of two row blocks: overlaps of all their sets, rows x rows, summed
+    over blocks of columns.  Sparse while few sets share a column, else dense."""
+    sizes = [np.array([len(x) for x in rows]) for rows in (left, right)]
+    values = np.concatenate((*left, *right))
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    column = column.reshape(-1)
+    row = np.concatenate([np.repeat(np.arange(len(z)), z) for z in sizes])
+    split = int(sizes[0].sum())
+    cl, rl, cr, rr = column[:split], row[:split], column[split:], row[split:]
+    nl, nr = np.bincount(cl, minlength=len(times)), np.bincount(cr, minlength=len(times))
+    both = (nl > 0) & (nr > 0)
+    out = np.zeros((len(left), len(right)), np.int64)
+    terms = int((nl * nr)[both].sum())
+    if 4 * terms <= len(left) * len(right) * int(both.sum()) // 16:
+        kl, kr = both[cl], both[cr]
+        cl, rl, cr, rr = cl[kl], rl[kl], cr[kr], rr[kr]
+        order = np.argsort(cr, kind="stable")
+        cr, rr = cr[order], rr[order]
+        first = np.searchsorted(cr, cl)
+        many = np.searchsorted(cr, cl, "right") - first
+        done = np.r_[0, np.cumsum(many)]
+        a = 0
+        while a < len(cl):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + PRODUCT, "right")) - 1)
+            n = many[a:b]
+            at = np.repeat(first[a:b] - (done[a:b] - done[a]), n) + np.arange(done[b] - done[a])
+            out += np.bincount(np.repeat(rl[a:b], n) * len(right) + rr[at], minlength=out.size).reshape(out.shape)
+            a = b
+        return out
+    number = np.cumsum(both) - 1
+    for c in range(0, int(both.sum()), COLUMNS):
+        dense = []
+        for n, r, k in ((len(left), rl, cl), (len(right), rr, cr)):
+            x = np.zeros((n, COLUMNS), np.float32)
+            own = both[k] & (number[k] >= c) & (number[k] < c + COLUMNS)
+            x[r[own], number[k[own]] - c] = 1
+            dense.append(x)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
 
 
 def _tile_links(tile: pa.Table, threshold: int) -> pa.Table:
-    """(node, n_links): for the nodes of two blocks, their links across them, or within one."""
+    """(node, other, n_links): for the nodes of two blocks, their links across them (or within
+    one), and a node that they reach by these links: the same one for all that it reaches."""
     rows: dict = {}
     for node, block, grams in zip(tile.column("node").to_pylist(), tile.column("block").to_pylist(), tile.column("grams")):
         rows.setdefault(node, (block, grams))
-    nodes = list(rows)
-    sets = [np.frombuffer(g.as_buffer(), np.uint64) for _, g in rows.values()]
-    size = np.array([len(x) for x in sets])
-    left = np.array([block for block, _ in rows.values()]) == tile.column("t1")[0].as_py()
-    right = left if tile.column("t1")[0].as_py() == tile.column("t2")[0].as_py() else ~left
-    total = np.zeros(len(nodes), np.int64)
-    for a, b, both in _product(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), left, right):
-        link = (a != b) & (100 * both >= threshold * (size[a] + size[b] - both))
-        total += np.bincount(a[link], minlength=len(nodes))
-        if right is not left:
-            total += np.bincount(b[link], minlength=len(nodes))
-    return pa.table({"node": pa.array(nodes, pa.int64()), "n_links": total})
+    t1, t2 = tile.column("t1")[0].as_py(), tile.column("t2")[0].as_py()
+    nodes = sorted(rows)
+    sets = {n: np.frombuffer(rows[n][1].as_buffer(), np.uint64) for n in nodes}
+    parts = [sorted((n for n in nodes if rows[n][0] == t), key=lambda n: (len(sets[n]), n)) for t in ((t1,) if t1 == t2 else (t1, t2))]
+    left, right = parts[0], parts[-1]
+    la, lb = (np.array([len(sets[n]) for n in part]) for part in (left, right))
+    total = {n: 0 for n in nodes}
+    where = {n: i for i, n in enumerate(nodes)}
+    label = np.arange(len(nodes))
+    ia, ib = (np.array([where[n] for n in part], int) for part in (left, right))
+    step = 128
+    for a in range(0, len(left), step):
+        # sizes are sorted: only so many of the other block can link with these
+        lo = int(np.searchsorted(100 * lb, threshold * la[a])) if len(lb) else 0
+        hi = int(np.searchsorted(threshold * lb, 100 * la[min(len(la), a + step) - 1], "right")) if len(lb) else 0
+        if lo >= hi:
+            continue
+        mine, theirs = left[a:a + step], right[lo:hi]
+        both = _overlap_counts([sets[n] for n in mine], [sets[n] for n in theirs])
+        sa, sb = la[a:a + step, None], lb[None, lo:hi]
+        link = 100 * both >= threshold * (sa + sb - both)
+        if t1 == t2:
+            link &= ia[a:a + step, None] != ib[None, lo:hi]
+        for i, k in zip(mine, link.sum(axis=1).tolist()):
+            total[i] += k
+        if t1 != t2:
+            for j, k in zip(theirs, link.sum(axis=0).tolist()):
+                total[j] += k
+        label = _merged(label, ia[a:a + step], ib[lo:hi], link)
+    some = [n for n in nodes if total[n]]
+    return pa.table({"node": pa.array(some, pa.int64()), "other": pa.array([nodes[label[where[n]]] for n in some], pa.int64()), "n_links": pa.array([total[n] for n in some], pa.int64())})
+
+
+def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """``label`` (the smallest member of each class) after the links between a and b."""
+    i, j = np.nonzero(link)
+    i, j = a[i], b[j]
+    while True:
+        x, y = label[i], label[j]
+        apart = x != y
+        if not apart.any():
+            return label
+        small, large = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, large, small)
+        while True:  # to the smallest that it points at
+            nxt = root[root]
+            if (nxt == root).all():
+                break
+            root = nxt
+        label = root[label]
 
 
 def _bounded(a: str, b: str, threshold: int):
@@ -192,6 +253,49 @@ def _bounded(a: str, b: str, threshold: int):
     return (100 * F.least(sa, sb) >= threshold * F.greatest(sa, sb)) & ((100 + threshold) * most >= threshold * (sa + sb))
 
 
+def _blocks(wide: DataFrame) -> DataFrame:
+    """(node, size, block): the rows of wide columns in blocks of at most ``ROWS`` rows and
+    about ``TILE_BYTES`` of sets.  Rows are ordered by their smallest wide column, then by
+    size, so near copies stand together; places along that order come from a sum within
+    each part and the sums of the parts before it."""
+    spark = wide.sparkSession
+    rows = wide.groupBy("node").agg(F.min("gram").alias("anchor"), F.max("size").alias("size"))
+    cost = F.greatest(F.lit(1.0), F.col("size") * (8.0 * ROWS / TILE_BYTES))
+    order = ["anchor", "size", "node"]
+    local = written(rows.withColumn("cost", cost).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, "node long, size long, upto double, part int"), "order")
+    total, before = 0.0, []
+    for r in local.groupBy("part").agg(F.max("upto").alias("upto")).orderBy("part").collect():  # a row for each part
+        before.append((r["part"], total))
+        total += r["upto"]
+    parts = spark.createDataFrame(before, "part int, before double")
+    return local.join(F.broadcast(parts), "part").select("node", "size", F.floor((F.col("before") + F.col("upto")) / ROWS).alias("block"))
+
+
+def _running(batches):
+    total, part = 0.0, TaskContext.get().partitionId()
+    for batch in batches:
+        upto = total + np.cumsum(batch.column("cost").to_numpy())
+        total = float(upto[-1]) if len(upto) else total
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("size"), pa.array(upto), pa.array(np.full(len(upto), part, np.int32))], ["node", "size", "upto", "part"])
+
+
+def _tiles(wide: DataFrame, blocks: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """((t1, t2): the tiles, t1 <= t2; (gram, t1, t2): columns whose pairs are listed).
+
+    Two blocks with wide columns in common are a tile if their sets are fewer bytes than the
+    pairs of entries in these columns; blocks that share little list them.  Blocks whose
+    sizes can't link are neither."""
+    size = blocks.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.sum(8 * F.col("size")).alias("bytes"))
+    of = written(wide.join(blocks.select("node", "block"), "node").groupBy("gram", "block").agg(F.count("*").alias("n")), "column-blocks")
+    both = of.select("gram", F.col("block").alias("t1"), F.col("n").alias("n1")).join(of.select("gram", F.col("block").alias("t2"), F.col("n").alias("n2")), "gram").filter("t1 <= t2")
+    pairs = both.groupBy("t1", "t2").agg(F.sum(F.col("n1") * F.col("n2")).alias("terms"))
+    for t in ("t1", "t2"):
+        pairs = pairs.join(size.select(F.col("block").alias(t), *[F.col(c).alias(f"{c}_{t}") for c in ("low", "high", "bytes")]), t)
+    pairs = written(pairs.filter(100 * F.least("high_t1", "high_t2") >= threshold * F.greatest("low_t1", "low_t2")).select(
+        "t1", "t2", (TERM_BYTES * F.col("terms") >= F.col("bytes_t1") + F.col("bytes_t2")).alias("tile")), "block-pairs")
+    return pairs.filter("tile").select("t1", "t2"), both.join(if_small(pairs.filter("NOT tile").select("t1", "t2")), ["t1", "t2"]).select("gram", "t1", "t2")
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD, ranked: int = RANKED, count_links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, group_id, n_links.
 
@@ -215,29 +319,29 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
     # One entry for each column of each distinct row; copies of the chosen document repeat it.
     own = if_small(nodes.select("node", *key, F.col("doc_id").alias("own")))
     entries = (rows.join(own, key).filter(F.col("doc_id").eqNullSafe(F.col("own")))
-               .select("node", "n_shingles", F.posexplode("columns").alias("place", "gram"))
-               .select("gram", "node", F.shiftleft("n_shingles", 32).bitwiseOR(F.col("place").cast("long")).alias("sized")).repartition("gram"))
-    entries = entries.withColumns({"size": F.shiftright("sized", 32), "place": F.col("sized").bitwiseAND(F.lit((1 << 32) - 1))}).withColumn(
-        "band", F.floor(F.log("size") / np.log(100 / threshold)))
-    me, by = F.struct("node", "size", "place"), Window.partitionBy("gram").orderBy("band", "size", "node")
-    complete = F.col("members") <= LISTED
-    entries = written(
-        entries.withColumns({"members": F.count("*").over(Window.partitionBy("gram")), "listed": F.collect_list(me).over(by.rowsBetween(1 - LISTED, -1)),
-                             "before": F.lag(me).over(by), "first": F.first(me).over(Window.partitionBy("gram", "band").orderBy("size", "node"))})
-        .filter("members > 1")
-        .select(F.when(~complete, F.col("gram")).alias("gram"), me.alias("me"), complete.alias("complete"),
-                F.when(complete, F.col("listed")).otherwise(F.array("before", "first")).alias("others")), "entries")
-    wide = entries.filter(~F.col("complete"))
-    in_wide = if_small(written(wide.groupBy(F.col("me.node").alias("node")).agg(F.count("*").alias("wide")), "wide"))
+               .select("node", F.col("n_shingles").alias("size"), F.posexplode("columns").alias("place", "gram"))
+               .select("gram", "node", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("sized")).repartition("gram"))
+    members = entries.groupBy("gram").agg(F.count("*").alias("members")).filter("members > 1")
+    entries = written(entries.join(members, "gram").select(
+        "gram", "node", F.shiftright("sized", 32).alias("size"), F.col("sized").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "members"), "entries")
 
     def reaches(shared, sa, sb):
         """Whether so many shared columns, with everything behind them, can be a link."""
         behind = F.ceil(threshold * F.greatest(sa, sb) / 100) - 1
         return (100 + threshold) * (shared + behind) >= threshold * (sa + sb)
 
-    def pair_of(x: str, sx: str, y: str, sy: str) -> list:
-        small, large = (f(F.struct(F.col(x).alias("n"), F.col(sx).alias("s")), F.struct(F.col(y).alias("n"), F.col(sy).alias("s"))) for f in (F.least, F.greatest))
-        return [small["n"].alias("a"), small["s"].alias("sa"), large["n"].alias("b"), large["s"].alias("sb")]
+    # Rows of wide columns: blocks, and tiles of two blocks that have a wide column in common.
+    wide = entries.filter(F.col("members") > LISTED)
+    blocks = written(_blocks(wide), "blocks")
+    tiles, thin = _tiles(wide, blocks, threshold)
+    tiles = if_small(tiles)
+    placed = if_small(blocks.select("node", "block"))
+    sent = (tiles.select(F.col("t1").alias("block"), "t1", "t2").unionByName(tiles.filter("t1 != t2").select(F.col("t2").alias("block"), "t1", "t2"))
+            .join(blocks.select("node", "block"), "block").join(nodes.select("node", *key), "node"))
+    in_tiles = if_small(nodes.join(blocks.select("node"), "node", "left_semi").select(F.col("doc_id").alias("own")).distinct())
+    sets = (docs.join(in_tiles, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
+            .mapInArrow(lambda it: _full_sets(it, n), "sig1 long, sig2 long, grams binary").join(if_small(sent), key).select("node", "block", "t1", "t2", "grams"))
+    found_in_tiles = written(sets.groupBy("t1", "t2").applyInArrow(lambda x: _tile_links(x, threshold), "node long, other long, n_links long"), "tile-links")
 
     def links(pairs: DataFrame) -> DataFrame:
         """The pairs that link, of (a, b) nodes.  Documents that share candidates form row
@@ -263,54 +367,30 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
         discard(pairs, named, tiled)
         return out
 
-    met = entries.select("me", "complete", F.explode("others").alias("o")).filter(F.col("o").isNotNull() & (F.col("o.node") != F.col("me.node")) & _bounded("me", "o", threshold))
-    partner = Window.partitionBy("node").orderBy(F.desc("n"), "other")
-    met_wide = (met.filter(~F.col("complete")).groupBy(F.col("me.node").alias("node"), F.col("me.size").alias("size"), F.col("o.node").alias("other"), F.col("o.size").alias("osize"))
-                .agg(F.count("*").alias("n")).withColumn("best", F.row_number().over(partner)).filter(F.col("best") <= PARTNERS)
-                .select(*pair_of("node", "size", "other", "osize"), F.lit(0).cast("long").alias("shared")))
-    met = (met.filter("complete").select(*pair_of("me.node", "me.size", "o.node", "o.size"), F.lit(1).cast("long").alias("shared")).unionByName(met_wide)
-           .groupBy("a", "sa", "b", "sb").agg(F.sum("shared").alias("shared")))
+    # Narrow columns give all their pairs; those that a tile covers are settled there, and the
+    # others share narrow columns only.
+    listed = entries.filter(F.col("members") <= LISTED).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("size", "node", "place"))).alias("all"))
+    met = listed.select("all", F.posexplode("all").alias("i", "me")).select("me", F.explode(F.slice("all", 1, F.col("i"))).alias("o"))
+    of_block = wide.join(blocks.select("node", "block"), "node").select("gram", "block", F.struct("size", "node", "place").alias("entry"))
+    met_wide = (thin.join(of_block.select("gram", F.col("block").alias("t1"), F.col("entry").alias("me")), ["gram", "t1"])
+                .join(of_block.select("gram", F.col("block").alias("t2"), F.col("entry").alias("o")), ["gram", "t2"])
+                .filter("t1 < t2 OR o.node < me.node").select("me", "o"))
+    met = met.unionByName(met_wide).filter((F.col("o.node") != F.col("me.node")) & _bounded("me", "o", threshold))
+    small, large = F.least(F.struct("me.node", "me.size"), F.struct("o.node", "o.size")), F.greatest(F.struct("me.node", "me.size"), F.struct("o.node", "o.size"))
+    met = (met.select(small["node"].alias("a"), small["size"].alias("sa"), large["node"].alias("b"), large["size"].alias("sb"))
+           .groupBy("a", "sa", "b", "sb").agg(F.count("*").alias("shared")).filter(reaches(F.col("shared"), F.col("sa"), F.col("sb"))))
     for x in ("a", "b"):
-        met = met.join(in_wide.select(F.col("node").alias(x), F.col("wide").alias(f"w{x}")), x, "left")
-    wide_both = F.least(F.coalesce("wa", F.lit(0)), F.coalesce("wb", F.lit(0)))
-    met = written(met.filter(reaches(F.col("shared") + wide_both, F.col("sa"), F.col("sb"))).select("a", "b"), "met")
+        met = met.join(placed.select(F.col("node").alias(x), F.col("block").alias(f"t{x}")), x, "left")
+    met = (met.withColumns({"t1": F.when(F.col("tb").isNotNull(), F.least("ta", "tb")), "t2": F.when(F.col("ta").isNotNull(), F.greatest("ta", "tb"))})
+           .join(tiles, ["t1", "t2"], "left_anti").select("a", "b"))
     found = links(met)
-    main = connected_components(found)
-
-    # What wide columns still connect: members outside a column's main component, with all others.
-    labelled = (wide.select("gram", "me", F.col("me.node").alias("node")).join(main, "node", "left").join(in_wide, "node")
-                .select("gram", "me", "wide", F.coalesce("component", "node").alias("component")))
-    parts = labelled.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    open_ = (parts.groupBy("gram").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("main"))
-             .filter("parts > 1").drop("parts"))
-    labelled = written(labelled.join(open_, "gram"), "open")
-    # Pairs that share a complete column are settled, so these share wide columns only.
-    out = labelled.filter("component != main").select("gram", F.col("me").alias("o"), F.col("component").alias("oc"), F.col("wide").alias("ow"))
-    rest = out.join(labelled, "gram").filter(
-        ((F.col("component") == F.col("main")) | (F.col("o.node") < F.col("me.node"))) & (F.col("component") != F.col("oc")) & _bounded("o", "me", threshold)
-        & reaches(F.least("ow", "wide"), F.col("o.size"), F.col("me.size")))
-    rest = rest.select(F.least("o.node", "me.node").alias("a"), F.greatest("o.node", "me.node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    found = found.unionByName(links(rest))
-    comp = connected_components(found)
-    discard(entries, met, labelled)
-
-    # All links are within a component: two nodes have one, others are multiplied in tiles.
-    of = nodes.join(comp, "node").select("node", *key, F.col("doc_id").alias("own"), "n_shingles", "component")
-    groups = of.groupBy("component").agg(F.count("*").alias("n_nodes"), F.ceil(F.sum("n_shingles") * 8 / TILE_BYTES).alias("blocks"))
+    comp = connected_components(found.unionByName(found_in_tiles.select(F.col("node").alias("a"), F.col("other").alias("b"))))
     if count_links:
-        of = written(of.join(groups, "component"), "components")
-        large = of.filter("n_nodes > 2").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        ids = if_small(large.select("own").distinct())
-        sets = (docs.join(ids, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi").select("text")
-                .mapInArrow(lambda it: _full_sets(it, n), "sig1 long, sig2 long, grams binary")
-                .join(if_small(large.select(*key, "node", "component", "block", "blocks")), key)
-                .select("node", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "grams")
-                .select("node", "component", "block", F.least("block", "other").alias("t1"), F.greatest("block", "other").alias("t2"), "grams"))
-        degree = (sets.groupBy("component", "t1", "t2").applyInArrow(lambda x: _tile_links(x, threshold), "node long, n_links long")
-                  .groupBy("node").agg(F.sum("n_links").alias("n_links"))
-                  .unionByName(of.filter("n_nodes = 2").select("node", F.lit(1).cast("long").alias("n_links"))))
+        degree = (found_in_tiles.select("node", "n_links").unionByName(found.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n_links")))
+                  .unionByName(found.select(F.col("b").alias("node"), F.lit(1).cast("long").alias("n_links"))).groupBy("node").agg(F.sum("n_links").alias("n_links")))
     else:
         degree = comp.select("node", F.lit(None).cast("long").alias("n_links"))
+    discard(entries)
     labels = (nodes.select(*key, "node", "doc_id").join(comp, "node", "left").join(degree, "node", "left")
               .withColumn("group_id", F.coalesce("component", "node")))
     smallest = labels.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
@@ -328,8 +408,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     group has no other id.  Columns are those of ``docs``.
     """
     groups = written(near_duplicates(docs, count_links=False, **options), "groups")
-    kept = if_small(groups.select(F.col("component_id").alias("_keep")).distinct())
+    (keep,) = fresh(docs, "_keep")
+    kept = if_small(groups.select(F.col("component_id").alias(keep)).distinct())
     cols = docs.columns
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi").select(*[F.col(f"`{c}`") for c in cols])
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi").select(*[F.col(f"`{c}`") for c in cols])
     repeated = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
     return out.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else out
