@@ -1,12 +1,15 @@
 """Benchmark decontamination: BM25 retrieval of test items, then overlap of their parts.
 
-The test items form an inverted index with BM25 impacts.  Items are sorted by length and cut
-into blocks; a block keeps, for each term, its largest impact.  Every training passage (a
-window of words, at least twice as long as the longest item of the block, half of it shared
-with the next) is a query.  As in block-max WAND, the sum of the block's largest impacts over
+The test items form an inverted index with BM25 impacts.  An item's own length sets the length
+of the training passages that are compared with it (a window of words, at least twice as
+long as the item, half of it shared with the next), so its hits don't depend on what
+other items there are.  Items with passages of one length are cut into blocks; a block keeps
+the postings (item, impact) of each term and its largest impact.  Every training passage is
+a query.  As in block-max WAND, the sum of the block's largest impacts over
 the passage's terms bounds every item's score, so most passages are discarded without being
-scored; it comes for all passages at once from sums over half passages.  In the others, the
-items' own impacts bound each item; what remains is scored exactly, and every item with at least ``ratio`` of the score that it gives itself is retrieved.  A
+scored; it comes for all passages at once from sums over half passages, in place of cursors.
+In the others, the postings of the half passages bound each item; what remains is scored
+exactly, and every item with at least ``ratio`` of the score that it gives itself is retrieved.  A
 retrieved item counts when the passage holds at least ``overlap`` of the word n-grams of its
 question (all sentences but the last) and of its answer (the last sentence).
 
@@ -59,22 +62,47 @@ def parts_of(text: str) -> tuple[str, str]:
     return " ".join(words[:len(words) // 2]), " ".join(words[len(words) // 2:])
 
 
+def window_of(words: int) -> int:
+    """Words of the passages that an item of so many words is compared with: at least twice as
+    many, in steps of a half power of two, so that items share them."""
+    size = 16
+    while size < 2 * words:
+        size = size * 3 // 2 if size & (size - 1) == 0 else size // 3 * 4
+    return size
+
+
 class _Block:
+    """Items with passages of ``window`` words.  ``start``, ``item`` and ``impact`` are the
+    postings: those of vocabulary place v stand from start[v] to start[v + 1]."""
+
     def __init__(self, items, idf, average, ratio, gram):
         self.ids = [(False, i, "") if i is not None else (True, 0, t) for i, t, _ in items]  # without an id, the text is the key
-        self.window = max(16, 2 * max(len(h) for _, _, h in items))
+        self.window = window_of(max(len(h) for _, _, h in items))
         self.vocabulary = np.unique(np.concatenate([h for _, _, h in items]))
         self.maybe = np.zeros(1 << 16, bool)  # by a hash's low bits
         self.maybe[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.impact = np.zeros((len(self.vocabulary), len(items)), np.float32)
+        places, owners, impacts = [], [], []
         for k, (_, _, h) in enumerate(items):
             term, tf = np.unique(h, return_counts=True)
-            self.impact[np.searchsorted(self.vocabulary, term), k] = [idf[int(t)] for t in term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / average)))
-        self.most = self.impact.max(axis=1)
-        self.need = ratio * self.impact.sum(axis=0) - 1e-4
+            places.append(np.searchsorted(self.vocabulary, term))
+            owners.append(np.full(len(term), k))
+            impacts.append([idf[int(t)] for t in term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / average))))
+        place, self.item, self.impact = np.concatenate(places), np.concatenate(owners), np.concatenate(impacts)
+        order = np.argsort(place, kind="stable")
+        place, self.item, self.impact = place[order], self.item[order], self.impact[order]
+        self.start = np.searchsorted(place, np.arange(len(self.vocabulary) + 1))
+        self.most = np.maximum.reduceat(self.impact, self.start[:-1])
+        self.need = ratio * np.bincount(self.item, weights=self.impact, minlength=len(items)) - 1e-4
         self.parts = [tuple(_grams(_hashes(p), gram) for p in parts_of(t)) for _, t, _ in items]
         self.lengths = sorted({min(gram, len(_hashes(p))) for _, t, _ in items for p in parts_of(t)} - {0})
 
+    def scores(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Scores of all items for ``n`` rows, each given by its distinct terms (vocabulary places)."""
+        many = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        k = len(self.ids)
+        return np.bincount(np.repeat(row, many) * k + self.item[at], weights=self.impact[at], minlength=n * k).reshape(n, k)
+
 
 class Index:
     """Blocks of items: ``items`` are (id, text); ``frequency`` and ``n`` are those of the
@@ -84,24 +112,24 @@ class Index:
         items = sorted(((i, t, h) for i, t in items if len(h := _hashes(t))), key=lambda x: (len(x[2]), x[0] is None, x[0] or 0, x[1]))
         idf = {t: float(np.log(1 + (n - df + 0.5) / (df + 0.5))) for t, df in frequency.items()}
         self.overlap = overlap
-        self.blocks = [_Block(items[k:k + block], idf, average, ratio, gram) for k in range(0, len(items), block)]
+        windows = np.array([window_of(len(h)) for _, _, h in items], int)
+        self.blocks = [_Block([items[i] for i in own[k:k + block]], idf, average, ratio, gram)
+                       for own in (np.flatnonzero(windows == size) for size in np.unique(windows)) for k in range(0, len(own), block)]
 
     def _score(self, w, block, live, row, left, right, half, term, first_half, best):
         """Items whose bounds survive in passages whose blocks did, then exact scores and overlaps."""
         used = np.unique(np.concatenate((left[live], right[live])))
         low, high = np.searchsorted(half, used), np.searchsorted(half, used, "right")
-        scores = np.zeros((len(used), len(block.ids)), np.float32)
-        full = np.flatnonzero(high > low)
-        if len(full):
-            picked = np.concatenate([np.arange(low[i], high[i]) for i in full])
-            starts = np.cumsum(high[full] - low[full]) - (high[full] - low[full])
-            scores[full] = np.add.reduceat(block.impact[term[picked]], starts, axis=0)
+        many = high - low
+        picked = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        scores = block.scores(np.repeat(np.arange(len(used)), many), term[picked], len(used))
         bound = scores[np.searchsorted(used, left[live])] + scores[np.searchsorted(used, right[live])]
         step = block.window // 2
         for p in live[(bound >= block.need).any(axis=1)]:
             a = int(w.bounds[row[p]] + step * (left[p] - first_half[row[p]]))
             b = min(a + block.window, int(w.bounds[row[p] + 1]))
-            score = block.impact[np.isin(block.vocabulary, w.hash[a:b])].sum(axis=0)
+            held = np.flatnonzero(np.isin(block.vocabulary, w.hash[a:b]))
+            score = block.scores(np.zeros(len(held), np.int64), held, 1)[0]
             have = None
             for k in np.flatnonzero(score >= block.need):
                 if have is None:
