@@ -26,7 +26,7 @@ BUCKETS = 1 << BUCKET_BITS
 FIT_ROWS = 2000
 SIZE, EPOCHS, RATE = 12, 6, 0.5
 MIN_STEPS = 12_000
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 
 
 class Model(NamedTuple):
@@ -36,35 +36,66 @@ class Model(NamedTuple):
     bias: float
 
 
-def _features(s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every feature of a slice's texts."""
-    w = T.words(s, T.NON_SPACE)
-    rows, hashes = [w.row], [w.hash]
-    pair = w.row[1:] == w.row[:-1]
-    rows.append(w.row[1:][pair])
-    hashes.append((w.hash[1:] - w.hash[:-1])[pair] + T.GRAM_MULT[0])  # a repeated word is one feature, whatever the word
-    row_of = np.repeat(np.arange(len(s.offsets) - 1), np.diff(s.offsets))
-    value = T.BYTE_VALUE[T.LOWER[s.data]]
+def _spelled(data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(rows, hashes) of the 3- and 4-byte grams that begin before ``end``."""
+    rows, hashes = [], []
+    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    value = T.BYTE_VALUE[T.LOWER[data]]
     gram = np.zeros(len(value), np.uint64)
     for n in range(4):
         k = max(0, len(value) - n)
         gram[:k] = (gram[:k] + value[n:]) * np.uint64(0x9E3779B97F4A7C15)
         gram[:k] ^= gram[:k] >> np.uint64(32)
         if n >= 2:
-            same = row_of[:k] == row_of[n:]
+            k = min(k, end)
+            same = row_of[:k] == row_of[n:n + k]
             rows.append(row_of[:k][same])
             hashes.append(gram[:k][same] * np.uint64(2 * n + 1))
-    return np.concatenate(rows), np.concatenate([(x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKET_BITS) for x in hashes]).astype(np.int64)
-
-
-def _pieces(s: T.Slice):
-    """A long text in pieces, so that its features stay small; a feature across a cut is lost
-    at most once in ``_SLICE`` bytes."""
-    if len(s.data) <= 2 * _SLICE:
-        yield s
-    else:
-        for a in range(0, len(s.data), _SLICE):
-            yield T.Slice(s.first, s.data[a:a + _SLICE], np.clip(s.offsets - a, 0, min(_SLICE, len(s.data) - a)))
+    return rows, hashes
+
+
+def _pair_hash(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return after - before + T.GRAM_MULT[0]  # a repeated word is one feature, whatever the word
+
+
+def _features(s: T.Slice):
+    """(row, bucket) of every feature of a slice's texts, in pieces that bound the memory.
+
+    A long text is cut where a word begins.  The next piece's first bytes complete the grams
+    that begin before the cut, and the last word before it pairs with the next, so the
+    pieces have the features of the whole text."""
+    n, a, last = len(s.data), 0, None
+    while a < n or a == 0:
+        b = n
+        if len(s.offsets) == 2 and n - a > 2 * _SLICE:  # a slice of several texts is short
+            b = _cut(s.data, a + _SLICE)
+        piece = s if a == 0 and b == n else T.Slice(s.first, s.data[a:b], np.array([0, b - a]))
+        w = T.words(piece, T.NON_SPACE)
+        rows, hashes = [w.row], [w.hash]
+        pair = w.row[1:] == w.row[:-1]
+        rows.append(w.row[1:][pair])
+        hashes.append(_pair_hash(w.hash[:-1], w.hash[1:])[pair])
+        if last is not None and len(w.hash):
+            rows.append(w.row[:1])
+            hashes.append(_pair_hash(last, w.hash[:1]))
+        last = w.hash[-1:] if len(w.hash) else last
+        ahead = s.data[a:b + 3] if piece is not s else s.data
+        r, h = _spelled(ahead, np.array([0, len(ahead)]) if piece is not s else s.offsets, b - a)
+        rows, hashes = np.concatenate(rows + r), np.concatenate(hashes + h)
+        yield rows, ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        if b >= n:
+            return
+        a = b
+
+
+def _cut(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that isn't inside a word; the end if there is none."""
+    while at < len(data):
+        space = np.flatnonzero(~T.NON_SPACE[data[at:at + _SLICE]])
+        if len(space):
+            return at + int(space[0])
+        at += _SLICE
+    return len(data)
 
 
 def _bags(batches):
@@ -72,14 +103,16 @@ def _bags(batches):
     for batch in batches:
         for s in T.slices(batch.column("text"), _SLICE):
             n = len(s.offsets) - 1
-            keys = np.concatenate([np.zeros(0, np.int64)] + [r * BUCKETS + b for r, b in map(_features, _pieces(s))])
-            key, count = np.unique(keys, return_counts=True)
+            key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for r, b in _features(s):
+                key, at = np.unique(np.concatenate((key, r * BUCKETS + b)), return_inverse=True)
+                count = np.bincount(at.reshape(-1), weights=np.concatenate((count, np.ones(len(r), np.int64))), minlength=len(key)).astype(np.int64)
             bounds = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
             pairs = list(zip(bounds[:-1], bounds[1:]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label").slice(s.first, n), batch.column("at").slice(s.first, n),
                  pa.array([(key[a:b] % BUCKETS).astype(np.uint16).tobytes() for a, b in pairs], pa.binary()),
-                 pa.array([np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in pairs], pa.binary())],
+                 pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in pairs], pa.binary())],
                 ["label", "at", "buckets", "counts"])
 
 
@@ -88,7 +121,7 @@ def _train(group: pd.DataFrame, size: int, epochs: int, rate: float) -> pd.DataF
     fewer than MIN_STEPS steps."""
     group = group.sort_values(["at", "buckets"]).reset_index(drop=True)
     y = group["label"].to_numpy(int)
-    bags = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(c, np.uint16).astype(np.float32)) for b, c in zip(group["buckets"], group["counts"])]
+    bags = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(c, np.uint32).astype(np.float32)) for b, c in zip(group["buckets"], group["counts"])]
     bags = [(b, c / max(float(c.sum()), 1.0)) for b, c in bags]
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / size, 1 / size, (BUCKETS, size)).astype(np.float32)
@@ -116,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, size: int
     """A model from ``labels`` (doc_id, quality 0 or 1) and the texts of ``docs``.
 
     Labels that are null, other numbers, or contradict each other are left out.  At most
-    ``fit_rows`` rows of each label are chosen by a hash; with one label or none, every
-    text scores 0.5.
+    ``fit_rows`` ids of each label are chosen by a hash, on average; of the texts of one id
+    one takes part.  With one label or none, every text scores 0.5.
     """
     labels = (labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
               .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other"))
@@ -129,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, size: int
     share = F.when(F.col("label") == 1, min(1.0, fit_rows / n[1])).otherwise(min(1.0, fit_rows / n[0]))
     sample = labels.withColumn("at", at).filter(F.pmod("at", F.lit(1 << 30)) < share * (1 << 30))
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "label", "at")
-    found = (rows.mapInArrow(_bags, "label int, at long, buckets binary, counts binary")
-             .withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda g: _train(g, size, epochs, rate), "weight binary, bias double").collect())
+    bags = rows.mapInArrow(_bags, "label int, at long, buckets binary, counts binary")
+    bags = bags.groupBy("label", "at").agg(F.min(F.struct("buckets", "counts")).alias("bag")).select("label", "at", "bag.*")  # an id that repeats counts once
+    found = (bags.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda g: _train(g, size, epochs, rate), "weight binary, bias double").collect())
     if not found:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(bytes(found[0]["weight"]), np.float32), found[0]["bias"])
@@ -141,8 +175,7 @@ def _score(batches, model: Model):
         text = batch.column("text")
         total, count = np.zeros(len(text)), np.zeros(len(text))
         for s in T.slices(text, _SLICE):
-            for piece in _pieces(s):
-                rows, buckets = _features(piece)
+            for rows, buckets in _features(s):
                 n, at = len(s.offsets) - 1, slice(s.first, s.first + len(s.offsets) - 1)
                 total[at] += np.bincount(rows, weights=model.weight[buckets], minlength=n)
                 count[at] += np.bincount(rows, minlength=n)
