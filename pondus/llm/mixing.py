@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import fresh
+
 #: Largest mean of one draw.
 PART = 16.0
 #: A cumulative probability this close to 1 ends the table; draws are multiples of 2**-52.
@@ -71,17 +73,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     columns named like the three new ones are replaced; others stay.  An empty table stays empty.
     """
     cols = [c for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
-    table = rates(docs, weights, total).select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    source, parts, cdf, salt, own = fresh(docs, "_source", "_parts", "_cdf", "_salt", "_own")
+    table = rates(docs, weights, total).select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     rows = docs.select(*[F.col(f"`{c}`") for c in cols])
-    same = F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    same = F.col("source").cast("string").eqNullSafe(F.col(source))
     if table.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         rows = rows.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(
-            salted, same & (F.col("_own") == F.col("_salt")))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0),
-                        lambda n, part: n + F.size(F.filter("_cdf", lambda c: c <= _uniform(seed, F.col("doc_id"), part))))
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(
+            salted, same & (F.col(own) == F.col(salt)))
+    count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0),
+                        lambda n, part: n + F.size(F.filter(cdf, lambda c: c <= _uniform(seed, F.col("doc_id"), part))))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
     return (rows.withColumn("n_copies", count).filter("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
             .withColumn("shuffle_key", key).select(*[F.col(f"`{c}`") for c in cols], "copy", "n_copies", "shuffle_key")

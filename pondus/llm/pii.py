@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as T
-from ._spark import BROADCAST_ROWS, if_small, shared, written
+from ._spark import BROADCAST_ROWS, fresh, if_small, shared, written
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -48,7 +48,6 @@ SUPPORT = 3
 #: Keys that a task holds before it sums them.
 ROWS = 1 << 20
 GENERALISE, REMOVE = 0.8, 0.95
-_OWN = "__disclosing"
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "drop": ""}
 
 
@@ -340,18 +339,19 @@ def _own_pairs(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "key", "pair"])
 
 
-def _rows(batch, terms):
-    """The batch, and the terms of each of its rows: shared ones, or the row's own."""
-    if _OWN not in batch.schema.names:
+def _rows(batch, terms, mine):
+    """The batch, and the terms of each of its rows: shared ones, or the row's own, in its
+    column ``mine``."""
+    if mine is None:
         return batch, [terms] * batch.num_rows
-    own = [x.as_py() or [] for x in batch.column(_OWN)]
-    return batch.drop_columns([_OWN]), [_Terms(np.array([x["pair"] for x in r], np.int64).view(np.uint64), np.array([x["drop"] for x in r], bool)) for r in own]
+    own = [x.as_py() or [] for x in batch.column(mine)]
+    return batch.drop_columns([mine]), [_Terms(np.array([x["pair"] for x in r], np.int64).view(np.uint64), np.array([x["drop"] for x in r], bool)) for r in own]
 
 
-def _find(batches, terms):
+def _find(batches, terms, mine=None):
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
-        batch, each = _rows(batch, terms)
+        batch, each = _rows(batch, terms, mine)
         for text, own in zip(batch.column("text"), each):
             base, spans = all_spans(text.as_py() or "", own)
             for kind in range(4):
@@ -373,13 +373,14 @@ def _with_terms(docs: DataFrame, apply, schema, support: int, generalise: float,
         few = flagged.toArrow()
         terms = shared(docs.sparkSession, _Terms(few.column("pair").to_numpy().view(np.uint64), few.column("drop").to_numpy(zero_copy_only=False)))
         return docs.mapInArrow(lambda it: apply(it, terms()), schema)
-    key = F.xxhash64("text")
+    key, id_, mine = F.xxhash64("text"), *fresh(docs, "_id", "_own")
+    key_ = fresh(docs.withColumn(id_, F.lit(0)), "_key")[0]
     own = docs.select("doc_id", key.alias("key"), "text").mapInArrow(
         _own_pairs, StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("key", LongType()), StructField("pair", LongType())]))
-    own = (own.distinct().join(flagged, "pair").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-           .agg(F.collect_list(F.struct("pair", "drop")).alias(_OWN)))
-    rows = docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
-    return rows.select(*[docs[c] for c in docs.columns], _OWN).mapInArrow(lambda it: apply(it, None), schema)
+    own = (own.distinct().join(flagged, "pair").groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key_))
+           .agg(F.collect_list(F.struct("pair", "drop")).alias(mine)))
+    rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(key_)), "left")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], mine).mapInArrow(lambda it: apply(it, None, mine), schema)
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -393,9 +394,9 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
                        support, generalise, remove)
 
 
-def _replace(batches, terms):
+def _replace(batches, terms, mine=None):
     for batch in batches:
-        batch, each = _rows(batch, terms)
+        batch, each = _rows(batch, terms, mine)
         at = batch.schema.get_field_index("text")
         texts = []
         for text, own in zip(batch.column(at), each):
