@@ -332,7 +332,7 @@ def q_working_age(spark, sf):
     return age_status_subset(bind.persons(spark, sf), high=50).groupBy("ESTADO").agg(F.count(F.lit(1)).alias("n"), F.min("CH06").alias("desde"), F.max("CH06").alias("hasta"))
 
 
-@register("territory_search", """SELECT 'aglomerado_' || CAST(n_nationkey AS VARCHAR) AS territorio_id, n_name AS territorio_nombre FROM nation WHERE lower(n_name) LIKE '%n\_1%' ESCAPE '\'""")
+@register("territory_search", """SELECT 'aglomerado_' || CAST(n_nationkey AS VARCHAR) AS territorio_id, n_name AS territorio_nombre FROM nation WHERE strpos(lower(n_name), 'n_1') > 0""")
 def q_territory_search(spark, sf):
     """F11."""
     return D.search_territories(territory_dim(spark, sf), " N_1 ").select("territorio_id", "territorio_nombre")
@@ -493,3 +493,15 @@ def q_silhouette(spark, sf):
     d = bind.table(spark, sf, "supplier").select((F.col("s_acctbal") / 1000.0).alias("a"), F.col("s_nationkey").cast("double").alias("b"),
                                                  F.when(F.col("s_acctbal") > 2000, 1).when(F.col("s_acctbal") > -500, 0).otherwise(2).alias("c"))
     return spark.createDataFrame([(CL.silhouette(d, ["a", "b"], "c"),)], "silhouette double")
+
+
+@register("cluster_transpose", """
+WITH d AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, l_quantity, l_tax FROM lineitem),
+a AS (SELECT c, avg(l_quantity) AS l_quantity, avg(l_tax) AS l_tax FROM d GROUP BY 1),
+u AS (SELECT 'l_quantity' AS variable, c, l_quantity AS v FROM a UNION ALL SELECT 'l_tax', c, l_tax FROM a)
+SELECT variable, max(v) FILTER (WHERE c = 0) AS "C0", max(v) FILTER (WHERE c = 1) AS "C1", max(v) FILTER (WHERE c = 2) AS "C2" FROM u GROUP BY 1""")
+def q_cluster_transpose(spark, sf):
+    """The profile of given clusters, features as rows."""
+    c = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    feats = ["l_quantity", "l_tax"]
+    return CL.transposed(CL.profile(lineitem(spark, sf).withColumn("prediction", c), feats), feats, 3)
