@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import shared
+from ._spark import shared, written
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -162,9 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, size: int
     share = F.when(F.col("label") == 1, min(1.0, fit_rows / n[1])).otherwise(min(1.0, fit_rows / n[0]))
     sample = labels.withColumn("at", at).filter(F.pmod("at", F.lit(1 << 30)) < share * (1 << 30))
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "label", "at")
-    bags = rows.mapInArrow(_bags, "label int, at long, buckets binary, counts binary")
-    bags = bags.groupBy("label", "at").agg(F.min(F.struct("buckets", "counts")).alias("bag")).select("label", "at", "bag.*")  # an id that repeats counts once
-    found = (bags.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda g: _train(g, size, epochs, rate), "weight binary, bias double").collect())
+    bags = written(rows.mapInArrow(_bags, "label int, at long, buckets binary, counts binary").withColumn("row", F.monotonically_increasing_id()), "bags")
+    first = bags.groupBy("label", "at").agg(F.min("row").alias("row")).select("row")  # an id that repeats counts once
+    found = (bags.join(F.broadcast(first), "row", "left_semi").drop("row").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda g: _train(g, size, epochs, rate), "weight binary, bias double").collect())
     if not found:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     return Model(np.frombuffer(bytes(found[0]["weight"]), np.float32), found[0]["bias"])
