@@ -49,6 +49,8 @@ ROWS = 512
 TILE_BYTES = 8 << 20
 #: Bytes of a pair of entries in a shuffle.
 TERM_BYTES = 32
+#: Bytes of texts whose n-grams a task holds at once, if no single text is longer.
+SLICE = 1 << 20
 #: Terms of the sparse product that are summed at once, and columns of the dense one.
 PRODUCT = 1 << 21
 COLUMNS = 4096
@@ -56,7 +58,7 @@ COLUMNS = 4096
 _CLASS_SCHEMA = "doc_id long, n_shingles long, sig1 long, sig2 long, columns array<long>"
 
 
-def _sets(batch_column, n: int, size: int = T.SLICE):
+def _sets(batch_column, n: int, size: int = SLICE):
     for s in T.slices(batch_column, size):
         w = T.words(s, T.NON_SPACE)
         rows, hashes = T.ngrams(w, n)
@@ -66,7 +68,7 @@ def _sets(batch_column, n: int, size: int = T.SLICE):
 def _repeated(batches, n):
     """(gram, times): n-grams that two documents or more of one slice have."""
     for batch in batches:
-        for _, values, _ in _sets(batch.column("text"), n, 2 * T.SLICE):
+        for _, values, _ in _sets(batch.column("text"), n, 2 * SLICE):
             values = np.sort(values)
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
             times = np.diff(np.r_[first, len(values)])
@@ -369,13 +371,14 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD,
 
     # Narrow columns give all their pairs; those that a tile covers are settled there, and the
     # others share narrow columns only.
-    listed = entries.filter(F.col("members") <= LISTED).groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("size", "node", "place"))).alias("all"))
-    met = listed.select("all", F.posexplode("all").alias("i", "me")).select("me", F.explode(F.slice("all", 1, F.col("i"))).alias("o"))
+    narrow = entries.filter(F.col("members") <= LISTED)
+    met = (narrow.select("gram", F.struct("size", "node", "place").alias("me")).join(narrow.select("gram", F.struct("size", "node", "place").alias("o")), "gram")
+           .filter((F.col("o.node") < F.col("me.node")) & _bounded("me", "o", threshold)).select("me", "o"))
     of_block = wide.join(blocks.select("node", "block"), "node").select("gram", "block", F.struct("size", "node", "place").alias("entry"))
     met_wide = (thin.join(of_block.select("gram", F.col("block").alias("t1"), F.col("entry").alias("me")), ["gram", "t1"])
                 .join(of_block.select("gram", F.col("block").alias("t2"), F.col("entry").alias("o")), ["gram", "t2"])
                 .filter("t1 < t2 OR o.node < me.node").select("me", "o"))
-    met = met.unionByName(met_wide).filter((F.col("o.node") != F.col("me.node")) & _bounded("me", "o", threshold))
+    met = met.unionByName(met_wide.filter((F.col("o.node") != F.col("me.node")) & _bounded("me", "o", threshold)))
     small, large = F.least(F.struct("me.node", "me.size"), F.struct("o.node", "o.size")), F.greatest(F.struct("me.node", "me.size"), F.struct("o.node", "o.size"))
     met = (met.select(small["node"].alias("a"), small["size"].alias("sa"), large["node"].alias("b"), large["size"].alias("sb"))
            .groupBy("a", "sa", "b", "sb").agg(F.count("*").alias("shared")).filter(reaches(F.col("shared"), F.col("sa"), F.col("sb"))))
