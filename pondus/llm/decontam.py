@@ -37,7 +37,7 @@ RATIO, OVERLAP, GRAM = 0.5, 0.5, 3
 BLOCK_ITEMS = 64
 PART_BYTES = 8 << 20
 _CHUNK = 1024
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 

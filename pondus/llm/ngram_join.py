@@ -50,7 +50,7 @@ TILE_BYTES = 8 << 20
 #: Bytes of a pair of entries in a shuffle.
 TERM_BYTES = 32
 #: Bytes of texts whose n-grams a task holds at once, if no single text is longer.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Terms of the sparse product that are summed at once, and columns of the dense one.
 PRODUCT = 1 << 21
 COLUMNS = 4096
