@@ -114,12 +114,36 @@ def test_bounds_never_discard_what_brute_force_retrieves():
         for b in index.blocks:
             step, n = b.window // 2, len(h)
             for p in range(max(1, -(-(n - b.window) // step) + 1)):
-                have = np.isin(b.vocabulary, h[p * step:p * step + b.window])
-                score = b.impact[have].sum(axis=0)
-                want |= {(r, b.ids[k]) for k in np.flatnonzero(score >= b.need)}
+                have = np.flatnonzero(np.isin(b.vocabulary, h[p * step:p * step + b.window]))
+                score = np.zeros(len(b.ids))
+                for v in have:
+                    for k in range(b.start[v], b.start[v + 1]):
+                        score[b.item[k]] += b.impact[k]
+                want |= {(r, b.ids[k][1]) for k in np.flatnonzero(score >= b.need)}
     assert got == want and want
 
 
+def test_an_item_is_found_alike_alone_and_among_others():
+    """Its passages have its own length, whatever the other items are."""
+    import pyarrow as pa
+
+    from pondus.llm import _text as T
+    item = (1, "red fox jumps. blue moon rises")
+    others = [(k + 2, " ".join(f"w{k}x{i}" for i in range(n)) + ". end") for k, n in enumerate((3, 9, 40, 200))]
+    frequency = {int(t): 1 for _, x in [item, *others] for t in np.unique(decontam._hashes(x))}
+    filler = lambda n: " ".join(f"f{i}" for i in range(n))
+    texts = [item[1], f"red fox jumps. {filler(60)} blue moon rises", f"{filler(31)} {item[1]} {filler(90)}", f"red fox jumps {filler(3)} blue moon rises"]
+    (s,) = T.slices(pa.array(texts))
+    w = T.words(s, T.ALNUM)
+    found = []
+    for items in ([item], [item, *others], [*others[:2], item], [*others, item]):
+        for block in (1, 2, 64):
+            index = decontam.Index(items, frequency, 5, 30.0, block=block)
+            found.append([(r, *x) for r, i, *x in index.search(w) if i == 1])
+    assert all(f == found[0] for f in found) and {f[0] for f in found[0]} == {0, 2, 3}
+    assert [decontam.window_of(n) for n in (1, 8, 9, 12, 13, 16, 40, 100)] == [16, 16, 24, 24, 32, 32, 96, 256]
+
+
 def test_license_blocks_agree_with_brute_force():
     rng = np.random.default_rng(11)
     templates = [("a", "one two three four five six"), ("b", "two four eight ten twelve"), ("c", "alpha beta")]
@@ -153,3 +177,69 @@ def test_exact_products_beyond_floats():
 def test_question_and_answer_cover_the_item(text):
     q, a = decontam.parts_of(text)
     assert f"{q} {a}".split() == text.split()
+
+
+def test_labels_do_not_depend_on_other_templates():
+    texts = {
+        "This package is released under the GPL license": set(),
+        "he was released under bond and the license was revoked": set(),
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"cc-by-nc"},
+        "this work is licensed under a creative commons attribution-sharealike 4.0 international license": {"cc-by-sa"},
+        "Licensed under the Mozilla license version 2.0": set(),
+        "Licensed under the Apache License, Version 2.0": {"apache-2"},
+        "It is released, under the MIT license": {"mit"},
+    }
+    filler = " ".join(f"w{i}" for i in range(70))
+
+    def labels(templates, text):
+        ordered = [license_scan.Template(label, words := np.unique(license_scan._hashes(t)), int(np.ceil(0.8 * len(words) - 1e-9)), np.unique(license_scan._hashes(keys)), 2 * len(license_scan._hashes(t)))
+                   for label, t, keys in templates]
+        join = license_scan._Join(ordered, {})
+        h = license_scan._hashes(text)
+        at = np.minimum(np.searchsorted(join.vocabulary, h), len(join.vocabulary) - 1)
+        return {x[0] for x in join.row(np.where(join.vocabulary[at] == h, at, -1))}
+
+    keyed = [(*t, k) for t, k in zip(license_scan.TEMPLATES, license_scan.KEYS)]
+    long = ("other", " ".join(f"v{i}" for i in range(150)), "v1")
+    for text, want in texts.items():
+        for t in (text, f"{filler} {text} {filler}"):
+            assert labels(keyed, t) == want == labels([*keyed, long], t)
+
+
+def test_long_texts_have_the_features_of_the_whole(monkeypatch):
+    import pyarrow as pa
+
+    from pondus.llm import _text as T, quality
+    rng = np.random.default_rng(3)
+    text = " ".join("".join(rng.choice(list("abcdé \n"), rng.integers(1, 9))) for _ in range(4000)) + " " + "z" * 3000 + " end " + "q" * 500
+    (s,) = T.slices(pa.array([text]))
+
+    def features(size):
+        monkeypatch.setattr(quality, "_SLICE", size)
+        out = np.zeros(quality.BUCKETS, np.int64)
+        for rows, buckets in quality._features(s):
+            assert (rows == 0).all()
+            out += np.bincount(buckets, minlength=quality.BUCKETS)
+        return out
+    whole = features(1 << 30)
+    assert all((features(size) == whole).all() for size in (1, 7, 100, 999, 20_000))
+    batch = pa.RecordBatch.from_pydict({"text": ["ab " * 70_000 + "c", "", None], "label": pa.array([1, 0, 0], pa.int32()), "at": [1, 2, 3]})
+    monkeypatch.setattr(quality, "_SLICE", 5000)
+    bags = [r for b in quality._bags([batch]) for r in b.to_pylist()]
+    counts = np.frombuffer(bags[0]["counts"], np.uint32)
+    assert counts.max() >= 70_000 and bags[1]["counts"] == bags[2]["counts"] == b""
+
+
+def test_row_blocks_multiply_exactly(monkeypatch):
+    from pondus.llm import ngram_join as J
+    rng = np.random.default_rng(9)
+    rows = lambda n, most: [np.unique(rng.integers(0, most, rng.integers(1, 60))).astype(np.uint64) for _ in range(n)]
+    monkeypatch.setattr(J, "PRODUCT", 50)
+    monkeypatch.setattr(J, "COLUMNS", 16)
+    for most in (20, 90, 100_000):  # dense, mixed, sparse
+        left, right = rows(13, most), rows(9, most)
+        got = J._overlap_counts(left, right)
+        assert (got == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
+    label = J._merged(np.arange(8), np.array([0, 1, 2]), np.array([5, 6, 7]), np.array([[1, 0, 0], [1, 1, 0], [0, 0, 1]], bool))
+    assert label.tolist() == [0, 0, 2, 3, 4, 0, 0, 2]

@@ -88,7 +88,7 @@ def _brute_items(text, items):
     """Items whose question and answer n-grams a passage of the text holds by half."""
     w, found = H.alnum_words(text), set()
     for item, t in items:
-        size = max(16, 2 * len(H.alnum_words(t)))
+        size = decontam.window_of(len(H.alnum_words(t)))
         parts = [H.alnum_words(p) for p in decontam.parts_of(t)]
         for a in range(0, max(1, len(w) - size // 2), size // 2):
             p = w[a:a + size]

@@ -44,9 +44,12 @@ def test_near_duplicates_agree_with_all_pairs(spark, listed, monkeypatch):
     assert kept == set(want.values())
 
 
-@pytest.mark.parametrize("tile", [ngram_join.TILE_BYTES, 4000])
-def test_number_of_links_agrees_with_all_pairs(spark, tile, monkeypatch):
+@pytest.mark.parametrize("tile, rows, listed, term", [(ngram_join.TILE_BYTES, ngram_join.ROWS, ngram_join.LISTED, ngram_join.TERM_BYTES), (4000, 7, 3, 32), (1 << 20, 5, 2, 0), (1 << 20, 9, 2, 4)])
+def test_number_of_links_agrees_with_all_pairs(spark, tile, rows, listed, term, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    monkeypatch.setattr(ngram_join, "TERM_BYTES", term)
     monkeypatch.setattr(ngram_join, "TILE_BYTES", tile)
+    monkeypatch.setattr(ngram_join, "ROWS", rows)
     rng = random.Random(12)
     base = [f"b{i}" for i in range(120)]
     texts = near_copies()
@@ -378,7 +381,7 @@ def test_contaminated_documents(spark):
     assert decontam.contaminated(docs_of(spark, texts), benchmark.limit(0)).count() == 0
     assert decontam.contaminated(docs_of(spark, texts).limit(0), benchmark).count() == 0
     parts = decontam.indexes(benchmark, part_bytes=20)
-    assert len(parts) > 1 and sum(len(b.ids) for x in parts for b in x.blocks) == 2
+    assert len(parts) > 1 and sum(len(b.ids) for x in parts for b in x.blocks) == 3  # one without an id
 
 
 def test_warc_archives(spark, tmpdir_path):
@@ -398,3 +401,50 @@ def test_warc_archives(spark, tmpdir_path):
     files = warc.export(segments, tmpdir_path).collect()
     assert len(files) == segments.count()
     assert sorted(map(str, warc.read_files(spark, tmpdir_path).collect())) == sorted(map(str, warc.read_archives(segments).collect()))
+
+
+def test_quoted_passages_are_linked_however_their_lines_break(spark):
+    a = "The fox runs over the hill and sleeps under a tree.\nIt wakes at noon."
+    b = "First paragraph of the answer, rather long as it is.\n\nSecond paragraph, which someone quotes."
+    rows = [(1, 0, "u", a), (1, 1, "u", b), (1, 2, "u", "It wakes at noon."),
+            (1, 3, "u", "> the fox runs over the hill\n> and sleeps under a tree. It\n> wakes at noon.\nWhy?"),  # the whole of 0, broken anew
+            (1, 4, "u", "> Second paragraph, which\n> someone quotes.\nWho?"),  # a paragraph of 1
+            (1, 5, "u", ">> The fox runs over the hill and sleeps under a tree.\n>> It wakes at noon.\n> Why?\nBecause."),  # nested: 3, not 0
+            (1, 6, "u", "> The fox runs over the hill and sleeps under a tree.\n> It wakes at noon.\nAgain"),  # the passage is of 0, its last line of 2 too
+            (1, 7, "u", "> It wakes at noon.\n> Because.\nTwo sources"),  # lines of different messages, the latest of equals
+            (1, 8, "u", "> nobody wrote this\nHm")]
+    got = {r["turn"]: r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: r["parent_turn"] for t, r in got.items()} == {0: None, 1: None, 2: None, 3: 0, 4: 1, 5: 3, 6: 0, 7: 5, 8: None}
+    assert [got[t]["text"] for t in (3, 4, 5)] == ["Why?", "Who?", "Because."] and [got[t]["n_quotes"] for t in (3, 5, 8)] == [1, 2, 1]
+    assert [got[t]["n_linked"] for t in (3, 6, 7, 8)] == [0, 2, 2, 0]
+
+
+def test_names_that_clash_with_helpers(spark, monkeypatch):
+    names = ("_source", "_parts", "_cdf", "_salt", "_own", "_keep", "_id", "_key", "pair", "drop", "key")
+    rows = [(i, f"mail bob{i % 3}@x.org about ticket 77{i % 3} now please, it is number {i} of them all", "s") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    assert mixing.mix(docs).columns == [*docs.columns, "copy", "n_copies", "shuffle_key"] and mixing.mix(docs).count() >= 0
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert mixing.mix(docs).filter("_source = '_source' AND _own = '_own'").count() == mixing.mix(docs).count()
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and kept.filter("_keep = '_keep'").count() == kept.count() > 0
+    want = sorted(map(tuple, pii.sanitise(docs).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == want
+
+
+def test_repeated_ids_do_not_multiply_the_training_rows(spark):
+    rows = [(i, f"{'good words here' if i % 2 else 'bad $$$ ###'} {i} {j}") for i in range(20) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    train = quality._train
+    quality._train = lambda g, *a: (seen.append(len(g)), train(g, *a))[1]
+    try:
+        model = quality.fit(docs.coalesce(1), labels, fit_rows=50)
+    finally:
+        quality._train = train
+    assert model.weight.any()
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model, F.lit(False)).collect()}
+    assert all((s > 0.5) == (i % 2 == 1) for i, s in scores.items())
