@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import pickle
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,26 @@ def shared(spark: SparkSession, value) -> Callable[[], object]:
     return lambda: pickle.loads(packed.value)
 
 
+def release() -> None:
+    """Gives free memory back to the system.  Python workers outlive their tasks; without this
+    they keep what a task needed at most while later stages run in the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(fn: Callable) -> Callable:
+    """A generator over a task's batches that ends with ``release``."""
+    @functools.wraps(fn)
+    def run(*args, **options):
+        try:
+            yield from fn(*args, **options)
+        finally:
+            release()
+    return run
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``rows`` rows, else as it is.
     Only for narrow tables that are cheap to count."""

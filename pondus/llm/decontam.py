@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import shared
+from ._spark import releasing, shared
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score, and of the n-grams of its question and answer.
@@ -169,6 +169,7 @@ class Index:
         return [(row, None if item[0] else item[1], first, score, q, a) for (row, item), (score, first, q, a) in sorted(best.items())]
 
 
+@releasing
 def _terms(batches):
     for batch in batches:
         for s in T.slices(batch.column("text"), _SLICE):
@@ -193,6 +194,7 @@ def indexes(benchmark: DataFrame, part_bytes: int = PART_BYTES, **options) -> li
     return [x for x in out if x.blocks]
 
 
+@releasing
 def _retrieve(batches, index: Index):
     for batch in batches:
         found = []
@@ -222,6 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
+@releasing
 def _clean(batches, index: Index):
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import connected_components, discard, fresh, if_small, shared, written
+from ._spark import connected_components, discard, fresh, if_small, release, releasing, shared, written
 
 #: A link needs 100 * overlap >= THRESHOLD * union.
 THRESHOLD = 75
@@ -65,6 +65,7 @@ def _sets(batch_column, n: int, size: int = SLICE):
         yield s, *T.sets(rows, hashes, len(s.offsets) - 1)
 
 
+@releasing
 def _repeated(batches, n):
     """(gram, times): n-grams that two documents or more of one slice have."""
     for batch in batches:
@@ -107,6 +108,7 @@ def _signatures(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+@releasing
 def _classes(batches, n, threshold, frequent):
     grams, times = frequent()
     for batch in batches:
@@ -127,6 +129,7 @@ def _classes(batches, n, threshold, frequent):
                 ["doc_id", "n_shingles", "sig1", "sig2", "columns"])
 
 
+@releasing
 def _full_sets(batches, n):
     for batch in batches:
         for s, values, bounds in _sets(batch.column("text"), n):
@@ -144,6 +147,8 @@ def _overlaps(pairs: pa.Table, sets: pa.Table, threshold: int) -> pa.Table:
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         both = int((y[at] == x).sum())
         link.append(100 * both >= threshold * (len(x) + len(y) - both))
+    if sets.nbytes > TILE_BYTES // 2:
+        release()
     return pairs.select(["a", "b"]).filter(pa.array(link, pa.bool_()))
 
 
@@ -225,6 +230,8 @@ def _tile_links(tile: pa.Table, threshold: int) -> pa.Table:
                 total[j] += k
         label = _merged(label, ia[a:a + step], ib[lo:hi], link)
     some = [n for n in nodes if total[n]]
+    if tile.nbytes > TILE_BYTES // 2:
+        release()
     return pa.table({"node": pa.array(some, pa.int64()), "other": pa.array([nodes[label[where[n]]] for n in some], pa.int64()), "n_links": pa.array([total[n] for n in some], pa.int64())})
 
 

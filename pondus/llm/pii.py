@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as T
-from ._spark import BROADCAST_ROWS, fresh, if_small, shared, written
+from ._spark import BROADCAST_ROWS, fresh, if_small, releasing, shared, written
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -131,6 +131,7 @@ def _summed(keys: list[np.ndarray], weights: np.ndarray, names: list[str]):
     return pa.RecordBatch.from_arrays([*[pa.array(k[first].view(np.int64)) for k in keys], pa.array(total)], names)
 
 
+@releasing
 def _sums(batches, of, names: list[str]):
     """The sums of weights by the keys that ``of`` gives for the base spans and text of each
     row (several times, of bounded size), summed whenever ``ROWS`` have come together."""
@@ -189,6 +190,7 @@ def _both(text, base, entities, terms):
             yield np.full(len(mine), entity), mine
 
 
+@releasing
 def _frequency(batches, terms: np.ndarray):
     """(term, n): weight of this task's texts that hold each of the sorted ``terms``."""
     total = np.zeros(len(terms))
@@ -204,6 +206,7 @@ def _frequency(batches, terms: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(terms[seen].view(np.int64)), pa.array(total[seen])], ["term", "n_term"])
 
 
+@releasing
 def _all_terms(batches):
     for batch in batches:
         weight = batch.column("weight").to_numpy()
@@ -324,6 +327,7 @@ def _pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(T.mix(term ^ T.mix(entity)).view(np.int64)), batch.column("drop")], ["pair", "drop"])
 
 
+@releasing
 def _own_pairs(batches):
     """(doc_id, key, pair): the pairs of an entity and a term that each text holds."""
     for batch in batches:
@@ -348,6 +352,7 @@ def _rows(batch, terms, mine):
     return batch.drop_columns([mine]), [_Terms(np.array([x["pair"] for x in r], np.int64).view(np.uint64), np.array([x["drop"] for x in r], bool)) for r in own]
 
 
+@releasing
 def _find(batches, terms, mine=None):
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
@@ -394,6 +399,7 @@ def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
                        support, generalise, remove)
 
 
+@releasing
 def _replace(batches, terms, mine=None):
     for batch in batches:
         batch, each = _rows(batch, terms, mine)

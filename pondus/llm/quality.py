@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._spark import shared, written
+from ._spark import releasing, shared, written
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -98,6 +98,7 @@ def _cut(data: np.ndarray, at: int) -> int:
     return len(data)
 
 
+@releasing
 def _bags(batches):
     """(label, at, buckets, counts) of the training rows."""
     for batch in batches:
@@ -170,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, size: int
     return Model(np.frombuffer(bytes(found[0]["weight"]), np.float32), found[0]["bias"])
 
 
+@releasing
 def _score(batches, model: Model):
     for batch in batches:
         text = batch.column("text")
@@ -211,6 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     return score(docs, train_rows(docs, labels, folds, held, **options), F.coalesce(_fold(folds) == held, F.lit(False)))
 
 
+@releasing
 def _keep(batches, model: Model):
     for batch in batches:
         kept = [b.column("score").to_numpy() >= 0.5 for b in _score([pa.RecordBatch.from_arrays([batch.column("text")], ["text"])], model)]
