@@ -7,6 +7,7 @@ ordered kernel; p-values are driver-side scalars (one per pair, a bounded list).
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
@@ -250,7 +251,7 @@ def _edges(d: DataFrame, c: str, nb: int) -> tuple[list[float], set[int]]:
     buckets that hold a single hot value: a value repeated in the quantile sketch gets
     the bucket [v, next float after v), so its tie block never shares a group."""
     raw = ordered._raw_quantiles(d, c, nb, min(1e-3, 0.25 / nb))
-    hot = {v for v in raw if raw.count(v) > 1}
+    hot = {v for v, times in Counter(raw).items() if times > 1}
     splits = sorted(set(raw) | {float(np.nextafter(v, np.inf)) for v in hot})
     edges = [float("-inf")] + splits
     single = {i for i, e in enumerate(edges) if e in hot}
