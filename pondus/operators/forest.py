@@ -3,7 +3,7 @@
 A row's weight in a tree is a Poisson(1) number from a hash of (row key, tree), so every scan
 knows which trees saw a row.  Features are coded by at most 255 thresholds.  A batch of trees
 is grown from blocks of distinct (codes, label) with their bagged counts and weights, added up
-before anything is shuffled.  Nodes of more than ``LOCAL`` entries are split level by level from
+over the rows of a task before anything is shuffled, then over tasks.  Nodes of more than ``LOCAL`` entries are split level by level from
 distributed histograms; smaller ones, in most tables the roots, are finished one node a task, a
 whole level at a time in numpy.  Features are drawn per node by a hash of its path, so the trees
 don't depend on where a node is grown.
@@ -26,14 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise
 from .clusters import sent
 
-#: Trees of one batch; entries of a node that one task finishes; rows that are bagged at once.
-BATCH, LOCAL, CHUNK = 50, 400_000, 1 << 17
+#: Trees of one batch; entries of a node that one task finishes; rows that are bagged at once;
+#: entries that a task holds before it passes them on.
+BATCH, LOCAL, CHUNK, HELD = 50, 400_000, 1 << 17, 1 << 16
 #: Thresholds of a feature; bytes of trees that one broadcast holds.
 EDGES, BLOCK_BYTES = 255, 64 << 20
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _CUTS = np.minimum(_POISSON * 2.0 ** 53, 2.0 ** 53).astype(np.uint64)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Poisson counts by the leading 16 of 53 bits; 255 where a cut falls between.
+_LOW, _HIGH = (np.searchsorted(_CUTS, (np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)) + np.uint64(x), "right") for x in (0, (1 << 37) - 1))
+_LEAD = np.where(_LOW == _HIGH, _LOW, 255).astype(np.uint8)
+_TILE = 1 << 14
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,11 +49,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _salts(trees: np.ndarray, seed: int) -> np.ndarray:
+    return _mix(trees.astype(np.uint64) * _GOLD + np.uint64(seed))
+
+
+def _mixed(row: np.ndarray) -> np.ndarray:
+    return _mix(row.view(np.uint64) if row.dtype == np.int64 else row)
+
+
+def _counts(mixed: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """Poisson(1) counts of one tree, in tiles that stay in the processor's cache."""
+    out = np.empty(len(mixed), np.uint8)
+    for a in range(0, len(mixed), _TILE):
+        u = _mix(mixed[a:a + _TILE] ^ salt) >> np.uint64(11)
+        c = _LEAD[(u >> np.uint64(37)).astype(np.uint16)]
+        between = np.flatnonzero(c == 255)
+        c[between] = np.searchsorted(_CUTS, u[between], "right")
+        out[a:a + _TILE] = c
+    return out
+
+
 def bag(row: np.ndarray, trees: np.ndarray, seed: int) -> np.ndarray:
     """Poisson(1) counts, rows x trees."""
-    salt = _mix(trees.astype(np.uint64) * _GOLD + np.uint64(seed))
-    u = _mix(_mix(row.view(np.uint64) if row.dtype == np.int64 else row)[:, None] ^ salt) >> np.uint64(11)
-    return np.searchsorted(_CUTS, u.ravel(), "right").reshape(u.shape).astype(np.uint8)
+    mixed = _mixed(row)
+    return np.column_stack([_counts(mixed, s) for s in _salts(trees, seed)]) if len(trees) else np.zeros((len(row), 0), np.uint8)
 
 
 class Tree(NamedTuple):
@@ -187,6 +211,14 @@ def importances_of(t: Tree, p: int) -> np.ndarray:
 # Blocks of bagged entries
 # ---------------------------------------------------------------------------
 
+def _key(codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Codes and label as one value a row, in the order of the bytes: a number where they fit."""
+    k = codes.shape[1] + 1
+    out = np.zeros((len(y), max(8, k)), np.uint8)
+    out[:, -k:-1], out[:, -1] = codes, y
+    return out.view(">u8").reshape(-1).astype(np.uint64) if k <= 8 else out.view(np.dtype((np.void, k))).reshape(-1)
+
+
 class _Block(NamedTuple):
     codes: np.ndarray
     y: np.ndarray
@@ -211,8 +243,7 @@ class _Block(NamedTuple):
 
     def distinct(self) -> "_Block":
         """Entries of equal codes and label added up, in one order whatever they came in."""
-        key = np.ascontiguousarray(np.column_stack((self.codes, self.y)).astype(np.uint8))
-        _, first, inv = np.unique(key.view(np.dtype((np.void, key.shape[1]))).reshape(-1), return_index=True, return_inverse=True)
+        _, first, inv = np.unique(_key(self.codes, self.y), return_index=True, return_inverse=True)
         inv = inv.reshape(-1)
         return _Block(self.codes[first], self.y[first], np.bincount(inv, weights=self.n), np.bincount(inv, weights=self.w))
 
@@ -242,24 +273,20 @@ def _frame(batch, p: int) -> tuple[np.ndarray, ...]:
     return x, batch.column("id").to_numpy(), batch.column("y").to_numpy(), batch.column("w").to_numpy()
 
 
-def _bagged(table: DataFrame, edges: list[np.ndarray], trees: range, seed: int) -> DataFrame:
-    """(tree, size, block): every tree's entries, one row per tree and chunk of rows."""
-    p, numbers = len(edges), np.array(trees)
+def _coded(table: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """Chunks of rows in the order of (codes, label): codes and label of each different one, where
+    it starts, and the rows' ids and weights.  Every batch of trees reads these."""
+    p = len(edges)
 
     def emit(held):
         x, rid, y, w = (np.concatenate(a) for a in zip(*held))
-        base = _Block(coded(x, edges), y, np.ones(len(y)), w)
-        key = np.ascontiguousarray(np.column_stack((base.codes, base.y)).astype(np.uint8))
-        _, first, inv = np.unique(key.view(np.dtype((np.void, p + 1))).reshape(-1), return_index=True, return_inverse=True)
-        inv, counts, rows = inv.reshape(-1), bag(rid, numbers, seed), []
-        for t, tree in enumerate(trees):
-            c = counts[:, t]
-            n = np.bincount(inv, weights=c > 0, minlength=len(first))
-            some = np.flatnonzero(n)
-            wt = np.bincount(inv, weights=c * w, minlength=len(first))
-            rows.append((tree, len(some), _Block(base.codes[first[some]], base.y[first[some]], n[some], wt[some]).pack()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                                          ["tree", "size", "block"])
+        codes, y = coded(x, edges), y.astype(np.uint8)
+        key = _key(codes, y)
+        order = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        first = order[start]
+        data = (codes[first].tobytes(), y[first].tobytes(), start.astype(np.int32).tobytes(), rid[order].astype(np.int64).tobytes(), w[order].astype(np.float64).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.binary()) for d in data], ["codes", "y", "start", "id", "w"])
 
     def run(batches):
         held, n = [], 0
@@ -272,7 +299,90 @@ def _bagged(table: DataFrame, edges: list[np.ndarray], trees: range, seed: int)
         if n:
             yield emit(held)
 
-    return table.mapInArrow(run, "tree int, size long, block binary")
+    return table.mapInArrow(run, "codes binary, y binary, start binary, id binary, w binary")
+
+
+def _bagged(chunks: DataFrame, p: int, trees: range, seed: int) -> DataFrame:
+    """(tree, size, block): every tree's entries, added up over the rows of a task while there
+    are at most ``HELD`` different ones, so that rows that share codes and label don't add to
+    what is written."""
+    numbers = np.array(trees)
+
+    def sums(row) -> list[np.ndarray]:
+        """codes, y, and per tree the bagged rows and weight of each."""
+        codes, y, start, rid, w = (np.frombuffer(b, t) for b, t in zip(row, (np.uint8, np.uint8, np.int32, np.int64, np.float64)))
+        mixed, k = _mixed(rid), len(y)
+        own = w[start]
+        same = bool((np.repeat(own, np.diff(np.append(start, len(w)))) == w).all())  # one weight an entry
+        n, wt = np.empty((len(trees), k)), np.empty((len(trees), k))
+        for t, salt in enumerate(_salts(numbers, seed)):
+            c = _counts(mixed, salt)
+            n[t] = np.add.reduceat(c > 0, start, dtype=np.int32)
+            wt[t] = np.add.reduceat(c, start, dtype=np.int32) * own if same else np.add.reduceat(c * w, start)
+        return [codes.reshape(k, p), y, n, wt]
+
+    def joined(held: list) -> list[np.ndarray]:
+        codes, y, n, w = (np.concatenate(a, axis=i) for a, i in zip(zip(*held), (0, 0, 1, 1)))
+        _, first, inv = np.unique(_key(codes, y), return_index=True, return_inverse=True)
+        inv = inv.reshape(-1)
+        return [codes[first], y[first], *(np.stack([np.bincount(inv, weights=r, minlength=len(first)) for r in a]) for a in (n, w))]
+
+    def emit(held: list):
+        codes, y, n, w = held[0] if len(held) == 1 else joined(held)
+        rows = []
+        for t, tree in enumerate(trees):
+            some = np.flatnonzero(n[t])
+            rows.append((tree, len(some), _Block(codes[some], y[some], n[t][some], w[t][some]).pack()))
+        return _blocks(rows)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(5))):
+                held.append(sums([v.as_buffer() for v in row]))
+                size += len(held[-1][1])
+                if size > HELD and len(held) > 1:
+                    held = [joined(held)]
+                    size = len(held[0][1])
+                if size > HELD // 2:  # too many different ones to gain much here
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
+
+    return chunks.mapInArrow(run, "tree int, size long, block binary")
+
+
+def _blocks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["tree", "size", "block"])
+
+
+def _merged(entries: DataFrame, p: int, local: int) -> DataFrame:
+    """The entries of trees that look too large for one task, added up over all tasks in slices
+    by a hash of codes and label; else ``entries``."""
+    most = entries.groupBy("tree").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
+    slices = -(-most // max(1, local))
+    if slices <= 1:
+        return entries
+
+    def cut(batches):
+        for batch in batches:
+            for tree, data in zip(batch.column("tree").to_pylist(), batch.column("block").to_pylist()):
+                b = _Block.unpack(data, p)
+                h = b.y.astype(np.uint64)
+                for f in range(p):
+                    h = _mix(h * _GOLD + b.codes[:, f])
+                at = (h % np.uint64(slices)).astype(np.int64)
+                own = np.unique(at)
+                yield pa.RecordBatch.from_arrays([pa.array([tree] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array([b.rows(at == i).pack() for i in own], pa.binary())],
+                                                 ["tree", "slice", "block"])
+
+    def add(key, g):
+        b = _Block.join([_Block.unpack(x, p) for x in g["block"]]).distinct()
+        return pd.DataFrame({"tree": [int(key[0])], "size": [len(b.y)], "block": [b.pack()]})
+
+    cuts = entries.select("tree", "block").mapInArrow(cut, "tree int, slice long, block binary")
+    return materialise(cuts.groupBy("tree", "slice").applyInPandas(add, "tree int, size long, block binary"), "merged")
 
 
 # ---------------------------------------------------------------------------
@@ -528,10 +638,11 @@ def fit(df: DataFrame, features: Sequence[str], label: str, weight: str | None =
     whole = [F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}") for i in range(p)]
     table = materialise(table.where(F.col("y").isin(0, 1) & (F.col("w") > 0) & _all(whole)), "training")
     edges = _edges(table, p)
+    chunks = materialise(_coded(table, edges), "coded")
     mtry, trees = max(1, int(math.sqrt(p))), None
     for a in range(0, n_trees, batch):
         numbers = range(a, min(n_trees, a + batch))
-        entries = materialise(_bagged(table, edges, numbers, seed), "bag")
+        entries = _merged(materialise(_bagged(chunks, p, numbers, seed), "bag"), p, local)
         part = materialise(_grow_batch(entries, p, numbers, seed, mtry, min(max_depth, 60), min_leaf, local), "trees")
         trees = part if trees is None else trees.unionByName(part)
     return Forest(spark, trees, table, features, edges, seed)

@@ -171,6 +171,35 @@ def test_bags_are_poisson_and_reproducible():
     assert abs(np.corrcoef(c.T.astype(float))[0, 1]) < 0.02
 
 
+def test_entries_are_added_up_before_they_are_written(spark):
+    df = spark.range(0, 300_000, 1, 2).select(F.col("id"), (F.col("id") % 4).cast("double").alias("x0"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit(2.0).alias("w"))
+    chunks = R._coded(df, [np.array([0.5, 1.5, 2.5])])
+    entries = R._bagged(chunks, 1, range(3), 42)
+    rows = entries.collect()
+    assert sorted((r["tree"], r["size"]) for r in rows) == [(t, 8) for t in range(3) for _ in range(2)]  # one block a task and tree
+    merged = R._merged(entries, 1, 10).collect()
+    assert sum(r["size"] for r in merged if r["tree"] == 0) == 8
+    c = R.bag(np.arange(300_000, dtype=np.int64), np.arange(3), 42)
+    for t in range(3):
+        b = R._Block.join([R._Block.unpack(r["block"], 1) for r in merged if r["tree"] == t])
+        assert b.n.sum() == (c[:, t] > 0).sum() and b.w.sum() == 2 * c[:, t].sum(dtype=int)
+        i = np.flatnonzero((b.codes[:, 0] == 1) & (b.y == 1))[0]
+        ids = np.arange(300_000)
+        assert b.w[i] == 2 * c[(ids % 4 == 1) & (ids % 3 == 0), t].sum(dtype=int)
+
+
+def test_entries_of_many_values_and_weights(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.integers(0, 200, (3000, 9)).astype(float), columns=[f"x{i}" for i in range(9)]).assign(id=range(3000), y=rng.integers(0, 2, 3000), w=rng.random(3000) + 0.5)
+    pdf = pd.concat([pdf, pdf.assign(w=3.0, id=pdf["id"] + 5000)])  # equal codes, other weights
+    chunks = R._coded(spark.createDataFrame(pdf).repartition(2), [np.arange(254) + 0.5] * 9)
+    rows = R._merged(R._bagged(chunks, 9, range(2), 1), 9, 500).collect()
+    c = R.bag(pdf["id"].to_numpy(np.int64), np.arange(2), 1)
+    for t in range(2):
+        b = R._Block.join([R._Block.unpack(r["block"], 9) for r in rows if r["tree"] == t])
+        assert len(b.y) == len(b.distinct().y) and b.n.sum() == (c[:, t] > 0).sum() and b.w.sum() == pytest.approx((c[:, t] * pdf["w"]).sum())
+
+
 def plain_split(x, y, w, n, min_leaf):
     """The best gini split over all features by trying every threshold: its purity."""
     best = -np.inf
