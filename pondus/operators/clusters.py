@@ -26,7 +26,9 @@ SILHOUETTE_ROWS = 5000
 BLOCK_NUMBERS, MOST_NUMBERS = 1 << 17, 1 << 23
 #: Micro-clusters that Ward agglomerates; as many different rows are agglomerated exactly.
 MICRO = 5000
-_TILE = 256
+#: Numbers of rows that are put in the order of cells at once, and rows of a cell.
+CELLED_NUMBERS, CELL_ROWS = 1 << 21, 64
+_TILE, _ROWS = 256, 1 << 13
 
 
 def sent(spark: SparkSession, value) -> Callable[[], object]:
@@ -81,6 +83,64 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, ((x - c[near]) ** 2).sum(axis=1)
 
 
+def _halved(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers in the order of cells, where each cell starts).  Cells are halved along their
+    longest side until they hold at most ``most`` rows, or equal rows only."""
+    order, start, waiting = np.arange(len(x)), [], [(0, len(x))] if len(x) else []
+    while waiting:
+        a, b = waiting.pop()
+        rows = order[a:b]
+        part = x[rows]
+        low, high = part.min(axis=0), part.max(axis=0)
+        side = int((high - low).argmax())
+        if b - a <= most or not high[side] > low[side]:
+            start.append(a)
+            continue
+        v = part[:, side]
+        middle = np.partition(v, len(v) // 2)[len(v) // 2]
+        left = v < middle if middle > low[side] else v <= middle
+        order[a:b] = np.concatenate((rows[left], rows[~left]))
+        cut = a + int(left.sum())
+        waiting += [(cut, b), (a, cut)]
+    return order, np.array(start, np.int64)
+
+
+def cells(table: DataFrame, d: int) -> DataFrame:
+    """(x binary, cells binary): the rows of several blocks in the order of small cells, and each
+    cell's box, sums, sum of squares and number of rows; written once, read by every round."""
+    size = max(1, CELLED_NUMBERS // d)
+
+    def pack(held):
+        x = np.concatenate(held)
+        order, start = _halved(x, CELL_ROWS)
+        x = x[order]
+        about = np.column_stack((np.minimum.reduceat(x, start), np.maximum.reduceat(x, start), np.add.reduceat(x, start),
+                                 np.add.reduceat((x * x).sum(axis=1), start), np.diff(np.append(start, len(x)))))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([about.tobytes()], pa.binary())], ["x", "cells"])
+
+    def run(batches):
+        held, n = [], 0
+        for x in _matrices(batches, d):
+            held.append(x)
+            n += len(x)
+            if n >= size:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() < cores:  # of a few large files
+        table = table.repartition(cores)
+    return materialise(table.mapInArrow(run, "x binary, cells binary"), "cells")
+
+
+def _with_cells(batches, d: int):
+    for batch in batches:
+        for x, about in zip(batch.column("x"), batch.column("cells")):
+            yield np.frombuffer(x.as_buffer(), np.float64).reshape(-1, d), np.frombuffer(about.as_buffer(), np.float64).reshape(-1, 3 * d + 2)
+
+
 def _sample(spark: SparkSession, table: DataFrame, d: int, n: int, seed: int, centres: np.ndarray | None = None) -> np.ndarray:
     """``n`` rows without replacement, evenly or in proportion to their squared distance from
     ``centres``: the smallest exponential keys, of a generator seeded by each block."""
@@ -95,6 +155,9 @@ def _sample(spark: SparkSession, table: DataFrame, d: int, n: int, seed: int, ce
             with np.errstate(divide="ignore"):
                 k = rng.exponential(size=len(x)) / weight
             keys, rows = np.concatenate((keys, k)), np.concatenate((rows, x))
+            if len(keys) > n:
+                few = keys <= np.partition(keys, n - 1)[n - 1]
+                keys, rows = keys[few], rows[few]
             order = np.lexsort((*rows.T, keys))[:n]
             order = order[np.isfinite(keys[order])]
             keys, rows = keys[order], rows[order]
@@ -104,12 +167,12 @@ def _sample(spark: SparkSession, table: DataFrame, d: int, n: int, seed: int, ce
     return np.array([np.frombuffer(bytes(r["x"]), np.float64) for r in found]).reshape(-1, d)
 
 
-def _grouped_sums(table: DataFrame, d: int, work: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+def _grouped_sums(table: DataFrame, d: int, work: Callable[..., np.ndarray], shape: tuple[int, ...], read=_matrices) -> np.ndarray:
     """The sum over all blocks of ``work(block)``, an array of ``shape``: added per task, then by
     a grouped sum; the driver gets one array."""
     def run(batches):
         total = np.zeros(shape)
-        for x in _matrices(batches, d):
+        for x in read(batches, d):
             total += work(x)
         flat = total.ravel()
         at = np.flatnonzero(flat)
@@ -132,7 +195,8 @@ def cluster_matrix(df: DataFrame, features: Sequence[str], max_levels: int = 20)
     first (null all zeros; those with one level or more than ``max_levels`` are left out);
     what is still null becomes 0, and every dimension is scaled by its population mean and
     deviation (a constant one to 0).  Medians of all columns come from one kernel pass,
-    means and deviations from one aggregate; the rest is a projection.
+    means and deviations from one aggregate; the rest is a projection with these as literals
+    (as subqueries they would be planned again for every use).
     """
     types = dict(df.dtypes)
     features = [f for f in features if f in types]
@@ -143,20 +207,19 @@ def cluster_matrix(df: DataFrame, features: Sequence[str], max_levels: int = 20)
     levels = {c: lv for c, lv in (ml_prep.category_levels(df, others, max_levels) if others else {}).items() if len(lv) > 1}
     dims = [(c, None) for c in numeric] + [(c, v) for c, lv in levels.items() for v in lv[1:]]
     names = [c if v is None else f"{c}_{v}" for c, v in dims]
-    med = ml_prep.medians(df, numeric).scalar() if numeric else None
+    med = ml_prep.medians(df, numeric).first()["m"] if numeric else None  # one row, as the statistics
 
     def raw(i: int, c: str, v):
         if v is not None:
             return F.coalesce((F.col(f"`{c}`").cast("string") == F.lit(v)).cast("double"), F.lit(0.0))
         x = F.col(f"`{c}`").cast("double")
-        return F.coalesce(F.when(~F.isnan(x), x), med.getField(f"m{i}"), F.lit(0.0))
+        return F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0 if med[f"m{i}"] is None else med[f"m{i}"]))
 
     out = df.withColumns({f"x{i}": raw(i, c, v) for i, (c, v) in enumerate(dims)})
     if not dims:
         return out, names
-    stats = out.agg(F.struct(*[f(F.col(f"x{i}")).alias(f"{s}{i}") for i in range(len(dims)) for s, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("s")).scalar()
-    return out.withColumns({f"x{i}": (F.col(f"x{i}") - stats.getField(f"m{i}"))
-                            / F.when(stats.getField(f"s{i}") > 0, stats.getField(f"s{i}")).otherwise(F.lit(1.0)) for i in range(len(dims))}), names
+    stats = out.agg(F.struct(*[f(F.col(f"x{i}")).alias(f"{s}{i}") for i in range(len(dims)) for s, f in (("m", F.avg), ("s", F.stddev_pop))]).alias("s")).first()["s"]
+    return out.withColumns({f"x{i}": (F.col(f"x{i}") - F.lit(stats[f"m{i}"]).cast("double")) / F.lit(stats[f"s{i}"] or 1.0) for i in range(len(dims))}), names
 
 
 # ---------------------------------------------------------------------------
@@ -265,38 +328,62 @@ def _plus_plus(c: np.ndarray, w: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c[chosen]
 
 
+def _cluster_sums(x: np.ndarray, about: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per centre of every model its rows' sums, sum of squares and number.  A cell whose box
+    lies nearer to one centre than to all others adds its sums; only the rows of cells
+    between are compared one by one."""
+    d = x.shape[1]
+    low, high, sums = about[:, :d], about[:, d:2 * d], about[:, 2 * d:]
+    middle, half, rows = (low + high) / 2, (high - low) / 2, about[:, -1].astype(np.int64)
+    out = np.zeros((len(c), d + 2))
+    score = middle @ c.T - (c * c).sum(axis=1) / 2  # the nearer, the larger
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        m, s = c[a:b], score[:, a:b]
+        own, between = s.argmax(axis=1), np.ones(len(s), bool)
+        slack = 1e-12 * (1 + np.abs(s).max(initial=0))
+        for j in range(b - a):
+            mine = np.flatnonzero(own == j)
+            ahead = s[mine, j, None] - s[mine] > half[mine] @ np.abs(m - m[j]).T * (1 + 1e-9) + slack
+            ahead[:, j] = True
+            mine = mine[ahead.all(axis=1)]
+            out[a + j] += sums[mine].sum(axis=0)
+            between[mine] = False
+        if not between.any():
+            continue
+        at = np.flatnonzero(np.repeat(between, rows))
+        for lo in range(0, len(at), _ROWS):
+            y = x[at[lo:lo + _ROWS]].T
+            dist = (m * m).sum(axis=1)[:, None] - 2 * (m @ y)
+            near, least = np.zeros(y.shape[1], np.int64), dist[0]
+            for j in range(1, b - a):
+                np.copyto(near, j, where=dist[j] < least)
+                np.minimum(least, dist[j], out=least)
+            for i, v in enumerate((*y, (y * y).sum(axis=0), None)):
+                out[a:b, i] += np.bincount(near, weights=v, minlength=b - a)
+    return out
+
+
 def advance(spark: SparkSession, table: DataFrame, d: int, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """One scan for all models: per model the sums and counts of its clusters and its SSE."""
+    """One scan of the :func:`cells` for all models: per model the sums and counts of its
+    clusters and its SSE."""
     stacked = _checked(np.concatenate(centres))
     bounds = np.cumsum([0, *map(len, centres)])
     at = sent(spark, (stacked, bounds))
-
-    def work(x: np.ndarray) -> np.ndarray:
-        c, b = at()
-        out = np.zeros((len(c), d + 2))
-        dist = (c * c).sum(1) - 2 * (x @ c.T)
-        square = (x * x).sum(axis=1)
-        for lo, hi in zip(b[:-1], b[1:]):
-            near = dist[:, lo:hi].argmin(axis=1)
-            hot = np.zeros((hi - lo, len(x)))
-            hot[near, np.arange(len(x))] = 1
-            out[lo:hi, :d] += hot @ x
-            out[lo:hi, d] += hot.sum(axis=1)
-            out[lo:hi, d + 1] += hot @ (dist[np.arange(len(x)), lo + near] + square)
-        return out
-
-    total = _grouped_sums(table, d, work, (len(stacked), d + 2))
-    return [(total[a:b, :d], total[a:b, d], float(total[a:b, d + 1].sum())) for a, b in zip(bounds[:-1], bounds[1:])]
+    total = _grouped_sums(table, d, lambda block: _cluster_sums(*block, *at()), (len(stacked), d + 2), _with_cells)
+    sums, square, n = total[:, :d], total[:, d], total[:, d + 1]
+    sse = square - 2 * (sums * stacked).sum(axis=1) + n * (stacked * stacked).sum(axis=1)
+    return [(sums[a:b], n[a:b], max(0.0, float(sse[a:b].sum()))) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def lloyd(spark: SparkSession, table: DataFrame, d: int, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Lloyd's rounds of all models at once: a scan advances every model that still moves.
+    ``table`` are :func:`blocks`.
 
     A model is done when the squared moves of its centres add up to at most ``tol`` (of
     standardised columns) or after ``max_iter`` rounds; an empty cluster keeps its centre.
     The SSE belongs to the final centres (one more scan for all).
     """
-    centres, open_ = [c.copy() for c in starts], list(range(len(starts)))
+    centres, open_, table = [c.copy() for c in starts], list(range(len(starts))), cells(table, d)
     for _ in range(max_iter):
         if not open_:
             break

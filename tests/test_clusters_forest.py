@@ -73,6 +73,29 @@ def test_all_models_advance_as_lloyd(spark, monkeypatch):
         assert np.allclose(c, want, atol=1e-7) and sse == pytest.approx(total)
 
 
+def test_rounds_compare_only_rows_of_cells_between_centres():
+    rng = np.random.default_rng(5)
+    x = np.column_stack((rng.normal(0, 1, 20_000), rng.integers(0, 4, 20_000).astype(float)))
+    order, start = C._halved(x, 64)
+    assert sorted(order) == list(range(len(x))) and np.diff(np.append(start, len(x))).max() <= 64
+    y = x[order]
+    about = np.column_stack((np.minimum.reduceat(y, start), np.maximum.reduceat(y, start), np.add.reduceat(y, start),
+                             np.add.reduceat((y * y).sum(1), start), np.diff(np.append(start, len(y)))))
+    centres = [x[:3], x[10:17], np.concatenate((x[:2], x[:1]))]  # the last with equal centres
+    got = C._cluster_sums(y, about, np.concatenate(centres), np.cumsum([0, *map(len, centres)]))
+    want = []
+    for c in centres:
+        near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        want += [[*x[near == j].sum(0), (x[near == j] ** 2).sum(), (near == j).sum()] for j in range(len(c))]
+    assert np.allclose(got, want)
+    bare = y.copy()
+    bare[:] = np.nan  # cells of one centre alone are never looked into
+    far = np.array([[-1e3, 0.0], [0.0, 1.5], [1e3, 0.0]])
+    assert C._cluster_sums(bare, about, far, np.array([0, 3]))[:, -1].tolist() == [0, 20_000, 0]
+    order, start = C._halved(np.ones((500, 2)), 64)  # equal rows are one cell
+    assert len(order) == 500 and start.tolist() == [0]
+
+
 def test_kmeans_selects_k(spark):
     x = np.concatenate([np.random.default_rng(i).normal(10 * i, 0.3, (60, 2)) for i in range(3)])
     found = C.kmeans(frame(spark, x), ["x0", "x1"], range(2, 6), starts=3)
