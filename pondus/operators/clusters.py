@@ -105,6 +105,23 @@ def _halved(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(start, np.int64)
 
 
+def _nearest_of_many(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """As the numbers of :func:`_nearest`, for many centres: rows are compared cell by cell with
+    the centres that can be nearest to a point of the cell's box."""
+    near, t = np.zeros(len(x), np.int64), np.ascontiguousarray(c.T)
+    order, start = _halved(x, CELL_ROWS)
+    for a, b in zip(start, np.append(start[1:], len(x))):
+        rows = order[a:b]
+        part = x[rows]
+        below, above = part.min(axis=0)[:, None] - t, t - part.max(axis=0)[:, None]
+        outside = np.maximum(np.maximum(below, above), 0)
+        farthest = np.maximum(np.abs(below), np.abs(above))  # the box's other side
+        bound = (farthest * farthest).sum(axis=0).min()
+        some = np.flatnonzero((outside * outside).sum(axis=0) <= bound * (1 + 1e-9) + 1e-12)
+        near[rows] = some[_nearest(part, c[some])[0]]
+    return near
+
+
 def cells(table: DataFrame, d: int) -> DataFrame:
     """(x binary, cells binary): the rows of several blocks in the order of small cells, and each
     cell's box, sums, sum of squares and number of rows; written once, read by every round."""
@@ -447,10 +464,13 @@ class Features:
     def _join(self, mean: np.ndarray, n: np.ndarray) -> None:
         for a in range(0, len(mean), _TILE):
             x, w = mean[a:a + _TILE], n[a:a + _TILE]
-            if len(self.n):
-                near, d2 = _nearest(x, self.mean)
+            # only a mean within the radius of the tile's box can take one of its rows
+            away = np.maximum(np.maximum(x.min(axis=0) - self.mean, self.mean - x.max(axis=0)), 0)
+            some = np.flatnonzero((away * away).sum(axis=1) <= self.radius ** 2 * (1 + 1e-9))
+            if len(some):
+                near, d2 = _nearest(x, self.mean[some])
                 inside = d2 <= self.radius ** 2
-                self._absorb(near[inside], x[inside], w[inside])
+                self._absorb(some[near[inside]], x[inside], w[inside])
                 x, w = x[~inside], w[~inside]
             while len(x):  # each turn the first row left becomes a micro-cluster
                 inside = ((x - x[0]) ** 2).sum(axis=1) <= self.radius ** 2
@@ -463,11 +483,11 @@ class Features:
     def _absorb(self, at: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
         if not len(at):
             return
-        gain = np.bincount(at, weights=w, minlength=len(self.n))
-        moved = np.zeros_like(self.mean)
-        np.add.at(moved, at, (x - self.mean[at]) * w[:, None])
-        self.n = self.n + gain
-        self.mean = self.mean + moved / np.maximum(self.n, 1)[:, None]
+        own, to = np.unique(at, return_inverse=True)
+        step = (x - self.mean[at]) * w[:, None]
+        moved = np.column_stack([np.bincount(to, weights=v, minlength=len(own)) for v in step.T])
+        self.n[own] += np.bincount(to, weights=w, minlength=len(own))
+        self.mean[own] += moved / np.maximum(self.n[own], 1)[:, None]
 
 
 def ward_labels(mean: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
@@ -564,8 +584,9 @@ def ward(df: DataFrame, features: Sequence[str], k: int = 4, micro: int = MICRO,
         c, own = at()
         x = np.column_stack([s.to_numpy(float) for s in columns]) if len(columns[0]) else np.zeros((0, d))
         whole = ~np.isnan(x).any(axis=1)
-        got = [own[_nearest(np.nan_to_num(x[a:a + 1024]), c)[0]] for a in range(0, len(x), 1024)]
-        return pd.Series(np.concatenate([np.zeros(0, np.int32), *got]), dtype="int32").where(pd.Series(whole))
+        got = np.zeros(len(x), np.int32)
+        got[whole] = own[_nearest_of_many(x[whole], c)]
+        return pd.Series(got, dtype="int32").where(pd.Series(whole))
 
     nearest.__annotations__ = {"columns": pd.Series, "return": pd.Series}
     return df.withColumn(out, F.pandas_udf(nearest, "int")(*[F.col(f"`{f}`").cast("double") for f in features]))

@@ -163,6 +163,23 @@ def test_ward_on_micro_clusters(spark):
     assert len(f.n) <= 40 and f.n.sum() == len(x) and np.allclose((f.mean * f.n[:, None]).sum(0), x.sum(0))
 
 
+def test_rows_meet_only_micro_clusters_near_them(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(20_000, 3)), rng.normal(size=(700, 3))
+    compared, plain = [], C._nearest
+    monkeypatch.setattr(C, "_nearest", lambda a, b: compared.append(len(a) * len(b)) or plain(a, b))
+    assert (C._nearest_of_many(x, c) == plain(x, c)[0]).all()
+    assert sum(compared) < len(x) * len(c) / 2
+    del compared[:]
+    f = C.Features(3, 300)
+    f.add(rng.normal(size=(2000, 3)), np.ones(2000))
+    del compared[:]
+    size = len(f.n)
+    f._join(x[np.lexsort(x.T[::-1])], np.ones(len(x)))
+    assert f.n.sum() == 22_000 and sum(compared) < len(x) * size
+    assert len(C._nearest_of_many(x[:0], c)) == 0
+
+
 def test_profile_and_its_transpose(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, 4.0), (1, 5.0, None)], "prediction int, `a.b` double, c double")
     prof = C.profile(df, ["a.b", "c"])
