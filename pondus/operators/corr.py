@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dist import norm_two_sided_p, t_two_sided_p
 from . import ordered
-from ..session import cut_lineage
+from ..session import materialise
 
 
 def pearson_long(df: DataFrame, columns: Sequence[str], *, diagonal: bool = True,
@@ -92,24 +92,23 @@ def _spearman_pairwise(df: DataFrame, cols: list[str]) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double, n long")
     one = df.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for a, b in pairs])).alias("p")).select("p.*").dropna()
-    key = ["var1", "var2"]
-    points = cut_lineage(one.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*").dropna()
+    points = materialise(one.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "points")
     d = points
     for c in ("x", "y"):
-        red = points.groupBy(*key, F.col(c).alias("_v")).agg(F.sum("w").alias("_w"))
-        red = ordered.running_weight(red, ["_v"], "_w", key, total=None)
-        d = d.join(red.select(*key, F.col("_v").alias(c), (F.col("_excl") + (F.col("_w") + 1) / 2).alias(f"r{c}")), [*key, c])
-    n = F.sum("w")
-    mx, my = F.sum(F.col("w") * F.col("rx")) / n, F.sum(F.col("w") * F.col("ry")) / n
-    sums = d.groupBy(*key).agg(n.alias("n"), mx.alias("mx"), my.alias("my"))
-    d = d.join(F.broadcast(sums), key)  # a row for each pair of columns
-    dx, dy = F.col("rx") - F.col("mx"), F.col("ry") - F.col("my")
-    out = d.groupBy(*key, "n").agg(F.sum(F.col("w") * dx * dy).alias("xy"), F.sum(F.col("w") * dx * dx).alias("xx"), F.sum(F.col("w") * dy * dy).alias("yy"))
+        # both are written: the kernel reads its input three times, and the planner sees the
+        # size of the ranks (of few values they are broadcast)
+        red = materialise(points.groupBy("pair", F.col(c).alias("_v")).agg(F.sum("w").alias("_w")), "values")
+        red = ordered.running_weight(red, ["_v"], "_w", "pair", total="_n")
+        # n ranks have the mean (n + 1) / 2, with ties as without
+        rank = F.col("_excl") + (F.col("_w") + 1) / 2 - (F.col("_n") + 1) / 2
+        d = d.join(materialise(red.select("pair", F.col("_v").alias(c), rank.alias(f"d{c}")), "ranks"), ["pair", c])
+    w, dx, dy = F.col("w"), F.col("dx"), F.col("dy")
+    out = d.groupBy("pair").agg(F.sum("w").alias("n"), F.sum(w * dx * dy).alias("xy"), F.sum(w * dx * dx).alias("xx"), F.sum(w * dy * dy).alias("yy"))
     r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
-    every = df.sparkSession.createDataFrame(pairs, "var1 string, var2 string")
-    return every.join(F.broadcast(out), key, "left").select(*key, r.alias("r"), F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"))
+    every = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, var1 string, var2 string")
+    return every.join(F.broadcast(out), "pair", "left").select("var1", "var2", r.alias("r"), F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"))
 
 
 def kendall_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
