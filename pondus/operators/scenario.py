@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import coding as C
 from ..functions.expr import join_groups, num, row_mean, wmean, wmean_where
 from ..plans.frame import ACCESS_FLAGS, USE_FLAGS
-from ..session import cut_lineage, materialise
+from ..session import materialise
 from . import ordered
 from .ordered import _as_list
 
@@ -127,8 +127,8 @@ def scenario_run(df: DataFrame, targets: DataFrame, key: Sequence[str], by, indi
     by a logistic model that is fitted on the frame as it is and applied to both (M15)."""
     from . import joins, kpi, models
     by = _as_list(by)
-    df = cut_lineage(df)
-    after = cut_lineage(apply_scenario(df, targets, key, by, exclusion_threshold=exclusion_threshold))
+    df = materialise(df, "before")  # columnar: every job reads its columns only
+    after = materialise(apply_scenario(df, targets, key, by, exclusion_threshold=exclusion_threshold), "after")
     _, model = models.logistic(df, features, label, weight)
     def measured(d):
         rate = models.predicted_rate(model, d, features, weight, by)
